@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import pii, quality
+from . import mixing, packing, pii, quality, simhash
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op4_pii": pii.op4_pii,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_mixing": mixing.op10_mixing,
 }
 SQL: dict[str, str] = {}
