@@ -48,8 +48,9 @@ def words(text: Column) -> Column:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (file sizes for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's size estimate of ``df`` (file sizes for a scan); where it has none, 1 KB for each row."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else 1000 * df.count()
 
 
 def pieces_for(df: DataFrame, mb_each: float, least: int = 1) -> int:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, quality, simhash
+from . import licenses, mixing, packing, pii, quality, simhash, tokencount, topk
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op3_token_counts": tokencount.op3_token_counts,
     "op4_pii": pii.op4_pii,
+    "op5_topk": topk.op5_topk,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_quality_rules": quality.op7_quality_rules,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_topk": topk.OP5_SQL}
