@@ -62,7 +62,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, doc_id: st
     every, classes = sorted({x for r in got for x in r["own"]}), sorted({r["class"] for r in got})
     d = docs.select(docs[doc_id].alias("doc_id"), shingles(F.col(text)).alias("s"))
     d = d.withColumn("at", F.filter(F.transform("s", lambda x, i: F.when(x.isin(every), i)), lambda i: i.isNotNull())).filter(F.size("at") > 0)
-    near = [F.transform("at", lambda p, c=c, back=back: F.struct(F.lit(c).alias("class"), (F.floor(p / c) - back).cast("int").alias("k"))) for c in classes for back in (0, 1)]
+    holds = lambda c, back: F.transform("at", lambda p: F.struct(F.lit(c).alias("class"), (F.floor(p / c) - back).cast("int").alias("k")))
+    near = [holds(c, back) for c in classes for back in (0, 1)]
     w = d.select("doc_id", "s", F.explode(F.array_distinct(F.flatten(F.array(*near)))).alias("w")).select("doc_id", F.col("w.class").alias("class"), F.col("w.k").alias("k"), "s")
     first = F.greatest(F.col("k") * F.col("class"), F.lit(0))
     w = w.select("doc_id", "class", first.alias("first"), F.array_distinct(F.slice("s", first + 1, (F.col("k") + 2) * F.col("class") - first)).alias("own_w"))
