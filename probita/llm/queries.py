@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, pii, quality, simhash, tokencount, topk
+from . import licenses, mixing, packing, passages, pii, quality, simhash, suffixes, tokencount, topk
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_substrings": suffixes.op2_substrings,
     "op3_token_counts": tokencount.op3_token_counts,
     "op4_pii": pii.op4_pii,
     "op5_topk": topk.op5_topk,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_passages": passages.op8_passages,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
