@@ -77,7 +77,8 @@ def slots(per: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
     want = F.least(F.round(F.col("target") * n / F.col("source_size")).cast("long"), most * n)
     per = per.filter("source_size > 0").select("s", n.alias("n"), F.greatest(want, F.when(F.col("target") > 0, F.lit(1)).otherwise(F.lit(0))).alias("want"))
     per = per.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(65536), F.ceil(F.sum("want").over(W.partitionBy(F.lit(0))) / 8192))))
-    chunks = per.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("want") - 1) / SLOTS_A_CHUNK))).alias("c")).filter("want > 0").repartition("s", "c")
+    parts = max(int(per.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + int((per.agg(F.sum("want")).first()[0] or 0) // 500_000))
+    chunks = per.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("want") - 1) / SLOTS_A_CHUNK))).alias("c")).filter("want > 0").repartition(parts, "s", "c")
     first = F.col("c") * SLOTS_A_CHUNK
     each = chunks.select("s", "n", "shards", F.explode(F.sequence(first, F.least(first + SLOTS_A_CHUNK, F.col("want")) - 1)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("n"))
@@ -97,7 +98,7 @@ def mixed(sized: DataFrame, *, weights=WEIGHTS, most: int = MOST, block: int = B
     per = staged(targets(sized, weights, most).coalesce(1), "mixing-sources")
     rows = sized.join(per, sized["source"].eqNullSafe(per["source"]), "left").select("uid", "key", "s", "size", "source_size", "target")
     at = placed(rows.select("uid", "key", "s", "size"), sized.count())
-    return rows, blocks(at, block).join(slots(per, block, most), ["s", "index"]).select("uid", "shard", "slot", "pass", "word", "n_words")
+    return rows, blocks(at, block).join(slots(per, block, most).hint("merge"), ["s", "index"]).select("uid", "shard", "slot", "pass", "word", "n_words")
 
 
 def with_size(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -108,7 +109,7 @@ def with_size(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", t
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = staged(with_size(table(spark, sf_dir, "documents")), "mixing-sizes")
     rows, pieces = mixed(sized)
-    taken = pieces.groupBy("uid").agg(F.sum("n_words").alias("taken"))
+    taken = pieces.groupBy("uid").agg(F.sum("n_words").alias("taken")).hint("merge")
     return rows.join(taken, "uid", "left").select(F.col("key.id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
