@@ -14,6 +14,7 @@ columns are not read.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,33 +29,66 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _CACHE: dict = {}
 
 
+def byte_chars() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as its Latin-1 character if that is printable, else as one from 256 on."""
+    odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    return {b: chr(256 + i) for i, b in enumerate(odd)}
+
+
+BYTE_CHARS = byte_chars()
+
+
+class Recent(dict):
+    """A cache in two generations of up to ``limit`` entries: a full young one becomes the old one, from which entries
+    still in use come back."""
+
+    def __init__(self, limit: int, make):
+        super().__init__()
+        self.old, self.limit, self.make = {}, limit, make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(key)
+        self[key] = got = self.make(key) if got is None else got
+        return got
+
+
 class WordIds:
-    """Ids of a text as little-endian unsigned 32-bit bytes. The tokenizer never looks beyond white space, so each
-    distinct white-space-delimited chunk is encoded once and remembered (up to ``limit`` chunks)."""
+    """Ids of a text as little-endian unsigned 32-bit bytes.
+
+    The tokenizer never looks beyond white space, so white-space-delimited chunks are encoded once and remembered. A
+    new chunk of Latin-1 characters is lower-cased and cut as the tokenizer's own pattern cuts, which is the same for
+    those characters, and its pieces are remembered too; other chunks go to the tokenizer whole."""
 
-    ODD = frozenset("\x1c\x1d\x1e\x1f")  # str.split() takes these for white space, the tokenizer doesn't
+    ODD = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer doesn't
+    LETTER, DIGIT = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+    PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\\s{LETTER}{DIGIT}]+")
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, chunks: int = 250_000, pieces: int = 250_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.limit = Tokenizer.from_file(path), {}, limit
+        self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.pieces, self.chunks = Recent(pieces, self._piece), Recent(chunks, self._chunk)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Of one piece: the merges alone, on the characters that stand for its bytes."""
+        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))], "<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
+    def _chunk(self, chunk: str) -> bytes:
+        if "<|" in chunk or max(chunk) > "\xff":
+            return self._whole(chunk)
+        return b"".join(map(self.pieces.__getitem__, self.PIECE.findall(chunk.lower())))
 
     def __call__(self, text: str) -> bytes:
-        if not self.ODD.isdisjoint(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self._learn(set(chunks))
-        return b"".join(map(self.known.__getitem__, chunks))
+        if self.ODD.search(text):
+            return self._whole(text)
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 def word_ids(path: str) -> WordIds:
