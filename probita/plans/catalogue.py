@@ -1,4 +1,405 @@
 """Every query of the engine by name, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import values as V
+from ..operators import cohorts, features, rules, serving, timeline
+from ..operators.features import ID
+from . import adapter
+from .stage import materialized
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+class Context:
+    """The relations over one data folder, each built when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def raw(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @cached_property
+    def t(self):
+        return adapter.tables(self.spark, self.sf_dir)
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        return features.wide(self.t)
+
+    @cached_property
+    def wide_once(self) -> DataFrame:
+        """For queries that read the features more than once."""
+        return materialized(self.wide, "features")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return rules.scored(rules.declaration_hits(self.wide))
+
+
+def query(name: str, sql: str):
+    def add(f: Callable[[Context], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Context(spark, sf_dir))
+        SQL[name] = sql
+        return f
+
+    return add
+
+
+def has(x: str, stems: str) -> str:
+    return f"regexp_matches(lower(coalesce({x}, '')), '{stems}')"
+
+
+RATE = "CAST(CASE currency_code WHEN 'USD' THEN 37 WHEN 'EUR' THEN 40 WHEN 'GBP' THEN 46 WHEN 'PLN' THEN 9 WHEN 'CHF' THEN 42 WHEN 'CAD' THEN 28 WHEN 'CZK' THEN 1.65 WHEN 'JPY' THEN 0.25 ELSE 1 END AS DECIMAL(6,2))"
+UAH = f"(CAST(amount AS DECIMAL(24,4)) * {RATE})"
+TXT = "concat_ws(' ', coalesce(income_type,''), coalesce(source_type,''), coalesce(income_type_other,''))"
+HIDDEN = "('unknown','family_no_info','confidential','redacted_other')"
+CONF = "('confidential','redacted_other')"
+HOME, LAND = has("object_type", "кварт|буд|жит"), has("object_type", "зем")
+
+
+def bucket(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR starts_with({x}, 'unknown:') THEN 'unknown' WHEN {x} = 'declarant' THEN 'declarant' WHEN {x} = 'third_party' THEN 'third_party' ELSE 'family' END"
+
+
+def year_of(x: str) -> str:
+    return f"TRY_CAST(nullif(regexp_extract(coalesce({x}, ''), '(19[0-9][0-9]|20[0-9][0-9])', 1), '') AS INT)"
+
+
+BAD_DATE = f"owning_date <> '' AND ({year_of('owning_date')} IS NULL OR {year_of('owning_date')} > declaration_year)"
+KIN = "SELECT DISTINCT declaration_id, member_id FROM family WHERE " + has("relation", "друж|чолов|дит|child|син|дон")
+OWN4 = "count(*) FILTER (WHERE b = 'declarant') AS {p}_declarant, count(*) FILTER (WHERE b = 'family') AS {p}_family, count(*) FILTER (WHERE b = 'third_party') AS {p}_third_party, count(*) FILTER (WHERE b = 'unknown') AS {p}_unknown"
+
+PRELUDE = f"""WITH {adapter.prelude()},
+fam AS (SELECT declaration_id, count(*) AS n_family, count(*) FILTER (WHERE NOT {has('relation', 'дит|child|син|донь')}) AS n_adult_family FROM family GROUP BY 1),
+inc AS (SELECT declaration_id, sum(amount) AS total_income, count(*) AS n_incomes, count(DISTINCT nullif(source_name,'')) AS n_sources, count(amount_status) AS inc_unknown,
+  count(*) FILTER (WHERE amount_status IN {CONF}) AS inc_conf, coalesce(sum(amount) FILTER (WHERE {has(TXT, 'спад|inherit|sale|продаж|gift|дар')}),0) AS one_off,
+  coalesce(sum(amount) FILTER (WHERE {has(TXT, 'агро|ферм|сг|оренд|rent')}),0) AS agri_income, coalesce(sum(amount) FILTER (WHERE {has(TXT, 'оренд|rent|бізнес|business|підприєм')}),0) AS rent_income,
+  count(*) FILTER (WHERE amount > 0) AS n_positive, count(*) FILTER (WHERE amount_status = 'parse_error') + count(*) FILTER (WHERE amount > 10000000000) AS inc_bad,
+  count(*) FILTER (WHERE person_ref <> '1' AND NOT EXISTS (SELECT 1 FROM family f WHERE f.declaration_id = i.declaration_id AND f.member_id = i.person_ref)) AS inc_orphans FROM incomes i GROUP BY 1),
+mon AS (SELECT declaration_id, sum({UAH}) FILTER (WHERE {has('asset_type', 'готівкові|готівка')}) AS cash,
+  sum({UAH}) FILTER (WHERE NOT {has('asset_type', 'готівкові|готівка')} AND {has('asset_type', 'банківських|фінансових|внески')}) AS bank,
+  sum({UAH}) FILTER (WHERE NOT {has('asset_type', 'готівкові|готівка|банківських|фінансових|внески')}) AS other, sum({UAH}) AS monetary_uah, sum(amount) AS monetary_raw, count(*) AS n_monetary,
+  count(amount_status) + count(organization_status) AS mon_unknown, count(*) FILTER (WHERE amount_status IN {CONF}) + count(*) FILTER (WHERE organization_status IN {CONF}) AS mon_conf,
+  coalesce(sum({UAH}) FILTER (WHERE {has('asset_type', 'готів')} AND coalesce(currency_code,'') <> 'UAH'),0) AS fx_cash, coalesce(sum({UAH}) FILTER (WHERE {has('asset_type', 'готів')}),0) AS stem_cash,
+  count(*) FILTER (WHERE amount_status = 'parse_error') + count(*) FILTER (WHERE {UAH} > 10000000000) AS mon_bad,
+  count(*) FILTER (WHERE person_ref <> '1' AND NOT kin) AS mon_orphans, count(*) FILTER (WHERE amount_status IS NOT NULL OR amount IS NOT NULL) AS mon_valued, count(*) FILTER (WHERE amount_status IN {HIDDEN}) AS mon_hidden,
+  count(*) FILTER (WHERE kin AND amount_status = 'family_no_info') + count(*) FILTER (WHERE kin AND organization_status = 'family_no_info') AS mon_no_info
+  FROM (SELECT *, EXISTS (SELECT 1 FROM family f WHERE f.declaration_id = m.declaration_id AND f.member_id = m.person_ref) AS kin FROM monetary m) GROUP BY 1),
+est AS (SELECT declaration_id, sum(cost_assessment) AS estate_cost, max(cost_assessment) AS largest_acquisition, count(*) AS n_estate, count(total_area_status) + count(cost_assessment_status) AS re_hidden_fields,
+  count(*) FILTER (WHERE total_area_status IN {CONF}) + count(*) FILTER (WHERE cost_assessment_status IN {CONF}) AS re_conf, count(*) FILTER (WHERE {BAD_DATE}) AS re_bad_dates,
+  count(*) FILTER (WHERE starts_with(right_belongs_resolved, 'unknown:')) AS re_orphans, count(*) FILTER (WHERE total_area > 10000000) + count(*) FILTER (WHERE total_area_status = 'parse_error' OR cost_assessment_status = 'parse_error') AS re_bad,
+  max(cost_assessment) FILTER (WHERE {year_of('owning_date')} = declaration_year) AS re_acquired, count(*) FILTER (WHERE cost_assessment >= 500000 OR (total_area >= 10000 AND cost_assessment >= 300000)) AS re_mid_high,
+  coalesce(sum(total_area) FILTER (WHERE {HOME}),0) AS home_area, coalesce(sum(total_area) FILTER (WHERE {LAND}),0) AS land_area, count(*) FILTER (WHERE {has('object_type', 'нежит|офіс|магаз|комер')}) AS n_trade,
+  count(*) FILTER (WHERE {has('object_type', 'кварт')} AND {has('city', 'київ|kyiv|льв|lviv|одес|odesa|харк|khark')}) AS n_city_flats, count(*) FILTER (WHERE ({HOME} OR {LAND}) AND cost_assessment_status IN {HIDDEN}) AS n_hidden_major,
+  coalesce((list_sort(list({{'a': -total_area, 'p': pos, 'h': coalesce(cost_assessment_status IN {HIDDEN}, false)}}) FILTER (WHERE {HOME} AND total_area > 0)))[1].h, false) AS largest_hidden,
+  count(*) FILTER (WHERE cost_assessment_status IS NOT NULL OR cost_assessment IS NOT NULL) AS re_valued, count(*) FILTER (WHERE cost_assessment_status IN {HIDDEN}) AS re_hidden,
+  count(*) FILTER (WHERE kin AND cost_assessment_status = 'family_no_info') + count(*) FILTER (WHERE kin AND total_area_status = 'family_no_info') AS re_no_info, {OWN4.format(p='re')}
+  FROM (SELECT r.*, p.declaration_year, {bucket('right_belongs_resolved')} AS b, EXISTS (SELECT 1 FROM family f WHERE f.declaration_id = r.declaration_id AND f.member_id = r.right_belongs_raw) AS kin FROM real_estate r JOIN profile p USING (declaration_id)) GROUP BY 1),
+veh AS (SELECT declaration_id, count(*) AS n_vehicles, max(cost_date) FILTER (WHERE {year_of('owning_date')} = declaration_year) AS vh_acquired, count(*) FILTER (WHERE cost_date >= 300000) AS vh_mid_high,
+  count(*) FILTER (WHERE {has("concat_ws(' ', brand, model)", 'bmw|mercedes|range rover|porsche|lexus|audi|tesla')}) AS n_luxury, count(*) FILTER (WHERE {has('object_type', 'тракт|комбай|harvest')}) AS n_machines,
+  count(*) FILTER (WHERE {BAD_DATE}) AS vh_bad_dates, count(*) FILTER (WHERE cost_date IS NOT NULL OR brand <> '') AS vh_valued, count(*) FILTER (WHERE cost_date IS NULL AND brand <> '') AS vh_hidden, {OWN4.format(p='vh')}
+  FROM (SELECT v.*, p.declaration_year, {bucket('right_belongs_resolved')} AS b FROM vehicles v JOIN profile p USING (declaration_id)) GROUP BY 1),
+acc AS (SELECT declaration_id, count(*) AS n_accounts, {OWN4.format(p='ac')} FROM (SELECT *, {bucket('account_owner_resolved')} AS b FROM accounts) GROUP BY 1),
+shr AS (SELECT declaration_id, count(*) FILTER (WHERE pct > 110 OR (pct > 0 AND pct < 10)) AS n_share_issues FROM (SELECT declaration_id, raw_iteration, object_type, city, district, sum(TRY_CAST(percent_ownership AS DECIMAL(12,4))) AS pct FROM real_estate GROUP BY ALL) GROUP BY 1),
+kin AS ({KIN}),
+pinc AS (SELECT declaration_id, person_ref AS pid, sum(amount) AS own FROM incomes GROUP BY 1, 2),
+worths AS (SELECT declaration_id, pid, sum(worth) AS worth, bool_or(major) AS major FROM (
+   SELECT declaration_id, right_belongs_raw AS pid, CASE WHEN CAST(percent_ownership AS DECIMAL(12,4)) > 0 THEN cost_assessment * least(CAST(percent_ownership AS DECIMAL(9,2)), 100) END AS worth,
+     CAST(percent_ownership AS DECIMAL(12,4)) >= 99 AND ({HOME} OR coalesce(cost_assessment >= 500000, false)) AS major FROM real_estate
+   UNION ALL SELECT declaration_id, person_ref, {UAH} * 100, coalesce({UAH} >= 500000, false) FROM monetary) GROUP BY 1, 2),
+kins AS (SELECT w.declaration_id, coalesce(bool_or(k.member_id IS NOT NULL AND major AND coalesce(own, 0) < 100000), false) AS proxy,
+   CASE WHEN max(worth) FILTER (WHERE w.pid = '1') > 0 THEN CAST(max(worth) FILTER (WHERE k.member_id IS NOT NULL AND coalesce(own, 0) < 50000 AND worth > 0) AS DOUBLE) / CAST(max(worth) FILTER (WHERE w.pid = '1') AS DOUBLE) END AS kin_ratio
+   FROM worths w LEFT JOIN kin k ON k.declaration_id = w.declaration_id AND k.member_id = w.pid LEFT JOIN pinc i ON i.declaration_id = w.declaration_id AND i.pid = w.pid GROUP BY 1),
+feat0 AS (SELECT p.*, inc.* EXCLUDE (declaration_id), mon.* EXCLUDE (declaration_id), est.* EXCLUDE (declaration_id), veh.* EXCLUDE (declaration_id), acc.* EXCLUDE (declaration_id), fam.* EXCLUDE (declaration_id), n_share_issues, coalesce(proxy, false) AS proxy, kin_ratio
+  FROM profile p LEFT JOIN inc USING (declaration_id) LEFT JOIN mon USING (declaration_id) LEFT JOIN est USING (declaration_id) LEFT JOIN veh USING (declaration_id) LEFT JOIN acc USING (declaration_id) LEFT JOIN fam USING (declaration_id) LEFT JOIN shr USING (declaration_id) LEFT JOIN kins USING (declaration_id)),
+feat1 AS (SELECT declaration_id, user_declarant_id, declaration_year, declaration_type, post_type, firstname, lastname, middlename, work_post, work_place, lower(trim(country)) AS land, estate_na,
+  CAST(total_income AS DOUBLE) AS income, CAST(CASE WHEN estate_cost IS NULL AND monetary_uah IS NULL THEN NULL ELSE coalesce(estate_cost,0) + coalesce(monetary_uah,0) END AS DOUBLE) AS assets, CAST(cash AS DOUBLE) AS cash, CAST(bank AS DOUBLE) AS bank, CAST(other AS DOUBLE) AS other,
+  CAST(coalesce(cash,0) + coalesce(bank,0) AS DOUBLE) AS liquid, CAST(monetary_raw AS DOUBLE) AS monetary_raw, CAST(estate_cost AS DOUBLE) AS estate_cost, CAST(largest_acquisition AS DOUBLE) AS largest, coalesce(n_sources,0) AS n_sources, coalesce(n_incomes,0) AS n_incomes, coalesce(n_monetary,0) AS n_monetary, coalesce(n_estate,0) AS n_estate, coalesce(n_vehicles,0) AS n_vehicles,
+  coalesce(n_incomes,0) + 2*coalesce(n_monetary,0) + 2*coalesce(n_estate,0) AS fields, coalesce(inc_unknown,0) + coalesce(mon_unknown,0) + coalesce(re_hidden_fields,0) AS unknown_fields, coalesce(inc_conf,0) + coalesce(mon_conf,0) + coalesce(re_conf,0) AS conf_fields,
+  coalesce(re_valued,0) + coalesce(mon_valued,0) + coalesce(vh_valued,0) AS valued, coalesce(re_hidden,0) + coalesce(mon_hidden,0) + coalesce(vh_hidden,0) AS hidden,
+  coalesce(n_estate,0) + coalesce(n_vehicles,0) + coalesce(n_accounts,0) AS own_total, coalesce(re_declarant,0) + coalesce(vh_declarant,0) + coalesce(ac_declarant,0) AS own_declarant, coalesce(re_family,0) + coalesce(vh_family,0) + coalesce(ac_family,0) AS own_family,
+  coalesce(re_third_party,0) + coalesce(vh_third_party,0) + coalesce(ac_third_party,0) AS own_third_party, coalesce(re_unknown,0) + coalesce(vh_unknown,0) + coalesce(ac_unknown,0) AS own_unknown,
+  coalesce(re_bad_dates,0) + coalesce(vh_bad_dates,0) AS bad_dates, coalesce(re_orphans,0) + coalesce(inc_orphans,0) + coalesce(mon_orphans,0) AS orphans, coalesce(n_share_issues,0) AS share_issues, coalesce(inc_bad,0) + coalesce(mon_bad,0) + coalesce(re_bad,0) AS bad_numbers, coalesce(n_positive,0) AS n_positive,
+  CAST(fx_cash AS DOUBLE) AS fx_cash, CAST(stem_cash AS DOUBLE) AS stem_cash, CAST(greatest(re_acquired, vh_acquired) AS DOUBLE) AS acquired, CAST(one_off AS DOUBLE) AS one_off, coalesce(re_mid_high,0) + coalesce(vh_mid_high,0) AS mid_high, CAST(coalesce(home_area,0) AS DOUBLE) AS home_area, CAST(coalesce(land_area,0) AS DOUBLE) AS land_area,
+  coalesce(n_luxury,0) AS n_luxury, coalesce(n_machines,0) AS n_machines, coalesce(n_adult_family,0) AS n_adults, coalesce(agri_income,0) AS agri_income, coalesce(rent_income,0) AS rent_income, coalesce(n_trade,0) + coalesce(n_city_flats,0) AS rentable, coalesce(n_hidden_major,0) AS hidden_major, coalesce(largest_hidden,false) AS largest_hidden, proxy, kin_ratio, coalesce(re_no_info,0) + coalesce(mon_no_info,0) AS no_info
+  FROM feat0),
+feat AS (SELECT *, CASE WHEN liquid > 0 THEN floor(coalesce(cash,0)/liquid*10000+0.5)/10000 END AS cash_ratio, CASE WHEN liquid > 0 THEN coalesce(cash,0)/liquid END AS cash_share, CASE WHEN fields > 0 THEN conf_fields / fields ELSE 0.0 END AS conf_ratio, CASE WHEN valued > 0 THEN hidden / valued ELSE 0.0 END AS unknown_share,
+  CASE WHEN stem_cash > 0 THEN fx_cash / stem_cash ELSE 0.0 END AS fx_share, CASE WHEN income > 0 AND stem_cash > 0 THEN fx_cash / income END AS fx_income, CASE WHEN income > 0 THEN acquired / income END AS acq_ratio, one_off >= acquired * 0.6 AS eased, n_vehicles / (1 + n_adults) AS per_adult FROM feat1)
+"""
+
+
+def with_feat(select: str, more: str = "") -> str:
+    return PRELUDE + more + select
+
+
+def r(x: str, n: int) -> str:
+    return f"floor(({x}) * 1e{n} + 0.5) / 1e{n}"
+
+
+#: Severity of each rule in SQL, over ``feat``; the order of the rules is that of ``operators.rules``.
+RULE_SQL = [
+    ("tq1", "data_quality", 1, 1.0, "CASE WHEN bad_dates > 0 THEN 'LOW' END"),
+    ("tq2", "data_quality", 1, 1.0, "CASE WHEN orphans > 0 THEN 'LOW' END"),
+    ("tq3", "data_quality", 1, 0.8, "CASE WHEN share_issues > 0 THEN 'LOW' END"),
+    ("tq4", "data_quality", 1, 1.0, "CASE WHEN bad_numbers > 0 THEN 'LOW' END"),
+    ("tq5", "data_quality", 1, 0.6, "CASE WHEN estate_na AND land IN ('1','ua','ukr','ukraine','україна') AND n_positive > 0 THEN 'LOW' END"),
+    ("cr1", "corruption", 5, 1.0, "CASE WHEN income >= 10000 THEN CASE WHEN cash / income >= 10 THEN 'EXTREME' WHEN cash / income >= 5 THEN 'HIGH' WHEN cash / income >= 3 THEN 'MEDIUM' END END"),
+    ("cr2", "corruption", 4, 1.0, "CASE WHEN fx_share >= 0.7 AND fx_income >= 3 THEN 'HIGH' WHEN fx_share >= 0.5 AND fx_income >= 1.5 THEN 'MEDIUM' END"),
+    ("cr3", "corruption", 5, 0.9, "CASE WHEN acq_ratio >= 7 THEN CASE WHEN eased THEN 'HIGH' ELSE 'EXTREME' END WHEN acq_ratio >= 3 THEN CASE WHEN eased THEN 'MEDIUM' ELSE 'HIGH' END WHEN acq_ratio >= 2 THEN 'MEDIUM' END"),
+    ("cr4", "corruption", 4, 0.9, "CASE WHEN income < 150000 AND mid_high >= 2 THEN 'HIGH' END"),
+    ("cr6a", "corruption", 3, 0.8, "CASE WHEN home_area > 400 THEN 'HIGH' WHEN home_area > 250 THEN 'MEDIUM' END"),
+    ("cr6b", "corruption", 3, 0.8, "CASE WHEN land_area > 500000 THEN 'HIGH' WHEN land_area > 100000 THEN 'MEDIUM' END"),
+    ("cr7a", "corruption", 3, 0.9, "CASE WHEN n_luxury >= 2 AND income < 1000000 THEN 'HIGH' WHEN n_luxury >= 1 AND income < 600000 THEN 'MEDIUM' END"),
+    ("cr7b", "corruption", 3, 0.8, "CASE WHEN per_adult >= 3.5 THEN 'HIGH' WHEN income < 500000 AND per_adult >= 2.5 THEN 'MEDIUM' END"),
+    ("cr8", "corruption", 3, 0.8, "CASE WHEN (land_area >= 100000 OR n_machines > 0) AND agri_income = 0 THEN CASE WHEN land_area >= 500000 THEN 'HIGH' ELSE 'MEDIUM' END END"),
+    ("cr9", "corruption", 3, 0.7, "CASE WHEN rentable > 0 AND rent_income < 30000 THEN CASE WHEN rentable >= 3 THEN 'HIGH' ELSE 'MEDIUM' END END"),
+    ("cr10", "opacity", 4, 0.9, "CASE WHEN hidden_major >= 2 OR (hidden_major >= 1 AND largest_hidden) THEN 'HIGH' WHEN hidden_major >= 1 THEN 'MEDIUM' END"),
+    ("cr11", "corruption", 5, 0.8, "CASE WHEN proxy THEN 'HIGH' END"),
+    ("cr12", "corruption", 3, 0.7, "CASE WHEN kin_ratio >= 5 THEN 'HIGH' WHEN kin_ratio >= 2 THEN 'MEDIUM' END"),
+    ("cr13", "opacity", 5, 1.0, "CASE WHEN no_info >= 3 THEN 'HIGH' END"),
+]
+L2_SQL = f"CASE WHEN cash_share > 0.8 THEN {r('least(1.0, (cash_share - 0.8) / (1 - 0.8))', 3)} ELSE 0.0 END"
+
+
+def pts(base: float, conf: float, sev: str) -> str:
+    return f"CASE {sev} " + " ".join(f"WHEN '{k}' THEN {V.points(base, k, conf)!r}" for k in ("LOW", "MEDIUM", "HIGH", "EXTREME")) + " ELSE 0.0 END"
+
+
+LAYERS = ", sev AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, _, _, _, e in RULE_SQL) + f", {L2_SQL} AS l2 FROM feat),\n"
+
+
+def _sum(category: str) -> str:
+    return " + ".join(pts(b, k, n) for n, c, b, k, _ in RULE_SQL if c == category)
+
+
+#: The corruption sum is taken in rule order, the legacy cash rule before CR1, as the engine adds it.
+LAYERS += f"""sums AS (SELECT *, l2 + {_sum('corruption')} AS cor, {_sum('opacity')} AS opa, least(2.0, {_sum('data_quality')}) AS qua,
+  CASE WHEN cr1 IS NOT NULL AND cr2 IS NOT NULL THEN 3.0 ELSE 0.0 END + CASE WHEN cr10 IS NOT NULL AND cr13 IS NOT NULL THEN 3.0 ELSE 0.0 END AS bonus FROM sev),
+tot AS (SELECT *, CASE WHEN cor <= 0 AND opa > 0 THEN least(opa, 0.25 * cor) ELSE opa END AS opc FROM sums),
+fin AS (SELECT *, cor + 0.5 * opc + 0.1 * qua + bonus AS raw FROM tot),
+scored AS (SELECT *, CASE WHEN raw > 0 THEN {r('100 * (1 - exp(-raw / 12))', 2)} ELSE 0.0 END AS total_score,
+  list_distinct_ordered AS rules FROM (SELECT *, array_to_string(list_filter([
+    CASE WHEN tq1 IS NOT NULL THEN 'TQ1' END, CASE WHEN tq2 IS NOT NULL THEN 'TQ2' END, CASE WHEN tq3 IS NOT NULL THEN 'TQ3' END, CASE WHEN tq4 IS NOT NULL THEN 'TQ4' END, CASE WHEN tq5 IS NOT NULL THEN 'TQ5' END,
+    CASE WHEN l2 > 0 THEN 'cash_to_bank_ratio' END, CASE WHEN cr1 IS NOT NULL THEN 'CR1' END, CASE WHEN cr2 IS NOT NULL THEN 'CR2' END, CASE WHEN cr3 IS NOT NULL THEN 'CR3' END, CASE WHEN cr4 IS NOT NULL THEN 'CR4' END,
+    CASE WHEN cr6a IS NOT NULL OR cr6b IS NOT NULL THEN 'CR6' END, CASE WHEN cr7a IS NOT NULL OR cr7b IS NOT NULL THEN 'CR7' END, CASE WHEN cr8 IS NOT NULL THEN 'CR8' END, CASE WHEN cr9 IS NOT NULL THEN 'CR9' END,
+    CASE WHEN cr10 IS NOT NULL THEN 'CR10' END, CASE WHEN cr11 IS NOT NULL THEN 'CR11' END, CASE WHEN cr12 IS NOT NULL THEN 'CR12' END, CASE WHEN cr13 IS NOT NULL THEN 'CR13' END], lambda x: x IS NOT NULL), ',') AS list_distinct_ordered FROM fin))
+"""
+
+
+def with_scores(select: str) -> str:
+    return PRELUDE + LAYERS + select
+
+
+# ---- parsing -------------------------------------------------------------------------------------------------------
+
+TEXTS = "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '[Не відомо]' WHEN 1 THEN '[щось інше]' WHEN 2 THEN 'n/a' WHEN 3 THEN '' ELSE replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS {t}), '.', ',') END AS x FROM {o}"
+
+
+def _texts(c: Context) -> DataFrame:
+    return c.spark.sql(TEXTS.format(t="STRING", o="{orders}"), orders=c.raw("orders"))
+
+
+@query("placeholder_status", f"SELECT o_orderkey, CASE WHEN x = '[Не відомо]' THEN 'unknown' WHEN regexp_matches(x, '^\\[.+\\]$') THEN 'redacted_other' END AS status FROM ({TEXTS.format(t='VARCHAR', o='orders')})")
+def _(c):
+    return _texts(c).select("o_orderkey", V.placeholder_status(F.col("x")).alias("status"))
+
+
+@query("safe_number", f"""SELECT o_orderkey, CAST(v AS DOUBLE) AS value, CASE WHEN x = '' THEN NULL WHEN x = '[Не відомо]' THEN 'unknown' WHEN regexp_matches(x, '^\\[.+\\]$') THEN 'redacted_other' WHEN v IS NULL THEN 'parse_error' END AS status
+  FROM (SELECT *, TRY_CAST(replace(trim(x), ',', '.') AS DECIMAL(18,2)) AS v FROM ({TEXTS.format(t='VARCHAR', o='orders')}))""")
+def _(c):
+    return _texts(c).select("o_orderkey", V.safe_number(F.col("x")).alias("n")).select("o_orderkey", F.col("n.value").cast("double").alias("value"), "n.status")
+
+
+CODES = "SELECT l_orderkey, l_linenumber, CASE l_suppkey % 6 WHEN 0 THEN 'UAH (Українська гривня)' WHEN 1 THEN ' USD' WHEN 2 THEN 'Долари США, долар' WHEN 3 THEN 'євро' WHEN 4 THEN '1' ELSE 'сто гривні' END AS x FROM {l}"
+
+
+@query("currency_code", f"SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(trim(x), '^[A-Z][A-Z][A-Z]([^A-Za-z0-9]|$)') THEN substr(trim(x), 1, 3) WHEN contains(lower(x), 'грн') OR contains(lower(x), 'гривн') THEN 'UAH' WHEN contains(lower(x), 'долар') THEN 'USD' WHEN contains(lower(x), 'євро') THEN 'EUR' END AS code FROM ({CODES.format(l='lineitem')})")
+def _(c):
+    return c.spark.sql(CODES.format(l="{lineitem}"), lineitem=c.raw("lineitem")).select("l_orderkey", "l_linenumber", V.currency_code(F.col("x")).alias("code"))
+
+
+@query("extended_status", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN 'not_applicable' WHEN 2 THEN 'unknown' WHEN 3 THEN 'family_no_info' END AS status FROM orders")
+def _(c):
+    return c.raw("orders").select("o_orderkey", V.extended_status((F.col("o_orderkey") % 6).cast("string")).alias("status"))
+
+
+@query("json_props_parse", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def _(c):
+    return c.raw("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("year_extract", f"SELECT l_orderkey, l_linenumber, {year_of('x')} AS year FROM (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 'бл. ' || strftime(l_shipdate, '%d.%m.%Y') WHEN 1 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE 'давно' END AS x FROM lineitem)")
+def _(c):
+    x = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("бл. "), F.date_format("l_shipdate", "dd.MM.yyyy"))).when(F.col("l_linenumber") % 3 == 1, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise("давно")
+    return c.raw("lineitem").select("l_orderkey", "l_linenumber", V.year_in(x).alias("year"))
+
+
+# ---- sections and features -----------------------------------------------------------------------------------------
+
+
+@query("owner_resolution", f"WITH {adapter.prelude()} SELECT r.declaration_id, r.pos, CASE WHEN right_belongs_raw = '1' THEN 'declarant' WHEN f.member_id IS NOT NULL THEN f.relation || ' (' || f.firstname || ' ' || f.lastname || ')' WHEN right_belongs_raw = 'j' THEN 'third_party' ELSE 'unknown:' || right_belongs_raw END AS owner FROM real_estate r LEFT JOIN family f ON f.declaration_id = r.declaration_id AND f.member_id = r.right_belongs_raw")
+def _(c):
+    from ..operators.sections import with_owner
+
+    return with_owner(c.t.real_estate.drop("right_belongs_resolved"), c.t.family, "right_belongs_raw", "owner").select(ID, "pos", "owner")
+
+
+@query("fx_to_uah", f"WITH {adapter.prelude()} SELECT declaration_id, pos, CAST({UAH} AS DOUBLE) AS uah FROM monetary")
+def _(c):
+    return c.t.monetary.select(ID, "pos", V.dbl(V.to_uah(F.col("amount"), F.col("currency_code"))).alias("uah"))
+
+
+@query("income_type_breakdown", f"WITH {adapter.prelude()} SELECT declaration_id, coalesce(nullif(income_type,''),'unknown') AS income_type, CAST(sum(amount) AS DOUBLE) AS amount FROM incomes WHERE amount IS NOT NULL GROUP BY 1, 2")
+def _(c):
+    kind = F.coalesce(F.nullif("income_type", F.lit("")), F.lit("unknown"))
+    return c.t.incomes.filter("amount is not null").groupBy(ID, kind.alias("income_type")).agg(V.dbl(F.sum("amount")).alias("amount"))
+
+
+def feature(key: str, **cols: tuple[str, str | Callable[[], Column]]) -> None:
+    """A query of columns of the wide row: alias -> (SQL over feat, Spark column)."""
+    @query(key, with_feat("SELECT declaration_id, " + ", ".join(f"{s} AS {k}" for k, (s, _) in cols.items()) + " FROM feat"))
+    def _(c):
+        return c.wide.select(ID, *[(F.col(v) if isinstance(v, str) else v()).alias(k) for k, (_, v) in cols.items()])
+
+
+def big(x: str) -> Callable[[], Column]:
+    return lambda: F.col(x).cast("long")
+
+
+def dbl(x: str) -> Callable[[], Column]:
+    return lambda: V.dbl(F.col(x))
+
+
+feature("total_income", total_income=("income", dbl("total_income")))
+feature("income_source_count", n_sources=("n_sources", big("n_sources")))
+feature("total_assets", total_assets=("assets", dbl("total_assets")))
+feature("asset_income_ratio", ratio=(f"CASE WHEN assets IS NULL OR income IS NULL THEN NULL WHEN income <= 0 THEN CASE WHEN assets > 0 THEN 1000.0 END ELSE least({r('assets / income', 2)}, 1000.0) END", lambda: V.asset_income_ratio(F.col("total_assets"), F.col("total_income"))))
+feature("largest_acquisition", largest=("largest", dbl("largest_acquisition")))
+feature("cash_bank_split", **{k: (k, dbl(k)) for k in ("cash", "bank", "other")}, cash_ratio=("cash_ratio", "cash_ratio"))
+feature("ownership_summary", **{k: (k, big(k)) for k in ("own_total", "own_declarant", "own_family", "own_third_party", "own_unknown")},
+        declarant_share=(f"CASE WHEN own_total > 0 THEN {r('own_declarant / own_total', 4)} END", lambda: F.when(F.col("own_total") > 0, V.rounded(V.dbl(F.col("own_declarant")) / F.col("own_total"), 4))))
+feature("unknown_counts", fields=("CAST(fields AS BIGINT)", big("fields")), unknown=("CAST(unknown_fields AS BIGINT)", big("unknown_fields")))
+feature("confidential_ratio", ratio=("CAST(conf_ratio AS DOUBLE)", "confidential_ratio"))
+feature("unknown_share", share=("CAST(unknown_share AS DOUBLE)", "unknown_share"))
+feature("section_counts", **{k: (f"CAST({k} AS BIGINT)", big(k)) for k in ("n_incomes", "n_monetary", "n_estate", "n_vehicles")})
+feature("display_name", name=("concat_ws(' ', nullif(lastname,''), nullif(firstname,''), nullif(middlename,''))", serving.name))
+
+# ---- legacy rules --------------------------------------------------------------------------------------------------
+
+
+def over(x: str, limit: str, top: str) -> str:
+    return f"CASE WHEN {x} > {limit} THEN {r(f'least(1.0, ({x} - {limit}) / {top})', 3)} ELSE 0.0 END"
+
+
+def poor(x: str, limit: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR income IS NULL THEN 0.0 WHEN income <= 0 THEN CASE WHEN {x} > 0 THEN 1.0 ELSE 0.0 END ELSE {over(f'({x} / income)', limit, limit)} END"
+
+
+LEGACY_SQL = {
+    "unexplained_wealth": poor("assets", "3.0"), "cash_to_bank_ratio": L2_SQL,
+    "unknown_value_frequency": f"CASE WHEN fields >= 4 THEN {over('(unknown_fields / fields)', '0.5', '(1 - 0.5)')} ELSE 0.0 END", "acquisition_income_mismatch": poor("largest", "1.5"),
+    "zero_income_with_assets": f"CASE WHEN income <= 0 AND assets >= 100000 THEN {r('least(1.0, assets / 1e6)', 3)} ELSE 0.0 END", "family_asset_concentration": f"CASE WHEN own_total >= 3 THEN {over('(own_family / own_total)', '0.7', '(1 - 0.7)')} ELSE 0.0 END",
+}
+
+
+def _legacy(name: str, rule: str) -> None:
+    @query(name, with_feat(f"SELECT declaration_id, CAST({LEGACY_SQL[rule]} AS DOUBLE) AS score FROM feat"))
+    def _(c):
+        return rules.legacy(c.wide).select(ID, F.col(rule).alias("score"))
+
+
+for _name, _rule in (("rule_unexplained_wealth", "unexplained_wealth"), ("rule_cash_to_bank", "cash_to_bank_ratio"), ("rule_unknown_frequency", "unknown_value_frequency"), ("rule_acquisition_mismatch", "acquisition_income_mismatch"), ("rule_zero_income", "zero_income_with_assets"), ("rule_family_concentration", "family_asset_concentration")):
+    _legacy(_name, _rule)
+
+
+@query("legacy_score", with_feat("SELECT declaration_id, CASE WHEN s > 0 THEN " + r("100 * (1 - exp(-s / 12))", 2) + " ELSE 0.0 END AS score FROM (SELECT declaration_id, 0.0 + " + " + ".join(LEGACY_SQL.values()) + " AS s FROM feat)"))
+def _(c):
+    return rules.legacy(c.wide).select(ID, F.col("legacy_score").alias("score"))
+
+
+# ---- declaration rules ---------------------------------------------------------------------------------------------
+
+
+def _rule(name: str, rule: str, parts: list[str]) -> None:
+    sql = " UNION ALL ".join(f"SELECT declaration_id, {p} AS severity, CAST({pts(b, k, p)} AS DOUBLE) AS score FROM sev WHERE {p} IS NOT NULL" for p, _, b, k, _ in RULE_SQL if p in parts)
+
+    @query(name, with_scores(sql))
+    def _(c):
+        mine = [x for x in rules.conditions() if x[1] == rule]
+        df = c.wide.withColumn("hits", rules.hits(mine))
+        return df.select(ID, F.explode("hits").alias("h")).select(ID, "h.severity", "h.score")
+
+
+for _name, _rule_id, _parts in (
+    ("tq1_dates", "TQ1", ["tq1"]), ("tq2_orphans", "TQ2", ["tq2"]), ("tq3_shares", "TQ3", ["tq3"]), ("tq4_extremes", "TQ4", ["tq4"]), ("tq5_not_applicable", "TQ5", ["tq5"]),
+    ("cr1_cash_income", "CR1", ["cr1"]), ("cr2_fx_cash", "CR2", ["cr2"]), ("cr3_acquisition", "CR3", ["cr3"]), ("cr4_low_income_buys", "CR4", ["cr4"]), ("cr6_area", "CR6", ["cr6a", "cr6b"]), ("cr7_vehicles", "CR7", ["cr7a", "cr7b"]),
+    ("cr8_agri", "CR8", ["cr8"]), ("cr9_rentable", "CR9", ["cr9"]), ("cr10_unknown_major", "CR10", ["cr10"]), ("cr11_proxy", "CR11", ["cr11"]), ("cr12_concentration", "CR12", ["cr12"]), ("cr13_no_info", "CR13", ["cr13"]),
+):
+    _rule(_name, _rule_id, _parts)
+
+
+@query("declaration_score", with_scores(f"SELECT declaration_id, total_score, {r('raw', 3)} AS raw_total_score, {r('cor', 3)} AS corruption_risk_score, {r('opc', 3)} AS opacity_evasion_score, {r('qua', 3)} AS data_quality_score, rules FROM scored"))
+def _(c):
+    return c.scored.select(ID, "total_score", "raw_total_score", "corruption_risk_score", "opacity_evasion_score", "data_quality_score", F.concat_ws(",", "rules").alias("rules"))
+
+
+# ---- cohorts -------------------------------------------------------------------------------------------------------
+
+COHORTS = """, mem AS (SELECT declaration_id, post_type, declaration_year, nullif(income, 0) AS income, nullif(assets, 0) AS assets, cash_ratio AS cash, CAST(conf_ratio AS DOUBLE) AS conf, fx_share, CASE WHEN income > 0 THEN f.cash / income WHEN f.cash IS NOT NULL THEN 0.0 END AS cash_income FROM feat f),
+big AS (SELECT post_type, declaration_year, list_sort(list(income) FILTER (WHERE income IS NOT NULL)) AS li, list_sort(list(assets) FILTER (WHERE assets IS NOT NULL)) AS la, list_sort(list(cash) FILTER (WHERE cash IS NOT NULL)) AS lc, list_sort(list(conf)) AS lf FROM mem GROUP BY 1, 2 HAVING count(income) >= 5),
+rk AS (SELECT m.*, li, la, lc, lf, len(list_filter(li, lambda x: x <= m.income)) / len(li) AS ri, len(list_filter(la, lambda x: x <= m.assets)) / len(la) AS ra FROM mem m JOIN big USING (post_type, declaration_year))
+"""
+
+
+@query("cohort_distributions", with_feat("SELECT post_type, declaration_year, CAST(len(li) AS BIGINT) AS n_income, CAST(len(la) AS BIGINT) AS n_assets, CAST(len(lc) AS BIGINT) AS n_cash, CAST(len(lf) AS BIGINT) AS n_conf FROM big", COHORTS))
+def _(c):
+    return cohorts.large_enough(cohorts.members(c.wide))
+
+
+@query("cohort_percentile_rank", with_feat("SELECT declaration_id, CAST(ri AS DOUBLE) AS rank FROM rk WHERE income IS NOT NULL", COHORTS))
+def _(c):
+    return cohorts.ranks(c.wide_once, "income").select(ID, "rank")
+
+
+@query("cohort_percentile_value", with_feat("SELECT post_type, declaration_year, li[CAST(least(floor(len(li) * 0.95), len(li) - 1) AS BIGINT) + 1] AS income_p95, lf[CAST(least(floor(len(lf) * 0.5), len(lf) - 1) AS BIGINT) + 1] AS conf_median FROM big", COHORTS))
+def _(c):
+    rows = cohorts.members(c.wide_once)
+    return cohorts.ranked(rows, "income").groupBy(*cohorts.KEYS).agg(cohorts.at_index("income", 0.95).alias("income_p95")).join(cohorts.cuts(rows).select(*cohorts.KEYS, "conf_median"), cohorts.KEYS)
+
+
+RANK_OF = "len(list_filter({l}, lambda x: x <= {v})) / len({l})"
+
+
+@query("cr16_outliers", with_feat(f"""SELECT declaration_id, seq, severity FROM (
+  SELECT declaration_id, 21 AS seq, CASE WHEN coalesce({RANK_OF.format(l='li', v='inc0')}, 0) >= 0.99 THEN 'MEDIUM' END AS severity FROM rk2
+  UNION ALL SELECT declaration_id, 22, CASE WHEN len(la) >= 5 THEN CASE WHEN {RANK_OF.format(l='la', v='ass0')} >= 0.99 THEN 'HIGH' WHEN {RANK_OF.format(l='la', v='ass0')} >= 0.95 THEN 'MEDIUM' END END FROM rk2
+  UNION ALL SELECT declaration_id, 23, CASE WHEN len(lc) >= 5 AND fx_share >= 0.5 AND {RANK_OF.format(l='lc', v='cash_income')} >= 0.99 THEN 'HIGH' END FROM rk2) WHERE severity IS NOT NULL""", COHORTS + ", rk2 AS (SELECT rk.*, f.income AS inc0, f.assets AS ass0 FROM rk JOIN feat f USING (declaration_id))\n"))
+def _(c):
+    df = cohorts.with_cuts(c.wide_once).withColumn("hits", rules.hits(rules.cohort_conditions()[:3]))
+    return df.select(ID, F.explode("hits").alias("h")).select(ID, "h.seq", "h.severity")
+
+
+@query("br3_density", with_feat("SELECT declaration_id, CASE WHEN conf > 3 * med THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM (SELECT *, lf[CAST(least(floor(len(lf) * 0.5), len(lf) - 1) AS BIGINT) + 1] AS med FROM rk) WHERE len(lf) >= 5 AND med > 0 AND conf > 2 * med", COHORTS))
+def _(c):
+    df = cohorts.with_cuts(c.wide_once).withColumn("hits", rules.hits(rules.cohort_conditions()[3:]))
+    return df.select(ID, F.explode("hits").alias("h")).select(ID, "h.severity")
+
+
+def _outlier(x: str) -> str:
+    return f"CASE WHEN {x} >= 0.95 THEN {r(f'least(1.0, ({x} - 0.95) / (1 - 0.95))', 3)} ELSE 0.0 END"
+
+
+@query("layer2_scores", with_scores(f", mem0 AS (SELECT 1) SELECT s.declaration_id, CAST({_outlier('ri')} AS DOUBLE) AS income_outlier, CAST(CASE WHEN len(la) >= 5 THEN {_outlier('ra')} ELSE 0.0 END AS DOUBLE) AS wealth_outlier, least(100.0, {r(f'total_score + 3 * ({_outlier(chr(114) + chr(105))} + CASE WHEN len(la) >= 5 THEN {_outlier(chr(114) + chr(97))} ELSE 0.0 END)', 2)}) AS score FROM scored s LEFT JOIN rk USING (declaration_id)".replace(", mem0 AS (SELECT 1)", COHORTS)))
+def _(c):
+    more = cohorts.layer2(c.wide_once)
+    df = rules.scored(rules.declaration_hits(c.wide_once)).select(ID, "total_score").join(more, ID)
+    return df.select(ID, "income_outlier", "wealth_outlier", F.least(F.lit(100.0), V.rounded(F.col("total_score") + 3 * (F.col("income_outlier") + F.col("wealth_outlier")), 2)).alias("score"))
