@@ -94,7 +94,7 @@ def estate_features(t: Tables) -> DataFrame:
         n(contains_any(F.col("object_type"), fixed.TRADE_STEMS)).alias("n_trade"),
         n(contains_any(F.col("object_type"), ("кварт",)) & contains_any(F.col("city"), fixed.CITY_STEMS)).alias("n_city_flats"),
         n((home | land) & hidden).alias("n_hidden_major"),
-        F.coalesce(F.max_by(F.when(home & (area > 0), hidden), F.when(home & (area > 0), F.struct(area.alias("a"), (-F.col("pos")).alias("p")))), F.lit(False)).alias("largest_hidden"),
+        F.coalesce(F.max_by(F.when(home & (area > 0), hidden), F.when(home & (area > 0), F.struct(area.alias("a"), (-F.col("pos")).alias("p"), (~hidden).alias("h")))), F.lit(False)).alias("largest_hidden"),
         n(some).alias("re_valued"), n(some & hidden).alias("re_hidden"),
         (n(F.col("known") & (F.col("cost_assessment_status") == "family_no_info")) + n(F.col("known") & (F.col("total_area_status") == "family_no_info"))).alias("re_no_info"),
         *[n(F.col("bucket") == b).alias(f"re_{b}") for b in ("declarant", "family", "third_party", "unknown")],

@@ -398,8 +398,194 @@ def _outlier(x: str) -> str:
     return f"CASE WHEN {x} >= 0.95 THEN {r(f'least(1.0, ({x} - 0.95) / (1 - 0.95))', 3)} ELSE 0.0 END"
 
 
-@query("layer2_scores", with_scores(f", mem0 AS (SELECT 1) SELECT s.declaration_id, CAST({_outlier('ri')} AS DOUBLE) AS income_outlier, CAST(CASE WHEN len(la) >= 5 THEN {_outlier('ra')} ELSE 0.0 END AS DOUBLE) AS wealth_outlier, least(100.0, {r(f'total_score + 3 * ({_outlier(chr(114) + chr(105))} + CASE WHEN len(la) >= 5 THEN {_outlier(chr(114) + chr(97))} ELSE 0.0 END)', 2)}) AS score FROM scored s LEFT JOIN rk USING (declaration_id)".replace(", mem0 AS (SELECT 1)", COHORTS)))
+@query("layer2_scores", with_scores(f"@ SELECT s.declaration_id, CAST({_outlier('ri')} AS DOUBLE) AS income_outlier, CAST(CASE WHEN len(la) >= 5 THEN {_outlier('ra')} ELSE 0.0 END AS DOUBLE) AS wealth_outlier, least(100.0, {r(f'total_score + 3 * ({_outlier('ri')} + CASE WHEN len(la) >= 5 THEN {_outlier('ra')} ELSE 0.0 END)', 2)}) AS score FROM scored s LEFT JOIN rk USING (declaration_id)".replace("@", COHORTS, 1)))
 def _(c):
     more = cohorts.layer2(c.wide_once)
     df = rules.scored(rules.declaration_hits(c.wide_once)).select(ID, "total_score").join(more, ID)
     return df.select(ID, "income_outlier", "wealth_outlier", F.least(F.lit(100.0), V.rounded(F.col("total_score") + 3 * (F.col("income_outlier") + F.col("wealth_outlier")), 2)).alias("score"))
+
+
+# ---- timelines -----------------------------------------------------------------------------------------------------
+
+LOWS = "lower(trim(coalesce({x}, '')))"
+EST_FP = f"concat_ws('|', 're', {LOWS.format(x='object_type')}, {LOWS.format(x='city')}, {LOWS.format(x='district')}, coalesce(CAST(CAST(total_area AS DECIMAL(30,1)) AS VARCHAR), ''))"
+VEH_FP = f"concat_ws('|', 'vh', {LOWS.format(x='brand')}, {LOWS.format(x='model')}, CAST(graduation_year AS VARCHAR), {LOWS.format(x='right_belongs_resolved')})"
+MAJOR = f"""maj AS (SELECT declaration_id, fingerprint, max(value) AS value FROM (SELECT declaration_id, {EST_FP} AS fingerprint, cost_assessment AS value FROM real_estate UNION ALL SELECT declaration_id, {VEH_FP}, cost_date FROM vehicles) WHERE value >= 1000000 GROUP BY 1, 2)"""
+ONE_OFF = f"oneoff AS (SELECT declaration_id, CAST(coalesce(sum(amount) FILTER (WHERE {has(TXT, 'спад|успад|inherit|продаж|sale|дар|дарув|gift')}), 0) AS DOUBLE) AS one_off_t FROM incomes GROUP BY 1)"
+SNAPS = f""", {MAJOR}, {ONE_OFF},
+snap0 AS (SELECT f.*, coalesce(one_off_t, 0.0) AS oo, nullif(cash, 0) AS c0, nullif(bank, 0) AS b0, CASE WHEN estate_cost > 0 THEN estate_cost END AS e0 FROM feat f LEFT JOIN oneoff USING (declaration_id)),
+mny AS (SELECT declaration_id, CAST(CASE WHEN nullif(cash, 0) IS NOT NULL OR nullif(bank, 0) IS NOT NULL THEN coalesce(cash, 0) + coalesce(bank, 0) ELSE CAST(monetary_raw AS DECIMAL(38,6)) END AS DOUBLE) AS mm,
+  CAST(CASE WHEN nullif(cash, 0) IS NOT NULL OR nullif(bank, 0) IS NOT NULL THEN coalesce(cash, 0) + coalesce(bank, 0) ELSE CAST(monetary_raw AS DECIMAL(38,6)) END AS DECIMAL(38,6)) AS md, CAST(estate_cost AS DECIMAL(38,6)) AS ed FROM feat0),
+snap AS (SELECT declaration_id, user_declarant_id, declaration_year AS year, declaration_type AS type, nullif(income, 0) AS income, c0 AS cash, b0 AS bank, mm AS monetary, e0 AS estate, CAST(CASE WHEN e0 IS NOT NULL THEN coalesce(md, CAST(0 AS DECIMAL(38,6))) + ed ELSE md END AS DOUBLE) AS assets,
+  n_incomes, n_monetary, n_estate, n_vehicles, unknown_share, work_post AS role, oo AS one_off FROM snap0 JOIN mny USING (declaration_id)),
+ann AS (SELECT *, lag(declaration_id) OVER w AS pid, lag(year) OVER w AS pyear, lag(income) OVER w AS pinc, lag(cash) OVER w AS pcash, lag(monetary) OVER w AS pmon, lag(assets) OVER w AS pass, lag(unknown_share) OVER w AS pshare, lag(role) OVER w AS prole FROM snap WHERE type = 1 WINDOW w AS (PARTITION BY user_declarant_id ORDER BY year)),
+app AS (SELECT a.declaration_id, count(*) AS n, max(m.value) AS v FROM ann a JOIN maj m ON m.declaration_id = a.declaration_id WHERE a.pid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM maj o WHERE o.declaration_id = a.pid AND o.fingerprint = m.fingerprint) GROUP BY 1),
+dis AS (SELECT a.declaration_id, count(*) AS n, max(m.value) AS v FROM ann a JOIN maj m ON m.declaration_id = a.pid WHERE NOT EXISTS (SELECT 1 FROM maj o WHERE o.declaration_id = a.declaration_id AND o.fingerprint = m.fingerprint) GROUP BY 1),
+chg AS (SELECT a.user_declarant_id, pyear AS from_year, year AS to_year, pinc, income AS inc, income - pinc AS income_delta, CASE WHEN pinc <> 0 THEN income / pinc END AS income_ratio, CASE WHEN pinc > 0 THEN (income - pinc) / pinc END AS income_growth,
+  pmon, monetary AS mon_now, monetary - pmon AS monetary_delta, CASE WHEN pmon <> 0 THEN monetary / pmon END AS monetary_ratio, cash - pcash AS cash_delta, CASE WHEN pass > 0 THEN (assets - pass) / pass END AS asset_growth,
+  unknown_share - pshare AS share_delta, unknown_share AS share_now, (lower(role) <> lower(prole) AND role <> '' AND prole <> '') AS role_changed, coalesce(app.n, 0) AS n_appeared, coalesce(dis.n, 0) AS n_left, CAST(coalesce(app.v, 0) AS DOUBLE) AS max_appeared, CAST(coalesce(dis.v, 0) AS DOUBLE) AS max_left, one_off
+  FROM ann a LEFT JOIN app USING (declaration_id) LEFT JOIN dis USING (declaration_id) WHERE pid IS NOT NULL)
+"""
+
+
+def _over(x: str, k: float) -> str:
+    return f"CASE WHEN {x} > {k} THEN least(1.0, ({x} - {k}) / {k}) END"
+
+
+CHANGE_SQL = {
+    "yoy_income_change": f"CASE WHEN pinc <= 0 AND inc > 0 THEN 0.5 ELSE coalesce({_over('income_ratio', 3.0)}, CASE WHEN income_ratio < 0.25 THEN least(1.0, (0.25 - income_ratio) / 0.25) END) END",
+    "yoy_asset_growth": f"CASE WHEN monetary_delta > 0 THEN CASE WHEN pinc > 0 THEN {_over('(monetary_delta / pinc)', 3.0)} WHEN pmon > 0 THEN {_over('(mon_now / pmon)', 3.0)} END END",
+    "foreign_cash_jump": "CASE WHEN cash_delta > 200000 THEN least(1.0, cash_delta / 1e6) END",
+    "CR5": "CASE WHEN asset_growth >= 0.5 AND (income_growth IS NULL OR income_growth <= 0.1) THEN 6.75 WHEN asset_growth >= 0.2 AND income_growth <= 0 THEN 4.0 END",
+    "BR2": "CASE WHEN share_delta >= 0.3 AND share_now >= 0.5 THEN 1.8 END",
+    "BR4": "CASE WHEN role_changed THEN CASE WHEN asset_growth >= 1 THEN 2.4 WHEN asset_growth >= 0.5 THEN 1.4 END END",
+    "CR14": "CASE WHEN n_appeared > 0 AND max_appeared >= 1000000 AND one_off < 0.5 * max_appeared THEN 6.0 WHEN n_left > 0 AND max_left >= 1000000 AND one_off < 300000 THEN CASE WHEN n_left >= 2 THEN 5.25 ELSE 3.5 END END",
+}
+SCORED_CHG = ", chs AS (SELECT *, " + ", ".join(f"CAST(coalesce({r(v, 3)}, 0) AS DOUBLE) AS {k}" for k, v in CHANGE_SQL.items()) + " FROM chg)"
+
+
+@query("yearly_snapshots", with_feat("SELECT user_declarant_id, year, income, cash, bank, monetary, estate, assets, CAST(unknown_share AS DOUBLE) AS unknown_share, one_off FROM snap", SNAPS))
+def _(c):
+    return timeline.snapshots(c.wide, c.t).select("user_declarant_id", "year", "income", "cash", "bank", "monetary", "estate", "assets", "unknown_share", "one_off")
+
+
+def _changes(c: Context) -> DataFrame:
+    return timeline.changes(timeline.snapshots(c.wide, c.t))
+
+
+@query("yoy_changes", with_feat("SELECT user_declarant_id, from_year, to_year, income_delta, income_ratio, income_growth, monetary_delta, monetary_ratio, cash_delta, asset_growth, CAST(share_delta AS DOUBLE) AS share_delta, role_changed FROM chg", SNAPS))
+def _(c):
+    return _changes(c).select("user_declarant_id", "from_year", "to_year", "income_delta", "income_ratio", "income_growth", "monetary_delta", "monetary_ratio", "cash_delta", "asset_growth", "share_delta", "role_changed")
+
+
+@query("major_assets", f"WITH {adapter.prelude()}, {MAJOR} SELECT declaration_id, fingerprint, CAST(value AS DOUBLE) AS value FROM maj")
+def _(c):
+    return timeline.major_assets(c.t).select(ID, "fingerprint", V.dbl(F.col("value")).alias("value"))
+
+
+@query("asset_turnover", with_feat("SELECT user_declarant_id, to_year, CAST(n_appeared AS BIGINT) AS n_appeared, CAST(n_left AS BIGINT) AS n_left, max_appeared, max_left FROM chg", SNAPS))
+def _(c):
+    return _changes(c).select("user_declarant_id", "to_year", F.col("n_appeared").cast("long").alias("n_appeared"), F.col("n_left").cast("long").alias("n_left"), "max_appeared", "max_left")
+
+
+@query("one_off_income", f"WITH {adapter.prelude()}, {ONE_OFF} SELECT declaration_id, one_off_t AS one_off FROM oneoff")
+def _(c):
+    return features.income_features(c.t).select(ID, V.dbl(F.col("one_off_timeline")).alias("one_off"))
+
+
+def _change_rule(name: str, rule: str) -> None:
+    @query(name, with_feat(f"SELECT user_declarant_id, max({rule}) AS score FROM chs GROUP BY 1", SNAPS + SCORED_CHG))
+    def _(c):
+        return timeline.change_scores(_changes(c)).groupBy("user_declarant_id").agg(F.max(rule).alias("score"))
+
+
+for _name, _rule_id in (("yoy_income_rule", "yoy_income_change"), ("yoy_asset_rule", "yoy_asset_growth"), ("cash_jump_rule", "foreign_cash_jump"), ("cr5_growth", "CR5"), ("br2_unknown_growth", "BR2"), ("br4_role_jump", "BR4"), ("cr14_turnover", "CR14")):
+    _change_rule(_name, _rule_id)
+
+
+@query("br1_corrections", f"WITH {adapter.prelude()} SELECT user_declarant_id, max(n) AS max_declarations, CASE WHEN max(n) >= 3 THEN 1.6 ELSE 0.0 END::DOUBLE AS score FROM (SELECT user_declarant_id, declaration_year, count(*) AS n FROM profile GROUP BY 1, 2) GROUP BY 1")
+def _(c):
+    return timeline.per_year(c.t.profile).select("user_declarant_id", "max_declarations", F.when(F.col("max_declarations") >= 3, 1.6).otherwise(0.0).alias("score"))
+
+
+THREE = ", thr AS (SELECT user_declarant_id, max(estate / mean) AS estate_ratio FROM (SELECT user_declarant_id, estate, avg(income) OVER w AS mean, count(*) FILTER (WHERE income > 0) OVER w AS n FROM snap WINDOW w AS (PARTITION BY user_declarant_id ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE n = 3 GROUP BY 1)"
+
+
+@query("cr15_three_year", with_feat(f"SELECT user_declarant_id, {r('estate_ratio', 6)} AS estate_ratio FROM thr", SNAPS + THREE))
+def _(c):
+    return timeline.three_year(timeline.snapshots(c.wide, c.t)).select("user_declarant_id", V.rounded(F.col("estate_ratio"), 6).alias("estate_ratio"))
+
+
+COR = "yoy_income_change + yoy_asset_growth + foreign_cash_jump + CR5 + BR4 + CR14 + CR15"
+TIMES = SNAPS + SCORED_CHG + THREE + ", wrs AS (SELECT user_declarant_id, count(*) AS n_changes, " + ", ".join(f"max({k}) AS {k}" for k in CHANGE_SQL) + f""" FROM chs GROUP BY 1),
+tl0 AS (SELECT s.user_declarant_id, s.n AS n_snapshots, coalesce(n_changes, 0) AS n_changes, {", ".join(f"coalesce({k}, 0.0) AS {k}" for k in CHANGE_SQL)}, CASE WHEN estate_ratio >= 15 THEN 4.8 ELSE 0.0 END::DOUBLE AS CR15
+  FROM (SELECT user_declarant_id, count(*) AS n FROM snap GROUP BY 1) s LEFT JOIN wrs USING (user_declarant_id) LEFT JOIN thr USING (user_declarant_id)),
+tl AS (SELECT *, {r(COR, 3)} AS cor, BR2 AS opa, CASE WHEN {COR} + 0.5 * BR2 > 0 THEN {r(f"100 * (1 - exp(-({COR} + 0.5 * BR2) / 12))", 2)} ELSE 0.0 END AS total_score FROM tl0)"""
+
+
+@query("timeline_score", with_feat("SELECT user_declarant_id, n_snapshots, CAST(n_changes AS BIGINT) AS n_changes, CAST(cor AS DOUBLE) AS corruption_risk_score, CAST(opa AS DOUBLE) AS opacity_evasion_score, total_score FROM tl", TIMES))
+def _(c):
+    return timeline.timelines(c.wide_once, c.t).select("user_declarant_id", "n_snapshots", "n_changes", "corruption_risk_score", "opacity_evasion_score", "total_score")
+
+
+@query("top_timelines", with_feat("SELECT user_declarant_id, total_score FROM tl WHERE n_snapshots >= 2 ORDER BY total_score DESC, user_declarant_id LIMIT 20", TIMES))
+def _(c):
+    return timeline.timelines(c.wide_once, c.t).filter("n_snapshots >= 2").orderBy(F.desc("total_score"), "user_declarant_id").limit(20).select("user_declarant_id", "total_score")
+
+
+@query("multi_year_eligible", f"WITH {adapter.prelude()} SELECT user_declarant_id, count(DISTINCT declaration_year) AS n_years FROM profile GROUP BY 1 HAVING count(DISTINCT declaration_year) >= 2")
+def _(c):
+    return c.t.profile.groupBy("user_declarant_id").agg(F.count_distinct("declaration_year").alias("n_years")).filter("n_years >= 2")
+
+
+# ---- serving -------------------------------------------------------------------------------------------------------
+
+
+def _listing(name: str, order: str, limit: int, offset: int, **how) -> None:
+    @query(name, with_scores(f"SELECT declaration_id, total_score, income, assets FROM scored ORDER BY {order}, declaration_id LIMIT {limit} OFFSET {offset}"))
+    def _(c):
+        return serving.page(c.scored, limit=limit, offset=offset, **how).select(ID, "total_score", V.dbl(F.col("total_income")).alias("income"), V.dbl(F.col("total_assets")).alias("assets"))
+
+
+_listing("list_by_score", "total_score DESC NULLS LAST", 50, 0)
+_listing("list_by_income", "income ASC NULLS LAST", 50, 0, sort_by="income", sort_dir="asc")
+_listing("list_by_name", "lastname ASC NULLS LAST, firstname ASC NULLS LAST, middlename ASC NULLS LAST", 50, 0, sort_by="name", sort_dir="asc")
+_listing("list_page", "assets DESC NULLS LAST", 25, 100, sort_by="assets")
+
+
+@query("list_search", with_scores("SELECT declaration_id, total_score FROM scored WHERE total_score >= 40 AND (firstname ILIKE '%0_7%' OR middlename ILIKE '%0_7%' OR lastname ILIKE '%0_7%' OR work_place ILIKE '%0_7%')"))
+def _(c):
+    return serving.filtered(c.scored, query="0_7", min_score=40).select(ID, "total_score")
+
+
+@query("list_search_text", with_scores("SELECT declaration_id, total_score FROM scored WHERE contains(lower(concat_ws(' ', lastname, firstname)), '7 customer') OR contains(lower(work_place), '7 customer')"))
+def _(c):
+    return serving.filtered(c.scored, query="7 CUSTOMER", wildcard=False).select(ID, "total_score")
+
+
+@query("list_totals_raw", f"WITH {adapter.prelude()} SELECT p.declaration_id, CAST(i.s AS DOUBLE) AS list_total_income, CAST(m.s AS DOUBLE) AS list_total_monetary_raw FROM profile p LEFT JOIN (SELECT declaration_id, sum(amount) AS s FROM incomes GROUP BY 1) i USING (declaration_id) LEFT JOIN (SELECT declaration_id, sum(amount) AS s FROM monetary GROUP BY 1) m USING (declaration_id)")
+def _(c):
+    part = lambda df, name: df.groupBy(ID).agg(V.dbl(F.sum("amount")).alias(name))
+    return c.t.profile.select(ID).join(part(c.t.incomes, "list_total_income"), ID, "left").join(part(c.t.monetary, "list_total_monetary_raw"), ID, "left")
+
+
+@query("stats_overview", with_scores(f"SELECT count(*) AS total, count(*) FILTER (WHERE total_score > 0) AS flagged, {r('CAST(sum(CAST(total_score AS DECIMAL(10,2))) AS DOUBLE) / count(*)', 3)} AS average FROM scored"))
+def _(c):
+    return serving.stats(c.scored)
+
+
+@query("rule_distribution", with_scores("SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(rules, ',')) AS rule FROM scored WHERE rules <> '') GROUP BY 1"))
+def _(c):
+    return serving.rule_distribution(c.scored)
+
+
+@query("score_bands", with_scores("SELECT CASE WHEN total_score <= 0 THEN 'None' WHEN total_score < 20 THEN 'Low' WHEN total_score < 40 THEN 'Moderate' WHEN total_score < 70 THEN 'High' ELSE 'Critical' END AS band, count(*) AS n FROM scored GROUP BY 1"))
+def _(c):
+    return c.scored.groupBy(V.score_band(F.col("total_score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+FIRST = "(SELECT min(declaration_id) FROM profile)"
+
+
+@query("declaration_detail", with_scores(f"SELECT s.declaration_id, total_score, (SELECT count(*) FROM incomes WHERE declaration_id = {FIRST}) AS n_incomes, (SELECT count(*) FROM real_estate WHERE declaration_id = {FIRST}) AS n_estate, (SELECT count(*) FROM monetary WHERE declaration_id = {FIRST}) AS n_monetary FROM scored s WHERE s.declaration_id = {FIRST}"))
+def _(c):
+    first = c.t.profile.agg(F.min(ID)).first()[0]
+    n = lambda x: F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)).cast("long")
+    return serving.detail(c.scored, c.t, first).select(ID, "total_score", n("incomes").alias("n_incomes"), n("real_estate").alias("n_estate"), n("monetary").alias("n_monetary"))
+
+
+@query("person_timeline", with_feat("SELECT user_declarant_id, year, income, assets FROM snap WHERE user_declarant_id = 7 ORDER BY year", SNAPS))
+def _(c):
+    only = adapter.tables(c.spark, c.sf_dir)
+    only.profile = only.profile.filter("user_declarant_id = 7")
+    return timeline.snapshots(features.wide(only), only).orderBy("year").select("user_declarant_id", "year", "income", "assets")
+
+
+@query("property_regroup", f"WITH {adapter.prelude()}, o AS (SELECT declaration_id, raw_iteration AS key, right_belongs_resolved AS owner, min(pos) AS pos, count(*) AS n FROM real_estate GROUP BY 1, 2, 3) SELECT declaration_id, key, CAST(sum(n) AS BIGINT) AS n_rights, string_agg(owner, ', ' ORDER BY pos, owner) AS owners FROM o GROUP BY 1, 2")
+def _(c):
+    return serving.estate_groups(c.t)
+
+
+@query("vehicle_regroup", f"WITH {adapter.prelude()} SELECT declaration_id, concat_ws('|', object_type, brand, model, CAST(graduation_year AS VARCHAR), owning_date) AS key, count(*) AS n_rights FROM vehicles GROUP BY 1, 2")
+def _(c):
+    return serving.vehicle_groups(c.t).select(ID, "key", "n_rights")
