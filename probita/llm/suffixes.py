@@ -130,7 +130,7 @@ def regions(data: bytes, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]
         a, r = place[new] + back, rolling(u, HALF)
         left = np.where(a >= HALF - GRAM, r[np.maximum(a - (HALF - GRAM), 0)] ^ _LEFT, 0)
         right = np.where(a < len(r), r[np.minimum(a, len(r) - 1)], 0)
-        yield at + new, np.diff(np.r_[new, len(place)]), h[place[new]], left, right
+        yield at + new, np.diff(np.r_[new, len(place)]), mixed(h[place[new]]), left, right  # least hashes are small: mixed again to spread
 
 
 def half_keys(text: str) -> np.ndarray:
