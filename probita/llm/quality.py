@@ -3,8 +3,9 @@
 Each rule rejects a text when one of its ratios exceeds a cutoff. Cutoffs come from a fixed grid and are certified
 on the labelled rows, which nothing is fitted to: within each stratum (``lang``) a cutoff counts as safe only if the
 exact binomial tail P(X <= k | n, alpha/rules) is at most delta/m, where n is the number of labelled good texts of
-the stratum, k how many of them the cutoff rejects and m = strata x rules x cutoffs (Bonferroni). The strictest safe
-cutoff applies; a rule without a safe cutoff is off there. So with probability 1 - delta every stratum loses at most
+the stratum, k how many of them the cutoff rejects and m = strata x rules (Bonferroni; a rule's cutoffs are nested, so
+testing them from the loosest on up to the first failure needs no further correction). The strictest safe cutoff
+applies; a rule without a safe cutoff is off there. So with probability 1 - delta every stratum loses at most
 ``alpha`` of its good texts to the rules.
 
 Defined results: a null or empty text has no words and fails the base rule; a null ``lang`` is a stratum of its own;
@@ -100,7 +101,7 @@ def _log_tail(n: Column, k: Column, p: Column) -> Column:
     return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), start, step)["sum"]
 
 
-def thresholds(rated: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+def thresholds(rated: DataFrame, labels: DataFrame, *, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """(stratum, symbols, shouts, ...): the strictest certified cutoff of each rule, null where none is.
 
     ``rated``: doc_id, stratum and a column per rule, base failures left out; ``labels``: doc_id, quality."""
@@ -111,7 +112,7 @@ def thresholds(rated: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delt
     hits = level.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("by"))  # at most 16 levels
     grid = hits.select("stratum", "rule", "n", F.posexplode(F.array(*[F.lit(c) for c in CUTOFFS])).alias("i", "cutoff"), "by")
     k = F.aggregate(F.filter(F.map_entries("by"), lambda e: e["key"] > F.col("i")), F.lit(0).cast("long"), lambda a, e: a + e["value"])
-    grid = grid.select("stratum", "rule", "n", "cutoff", k.alias("k"), (F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))).alias("m"))
+    grid = grid.select("stratum", "rule", "n", "cutoff", k.alias("k"), (F.count(F.lit(1)).over(W.partitionBy(F.lit(1))) / len(CUTOFFS)).alias("m"))
     share = F.lit(alpha / len(RULES))
     safe = (F.col("k") < F.col("n") * share) & (_log_tail(F.col("n"), F.col("k"), share) <= F.log(F.lit(delta) / F.col("m")))
     best = grid.groupBy("stratum", "rule").agg(F.min(F.when(safe, F.col("cutoff"))).alias("cutoff"))
