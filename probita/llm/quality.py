@@ -101,7 +101,7 @@ def _log_tail(n: Column, k: Column, p: Column) -> Column:
     return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), start, step)["sum"]
 
 
-def thresholds(rated: DataFrame, labels: DataFrame, *, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def thresholds(rated: DataFrame, labels: DataFrame, *, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
     """(stratum, symbols, shouts, ...): the strictest certified cutoff of each rule, null where none is.
 
     ``rated``: doc_id, stratum and a column per rule, base failures left out; ``labels``: doc_id, quality."""
