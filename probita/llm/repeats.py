@@ -21,6 +21,8 @@ _BI = pow(_B, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 NONE = np.zeros(0, np.uint64)
 BROADCAST_ROWS = 200_000
+#: Contents of an anchor from which it counts as frequent.
+HOT = 500
 SENT = "bucket long, block long, payload binary"
 
 
@@ -90,11 +92,20 @@ def known(text: Column) -> tuple[Column, Column]:
 
 
 def live_contents(facts: DataFrame) -> DataFrame:
-    """``facts`` (digest, anchors, twice; any rows) -> the digests of contents that share an anchor with another, or repeat one."""
+    """``facts`` (digest, anchors, twice; any rows) -> the digests of contents that share an anchor with another, or repeat one.
+
+    Anchors of over HOT contents are few against the rows; they are looked up by broadcast behind a check of their
+    number, so that no task gets all rows of a frequent one. Beyond it they go with the others."""
     one = facts.select("digest", "anchors", "twice").dropDuplicates(["digest"])
     pairs = one.select(F.explode("anchors").alias("a"), F.xxhash64("digest").alias("c"), "digest")
-    shared = pairs.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("a")
-    return pairs.join(shared, "a", "left_semi").select("digest").union(one.filter("twice").select("digest")).distinct()
+    shared = pairs.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
+    shared = staged(shared.filter("lo <> hi").select("a", "n"), "repeats-anchors")
+    hot = shared.filter(F.col("n") > HOT).select("a")
+    found = one.filter("twice").select("digest")
+    if 0 < hot.count() <= BROADCAST_ROWS:
+        found = found.union(pairs.join(F.broadcast(hot), "a", "left_semi").select("digest"))
+        pairs = pairs.join(F.broadcast(hot), "a", "left_anti")
+    return found.union(pairs.join(shared.select("a"), "a", "left_semi").select("digest")).distinct()
 
 
 def live_texts(docs: DataFrame, text: str, live: DataFrame, tag: str, mb_each: float) -> tuple[DataFrame, int]:
