@@ -166,25 +166,38 @@ ZERO = (
 ZERO_MONEY = "one_off one_off_timeline agri_income rent_income home_area land_area fx_cash stem_cash".split()
 
 
-def wide(t: Tables) -> DataFrame:
-    """profile with all features. Counts are 0 and flags false where a section has no rows; sums stay null."""
-    estate = estate_features(t)
-    df = t.profile
-    for part in (income_features(t), monetary_features(t), estate, vehicle_features(t), account_features(t), family_features(t), share_issues(t), kin_features(t)):
-        df = df.join(part, ID, "left")
-    df = df.fillna(0, ZERO).fillna(False, ["largest_hidden", "proxy"])
-    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("decimal(38,4)")) for c in ZERO_MONEY})
-    assets = F.when(F.col("estate_cost").isNull() & F.col("monetary_uah").isNull(), None).otherwise(F.coalesce("estate_cost", F.lit(0)) + F.coalesce("monetary_uah", F.lit(0)))
-    fields = F.col("n_incomes") + 2 * F.col("n_monetary") + 2 * F.col("n_estate")
+PARTS = {
+    "incomes": income_features, "monetary": monetary_features, "real_estate": estate_features, "vehicles": vehicle_features,
+    "accounts": account_features, "family": family_features, "shares": share_issues, "kin": kin_features,
+}
+
+
+def _derived() -> dict[str, tuple[str, Column]]:
+    """Column -> (parts it needs, expression)."""
+    c = F.col
+    fields = c("n_incomes") + 2 * c("n_monetary") + 2 * c("n_estate")
     liquid = F.coalesce("cash", F.lit(0)) + F.coalesce("bank", F.lit(0))
-    df = df.withColumn("total_assets", assets.cast("decimal(38,6)"))
-    own = lambda b: F.col(f"re_{b}") + F.col(f"vh_{b}") + F.col(f"ac_{b}")
-    total = F.col("n_estate") + F.col("n_vehicles") + F.col("n_accounts")
-    known = F.col("re_valued") + F.col("mon_valued") + F.col("vh_valued")
-    return df.withColumns({
-        "fields": fields, "unknown_fields": F.col("inc_unknown") + F.col("mon_unknown") + F.col("re_hidden_fields"),
-        "confidential_ratio": F.when(fields > 0, dbl(F.col("inc_conf") + F.col("mon_conf") + F.col("re_conf")) / fields).otherwise(F.lit(0.0)),
-        "cash_ratio": F.when(liquid > 0, rounded(dbl(F.coalesce("cash", F.lit(0))) / dbl(liquid), 4)),
-        "own_total": total, "own_declarant": own("declarant"), "own_family": own("family"), "own_third_party": own("third_party"), "own_unknown": F.col("re_unknown_owner") + F.col("vh_unknown") + F.col("ac_unknown"),
-        "unknown_share": F.when(known > 0, dbl(F.col("re_hidden") + F.col("mon_hidden") + F.col("vh_hidden")) / known).otherwise(F.lit(0.0)),
-    })
+    own = lambda b: c(f"re_{b}") + c(f"vh_{b}") + c(f"ac_{b}")
+    known = c("re_valued") + c("mon_valued") + c("vh_valued")
+    assets = F.when(c("estate_cost").isNull() & c("monetary_uah").isNull(), None).otherwise(F.coalesce("estate_cost", F.lit(0)) + F.coalesce("monetary_uah", F.lit(0)))
+    rows, owned = "incomes monetary real_estate", "real_estate vehicles accounts"
+    return {
+        "total_assets": ("monetary real_estate", assets.cast("decimal(38,6)")),
+        "fields": (rows, fields), "unknown_fields": (rows, c("inc_unknown") + c("mon_unknown") + c("re_hidden_fields")),
+        "confidential_ratio": (rows, F.when(fields > 0, dbl(c("inc_conf") + c("mon_conf") + c("re_conf")) / fields).otherwise(F.lit(0.0))),
+        "cash_ratio": ("monetary", F.when(liquid > 0, rounded(dbl(F.coalesce("cash", F.lit(0))) / dbl(liquid), 4))),
+        "own_total": (owned, c("n_estate") + c("n_vehicles") + c("n_accounts")), "own_declarant": (owned, own("declarant")), "own_family": (owned, own("family")), "own_third_party": (owned, own("third_party")),
+        "own_unknown": (owned, c("re_unknown_owner") + c("vh_unknown") + c("ac_unknown")),
+        "unknown_share": ("monetary real_estate vehicles", F.when(known > 0, dbl(c("re_hidden") + c("mon_hidden") + c("vh_hidden")) / known).otherwise(F.lit(0.0))),
+    }
+
+
+def wide(t: Tables, parts: str = " ".join(PARTS)) -> DataFrame:
+    """profile with the features of ``parts``. Counts are 0 and flags false where a section has no rows; sums stay null."""
+    df = t.profile
+    for part in parts.split():
+        df = df.join(PARTS[part](t), ID, "left")
+    there = set(df.columns)
+    df = df.fillna(0, [x for x in ZERO if x in there]).fillna(False, [x for x in ("largest_hidden", "proxy") if x in there])
+    df = df.withColumns({x: F.coalesce(F.col(x), F.lit(0).cast("decimal(38,4)")) for x in ZERO_MONEY if x in there})
+    return df.withColumns({k: e for k, (need, e) in _derived().items() if set(need.split()) <= set(parts.split())})

@@ -264,11 +264,11 @@ def _(c):
     return c.t.incomes.filter("amount is not null").groupBy(ID, kind.alias("income_type")).agg(V.dbl(F.sum("amount")).alias("amount"))
 
 
-def feature(key: str, **cols: tuple[str, str | Callable[[], Column]]) -> None:
+def feature(key: str, parts: str, **cols: tuple[str, str | Callable[[], Column]]) -> None:
     """A query of columns of the wide row: alias -> (SQL over feat, Spark column)."""
     @query(key, with_feat("SELECT declaration_id, " + ", ".join(f"{s} AS {k}" for k, (s, _) in cols.items()) + " FROM feat"))
     def _(c):
-        return c.wide.select(ID, *[(F.col(v) if isinstance(v, str) else v()).alias(k) for k, (_, v) in cols.items()])
+        return features.wide(c.t, parts).select(ID, *[(F.col(v) if isinstance(v, str) else v()).alias(k) for k, (_, v) in cols.items()])
 
 
 def big(x: str) -> Callable[[], Column]:
@@ -279,19 +279,19 @@ def dbl(x: str) -> Callable[[], Column]:
     return lambda: V.dbl(F.col(x))
 
 
-feature("total_income", total_income=("income", dbl("total_income")))
-feature("income_source_count", n_sources=("n_sources", big("n_sources")))
-feature("total_assets", total_assets=("assets", dbl("total_assets")))
-feature("asset_income_ratio", ratio=(f"CASE WHEN assets IS NULL OR income IS NULL THEN NULL WHEN income <= 0 THEN CASE WHEN assets > 0 THEN 1000.0 END ELSE least({r('assets / income', 2)}, 1000.0) END", lambda: V.asset_income_ratio(F.col("total_assets"), F.col("total_income"))))
-feature("largest_acquisition", largest=("largest", dbl("largest_acquisition")))
-feature("cash_bank_split", **{k: (k, dbl(k)) for k in ("cash", "bank", "other")}, cash_ratio=("cash_ratio", "cash_ratio"))
-feature("ownership_summary", **{k: (k, big(k)) for k in ("own_total", "own_declarant", "own_family", "own_third_party", "own_unknown")},
+feature("total_income", "incomes", total_income=("income", dbl("total_income")))
+feature("income_source_count", "incomes", n_sources=("n_sources", big("n_sources")))
+feature("total_assets", "monetary real_estate", total_assets=("assets", dbl("total_assets")))
+feature("asset_income_ratio", "incomes monetary real_estate", ratio=(f"CASE WHEN assets IS NULL OR income IS NULL THEN NULL WHEN income <= 0 THEN CASE WHEN assets > 0 THEN 1000.0 END ELSE least({r('assets / income', 2)}, 1000.0) END", lambda: V.asset_income_ratio(F.col("total_assets"), F.col("total_income"))))
+feature("largest_acquisition", "real_estate", largest=("largest", dbl("largest_acquisition")))
+feature("cash_bank_split", "monetary", **{k: (k, dbl(k)) for k in ("cash", "bank", "other")}, cash_ratio=("cash_ratio", "cash_ratio"))
+feature("ownership_summary", "real_estate vehicles accounts", **{k: (k, big(k)) for k in ("own_total", "own_declarant", "own_family", "own_third_party", "own_unknown")},
         declarant_share=(f"CASE WHEN own_total > 0 THEN {r('own_declarant / own_total', 4)} END", lambda: F.when(F.col("own_total") > 0, V.rounded(V.dbl(F.col("own_declarant")) / F.col("own_total"), 4))))
-feature("unknown_counts", fields=("CAST(fields AS BIGINT)", big("fields")), unknown=("CAST(unknown_fields AS BIGINT)", big("unknown_fields")))
-feature("confidential_ratio", ratio=("CAST(conf_ratio AS DOUBLE)", "confidential_ratio"))
-feature("unknown_share", share=("CAST(unknown_share AS DOUBLE)", "unknown_share"))
-feature("section_counts", **{k: (f"CAST({k} AS BIGINT)", big(k)) for k in ("n_incomes", "n_monetary", "n_estate", "n_vehicles")})
-feature("display_name", name=("concat_ws(' ', nullif(lastname,''), nullif(firstname,''), nullif(middlename,''))", serving.name))
+feature("unknown_counts", "incomes monetary real_estate", fields=("CAST(fields AS BIGINT)", big("fields")), unknown=("CAST(unknown_fields AS BIGINT)", big("unknown_fields")))
+feature("confidential_ratio", "incomes monetary real_estate", ratio=("CAST(conf_ratio AS DOUBLE)", "confidential_ratio"))
+feature("unknown_share", "monetary real_estate vehicles", share=("CAST(unknown_share AS DOUBLE)", "unknown_share"))
+feature("section_counts", "incomes monetary real_estate vehicles", **{k: (f"CAST({k} AS BIGINT)", big(k)) for k in ("n_incomes", "n_monetary", "n_estate", "n_vehicles")})
+feature("display_name", "", name=("concat_ws(' ', nullif(lastname,''), nullif(firstname,''), nullif(middlename,''))", serving.name))
 
 # ---- legacy rules --------------------------------------------------------------------------------------------------
 
@@ -314,7 +314,7 @@ LEGACY_SQL = {
 def _legacy(name: str, rule: str) -> None:
     @query(name, with_feat(f"SELECT declaration_id, CAST({LEGACY_SQL[rule]} AS DOUBLE) AS score FROM feat"))
     def _(c):
-        return rules.legacy(c.wide).select(ID, F.col(rule).alias("score"))
+        return rules.legacy(features.wide(c.t, "incomes monetary real_estate vehicles accounts")).select(ID, F.col(rule).alias("score"))
 
 
 for _name, _rule in (("rule_unexplained_wealth", "unexplained_wealth"), ("rule_cash_to_bank", "cash_to_bank_ratio"), ("rule_unknown_frequency", "unknown_value_frequency"), ("rule_acquisition_mismatch", "acquisition_income_mismatch"), ("rule_zero_income", "zero_income_with_assets"), ("rule_family_concentration", "family_asset_concentration")):
@@ -323,7 +323,7 @@ for _name, _rule in (("rule_unexplained_wealth", "unexplained_wealth"), ("rule_c
 
 @query("legacy_score", with_feat("SELECT declaration_id, CASE WHEN s > 0 THEN " + r("100 * (1 - exp(-s / 12))", 2) + " ELSE 0.0 END AS score FROM (SELECT declaration_id, 0.0 + " + " + ".join(LEGACY_SQL.values()) + " AS s FROM feat)"))
 def _(c):
-    return rules.legacy(c.wide).select(ID, F.col("legacy_score").alias("score"))
+    return rules.legacy(features.wide(c.t, "incomes monetary real_estate vehicles accounts")).select(ID, F.col("legacy_score").alias("score"))
 
 
 # ---- declaration rules ---------------------------------------------------------------------------------------------
