@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import cohorts, features, rules, serving, timeline
+from ..operators import cohorts, features, rules, sections, serving, timeline
 from ..operators.features import ID
 from . import adapter
 from .stage import materialized
@@ -248,9 +248,7 @@ def _(c):
 
 @query("owner_resolution", f"WITH {adapter.prelude()} SELECT r.declaration_id, r.pos, CASE WHEN right_belongs_raw = '1' THEN 'declarant' WHEN f.member_id IS NOT NULL THEN f.relation || ' (' || f.firstname || ' ' || f.lastname || ')' WHEN right_belongs_raw = 'j' THEN 'third_party' ELSE 'unknown:' || right_belongs_raw END AS owner FROM real_estate r LEFT JOIN family f ON f.declaration_id = r.declaration_id AND f.member_id = r.right_belongs_raw")
 def _(c):
-    from ..operators.sections import with_owner
-
-    return with_owner(c.t.real_estate.drop("right_belongs_resolved"), c.t.family, "right_belongs_raw", "owner").select(ID, "pos", "owner")
+    return sections.with_owner(c.t.real_estate.drop("right_belongs_resolved"), c.t.family, "right_belongs_raw", "owner").select(ID, "pos", "owner")
 
 
 @query("fx_to_uah", f"WITH {adapter.prelude()} SELECT declaration_id, pos, CAST({UAH} AS DOUBLE) AS uah FROM monetary")
@@ -589,3 +587,39 @@ def _(c):
 @query("vehicle_regroup", f"WITH {adapter.prelude()} SELECT declaration_id, concat_ws('|', object_type, brand, model, CAST(graduation_year AS VARCHAR), owning_date) AS key, count(*) AS n_rights FROM vehicles GROUP BY 1, 2")
 def _(c):
     return serving.vehicle_groups(c.t).select(ID, "key", "n_rights")
+
+
+# ---- documents: the JSON path over documents made from customers ---------------------------------------------------
+
+DOCUMENTS = """concat('{"id": "', CAST(c_custkey AS STRING), '", "declaration_year": 2024, "user_declarant_id": ', CAST(c_custkey AS STRING), ', "data": {',
+  '"step_2": {"isNotApplicable": 0, "data": [', CASE WHEN c_custkey % 2 = 0 THEN concat('{"id": 77, "subjectRelation": "', CASE WHEN c_custkey % 4 = 0 THEN 'син' ELSE '' END, '", "firstname": "F", "lastname": "', c_mktsegment, '"}') ELSE '' END, ']}, ',
+  '"step_3": {"isNotApplicable": ', CASE WHEN c_custkey % 7 = 0 THEN '1' ELSE '0' END, ', "data": [{"objectType": "Квартира", "totalArea": "', CAST(c_nationkey AS STRING), ',5", "cost_date_assessment": "', CASE WHEN c_custkey % 5 = 0 THEN '[Не відомо]' ELSE '1 000' END, '", "iteration": "1", "rights": [',
+  CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{"rightBelongs": "1"}' ELSE '{"rightBelongs": "77"}, {"rightBelongs": "j"}' END, ']}]}, ',
+  '"step_11": {"isNotApplicable": 0, "data": [{"sizeIncome": "5,5", "person_who_care": [{"person": "1"}], "sources": [', CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{"source_ua_company_name": "A"}' ELSE '{"source_ua_company_name": "A"}, {"source_ua_company_name": "B"}, {"source_ua_company_name": "C"}' END, ']}]}}}')"""
+
+
+def _documents(c: Context) -> DataFrame:
+    return sections.parsed(c.raw("customer").select(F.expr(DOCUMENTS).alias("value")))
+
+
+LABEL = "CASE WHEN c_custkey % 4 = 0 THEN 'син' ELSE 'family' END || ' (F ' || c_mktsegment || ')'"
+
+
+@query("family_index", f"SELECT CAST(c_custkey AS VARCHAR) AS declaration_id, '77' AS member_id, {LABEL} AS label FROM customer WHERE c_custkey % 2 = 0")
+def _(c):
+    return sections.family_index(sections.family(_documents(c)))
+
+
+@query("real_estate_rights", f"""SELECT CAST(c_custkey AS VARCHAR) AS declaration_id, c_nationkey + 0.5::DOUBLE AS area, CASE WHEN c_custkey % 5 <> 0 THEN 1000.0::DOUBLE END AS cost, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' END AS cost_status,
+  CASE raw WHEN '1' THEN 'declarant' WHEN 'j' THEN 'third_party' WHEN '77' THEN CASE WHEN c_custkey % 2 = 0 THEN {LABEL} ELSE 'unknown:77' END END AS owner
+  FROM (SELECT *, unnest(CASE c_custkey % 3 WHEN 0 THEN [NULL] WHEN 1 THEN ['1'] ELSE ['77', 'j'] END) AS raw FROM customer WHERE c_custkey % 7 <> 0)""")
+def _(c):
+    docs = _documents(c)
+    rows = sections.real_estate(docs, sections.family(docs))
+    return rows.select(ID, V.dbl(F.col("total_area")).alias("area"), V.dbl(F.col("cost_assessment")).alias("cost"), F.col("cost_assessment_status").alias("cost_status"), F.col("right_belongs_resolved").alias("owner"))
+
+
+@query("income_sources_slice", "SELECT CAST(c_custkey AS VARCHAR) AS declaration_id, 5.5::DOUBLE AS amount, CASE WHEN c_custkey % 3 > 0 THEN 'A' END AS source_name, CASE WHEN c_custkey % 3 = 2 THEN 'B,C' ELSE '' END AS extra FROM customer")
+def _(c):
+    rows = sections.incomes(_documents(c))
+    return rows.select(ID, V.dbl(F.col("amount")).alias("amount"), "source_name", F.array_join(F.transform("extra_sources", lambda x: x["source_name"]), ",").alias("extra"))
