@@ -7,6 +7,12 @@ task traverses node pairs of the remaining 16 levels together, adds up differing
 budget. No such group holds more than 65,536 distinct fingerprints, whatever the data. Exact copies share a fingerprint
 and are folded before the join; each group's links go on as a spanning star, not as pairs.
 
+Edited copies differ in more bits than that, so :func:`near_groups` works on 256 bits of the distinct five-word shingles: two
+texts of similarity 0.8 (angle arccos(8/9)) differ in 15% of them, and texts link at ``WIDE_BUDGET`` or fewer. Its tries
+take the bits in pseudorandom orders, one walk per order; the first levels, equal bits again, are the shuffle key. Their
+number follows the logarithm of the number of texts, so groups stay small, and the number of walks follows from it such
+that a pair of similarity 0.8 meets in one of them with probability ``RECALL``, at every size.
+
 Defined results: null and empty texts and those without words have fingerprint zero and link to each other; fewer words
 than a shingle make one shingle; repeated rows get equal rows; a null id never becomes a component id unless all ids
 of the component are null; other columns are carried unread.
@@ -14,6 +20,7 @@ of the component are null; other columns are carried unread.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,28 +33,54 @@ from pyspark.sql import functions as F
 from .common import fresh, staged, table
 
 BUDGET, SEED = 2, 42
+#: Wide fingerprints: bits, budget over all of them, levels walked below the key and the budget there, chance to meet.
+WIDE_BITS, WIDE_BUDGET, LEVELS, LEVEL_BUDGET, RECALL = 256, 41, 16, 6, 0.95
+WIDE_SHARE = math.acos(8 / 9) / math.pi
+#: Rows walked at once, and how many members of each component of a larger group later rows are compared with.
+BLOCK, KEPT = 2048, 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The 64 bits as a signed integer."""
+def _hashes(text: str | None, shingle: int) -> Iterator[bytes]:
+    """The digests of the text's shingles, some thousands at a time; nothing for a text without words."""
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not w:
-        return 0
+        return
     flat, size = b" ".join(w), np.fromiter(map(len, w), np.int64, len(w))
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
     k = min(shingle, len(w))
     digest = xxhash.xxh64_digest
-    votes, n = np.zeros(64, np.int64), len(w) - k + 1
+    n = len(w) - k + 1
     for at in range(0, n, 8192):
-        part = b"".join([digest(flat[a:b], SEED) for a, b in zip(starts[at : min(at + 8192, n)].tolist(), ends[at + k - 1 : at + 8192 + k - 1].tolist(), strict=False)])
-        votes += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        yield b"".join([digest(flat[a:b], SEED) for a, b in zip(starts[at : min(at + 8192, n)].tolist(), ends[at + k - 1 : at + 8192 + k - 1].tolist(), strict=False)])
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The 64 bits as a signed integer."""
+    votes, n = np.zeros(64, np.int64), 0
+    for part in _hashes(text, shingle):
+        bits = np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1)
+        votes, n = votes + bits.sum(0, dtype=np.int64), n + len(bits)
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big", signed=True)
 
 
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """``WIDE_BITS`` bits over the set of shingles; each hash is remixed once per 64 bits."""
+    h = np.unique(np.frombuffer(b"".join(_hashes(text, shingle)), np.uint64))
+    votes = np.zeros(WIDE_BITS, np.int64)
+    salts = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 8192):
+        x = h[at : at + 8192, None] + salts
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        votes += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > len(h)).tobytes()
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3) -> tuple[DataFrame, str]:
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
@@ -70,8 +103,8 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def trie_links(key: np.ndarray, rest: np.ndarray, budget: int = BUDGET, bits: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows with equal ``key`` and at most ``budget`` differing bits in ``rest``; rows sorted by both.
+def node_pairs(key: np.ndarray, rest: np.ndarray, budget: int, bits: int) -> tuple[np.ndarray, ...]:
+    """Pairs of leaves, as ranges of rows, with equal ``key`` and at most ``budget`` differing bits in ``rest``; rows sorted by both.
 
     Node pairs (a range of rows against a range of rows) go down level by level, all groups at once."""
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
@@ -89,6 +122,12 @@ def trie_links(key: np.ndarray, rest: np.ndarray, budget: int = BUDGET, bits: in
         al, ah, bl, bh, err = (np.concatenate(c) for c in zip(*parts, strict=True))
         keep = (al < ah) & (bl < bh) & (err <= budget) & ((al != bl) | (ah - al > 1))
         al, ah, bl, bh, err = al[keep], ah[keep], bl[keep], bh[keep], err[keep]
+    return al, ah, bl, bh
+
+
+def trie_links(key: np.ndarray, rest: np.ndarray, budget: int = BUDGET, bits: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of different rows within the budget; see :func:`node_pairs`."""
+    al, _, bl, _ = node_pairs(key, rest, budget, bits)
     return al, bl
 
 
@@ -157,6 +196,96 @@ def with_component(rows: DataFrame, fp: str, doc_id: str) -> tuple[DataFrame, st
     return rows.join(to, rows[fp] == to[key], "left").drop(key), out
 
 
+def _wide_links(key: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows whose leaves meet in the trie and whose ``bits`` (rows of 64-bit words) are within the whole budget."""
+    al, ah, bl, bh = node_pairs(key, rest, LEVEL_BUDGET, LEVELS)
+    strips = -(-(ah - al) // 256)  # a wide leaf is compared in strips
+    at = np.repeat(np.arange(len(al)), strips)
+    low = al[at] + 256 * (np.arange(len(at)) - np.repeat(np.cumsum(strips) - strips, strips))
+    high, bl, bh = np.minimum(low + 256, ah[at]), bl[at], bh[at]
+    size = (high - low) * (bh - bl)
+    part = np.cumsum(size) >> 18
+    found = [(np.zeros(0, np.int64),) * 2]
+    for one in np.split(np.arange(len(size)), np.flatnonzero(np.diff(part)) + 1) if len(size) else ():
+        of = np.repeat(one, size[one])
+        off = np.arange(len(of)) - np.repeat(np.cumsum(size[one]) - size[one], size[one])
+        i, j = low[of] + off // (bh - bl)[of], bl[of] + off % (bh - bl)[of]
+        i, j = i[i < j], j[i < j]
+        near = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= WIDE_BUDGET
+        found.append((i[near], j[near]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _wide_walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rest, node, wide), sorted by key and rest -> spanning edges (a, b) of each key's links.
+
+    Groups of up to ``BLOCK`` rows are compared whole. A larger group goes on block by block, each together with the
+    earlier components of the group: all members of one of up to ``KEPT`` texts, ``KEPT`` spread members of a larger one."""
+    none = np.zeros(0, np.int64)
+    held, carried = (none, none, none, np.zeros((0, WIDE_BITS // 64), np.uint64)), 0
+
+    def linked(rows: tuple) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+        key, rest, node, bits = rows
+        root = _roots(len(key), *_wide_links(key, rest, bits))
+        on = np.flatnonzero(root != np.arange(len(key)))
+        return root, [pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(node[root[on]])], names=["a", "b"])] if len(on) else []
+
+    def rows_of(batch: pa.RecordBatch) -> tuple:
+        wide = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
+        return *(batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)), wide
+
+    for batch in batches:
+        held = tuple(np.concatenate(c) for c in zip(held, rows_of(batch), strict=True))
+        while len(held[0]) > carried + BLOCK:
+            key = held[0]
+            size = carried + BLOCK
+            cut = int(np.searchsorted(key, key[size]))  # the group that goes on beyond the block starts here
+            if cut:
+                yield from linked(tuple(c[:cut] for c in held))[1]
+                held, carried = tuple(c[cut:] for c in held), 0
+                continue
+            root, edges = linked(tuple(c[:size] for c in held))
+            yield from edges
+            order = np.argsort(root, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(root[order]) != 0])
+            count = np.diff(np.r_[first, size])
+            rank, of = np.arange(size) - np.repeat(first, count), np.repeat(count, count)
+            stay = np.sort(order[(of <= KEPT) | (rank * KEPT // of != (rank - 1) * KEPT // of)])
+            held, carried = tuple(np.concatenate([c[stay], c[size:]]) for c in held), len(stay)
+    if len(held[0]) > 1:
+        yield from linked(held)[1]
+
+
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """(node, wide), one row per distinct fingerprint -> edges (a, b) spanning the components found within the wide budget."""
+    front = min(40, max(8, math.ceil(math.log2(max(nodes.count(), 2))) - 7))
+    walks = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - WIDE_SHARE) ** front))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = [np.random.default_rng([SEED, m]).permutation(WIDE_BITS)[: front + LEVELS] for m in range(walks)]
+        weight = 1 << np.arange(64, dtype=np.int64)[::-1]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
+                bits = np.unpackbits(wide, axis=1).astype(np.int64)
+                for m, order in enumerate(orders):
+                    key, rest = bits[:, order[:front]] @ weight[-front:] + (m << front), bits[:, order[front:]] @ weight[-LEVELS:]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rest.astype(np.int32)), part.column(0), part.column(1)], names=["key", "rest", "node", "wide"])
+
+    dealt = nodes.select("node", "wide").mapInArrow(deal, "key long, rest int, node long, wide binary")
+    return dealt.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(_wide_walk, "a long, b long").distinct()
+
+
+def near_groups(rows: DataFrame, uid: str, doc_id: str = "doc_id", wide: str = "wide") -> DataFrame:
+    """Rows with unique ``uid`` and fingerprints ``wide`` -> (uid): of each group of near copies the row with the least id (nulls last)."""
+    best = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(uid).alias("uid"))).alias("best")
+    per = staged(rows.groupBy(F.col(wide).alias("wide")).agg(best).withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
+    roots = components(wide_links(per)).withColumnRenamed("node", "of")
+    named = per.select("node", "best").join(roots, F.col("node") == F.col("of"), "left")
+    return named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias(uid))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, fp = with_fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = staged(df.select("doc_id", fp), "simhash-rows")
@@ -165,10 +294,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the least id (one row of it, if repeated); the columns of ``docs``."""
-    df, fp = with_fingerprint(docs)
-    uid = fresh(df, "_uid")
-    df = staged(df.withColumn(uid, F.monotonically_increasing_id()), "simhash-docs")
-    out, comp = with_component(df.select(uid, "doc_id", fp), fp, "doc_id")
-    first = out.filter(F.col("doc_id").eqNullSafe(F.col(comp))).groupBy(comp).agg(F.min(uid).alias(uid)).select(uid)
+    """One document of each group of near copies (five words, similarity from 0.8 on) stays, the least id (one row of it,
+    if repeated); the columns of ``docs``."""
+    @F.pandas_udf("binary")
+    def wide_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t) for t in texts], dtype=object)
+
+    uid, wide = fresh(docs, "_uid"), fresh(docs, "_wide")
+    df = staged(docs.withColumn(wide, wide_of("text")).withColumn(uid, F.monotonically_increasing_id()), "simhash-docs")
+    first = near_groups(df.select(uid, "doc_id", wide), uid, wide=wide)
     return df.join(first, uid, "left_semi").select(*docs.columns)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -248,6 +249,100 @@ def test_simhash_components(spark):
     assert {r.doc_id: r[comp] for r in out.collect()} == dict(enumerate(root))
 
 
+def _linked(bits):
+    """Brute force: each row's least linked row."""
+    root = list(range(len(bits)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(bits)):
+        d = np.bitwise_count(bits[a] ^ bits[:a]).sum(1)
+        for b in np.flatnonzero(d <= simhash.WIDE_BUDGET):
+            x, y = find(a), find(int(b))
+            root[max(x, y)] = min(x, y)
+    return [find(x) for x in range(len(bits))]
+
+
+def test_wide_fingerprint():
+    random.seed(5)
+    base = [f"w{random.randrange(900)}" for _ in range(400)]
+    far = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(simhash.wide_fingerprint(a), simhash.wide_fingerprint(b), strict=True))
+    edited = [*base]
+    edited[50] = edited[200] = edited[300] = "new"
+    assert far(" ".join(base), " \n".join(edited).upper()) <= simhash.WIDE_BUDGET
+    assert far(" ".join(base), " ".join(base[:200] + [f"v{i}" for i in range(200)])) > simhash.WIDE_BUDGET
+    assert far(" ".join(base), " ".join(base + base[:300])) <= simhash.WIDE_BUDGET  # repeats count once
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" \n") == bytes(32)
+
+
+def test_wide_walk_over_blocks(monkeypatch):
+    """A group many times the block: one large cluster, small ones and single texts, all under one key."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "BLOCK", 128)
+    monkeypatch.setattr(simhash, "KEPT", 16)
+    rng = np.random.default_rng(3)
+    seed = rng.integers(0, 2, (8, 256), np.uint8)
+    rows = np.concatenate([seed[np.r_[np.zeros(600, int), np.repeat(np.arange(1, 8), 12)]] ^ (rng.random((684, 256)) < 0.05), rng.integers(0, 2, (150, 256), np.uint8)]).astype(np.uint8)
+    rows[:, :16] = rows[0, :16] ^ (rng.random((len(rows), 16)) < 0.05)  # all meet in the levels walked
+    rest = rows[:, :16].astype(np.int64) @ (1 << np.arange(16)[::-1])
+    order = np.argsort(rest, kind="stable")
+    rows, rest = rows[order], rest[order]
+    wide = [x.tobytes() for x in np.packbits(rows, axis=1)]
+    cut = [0, 300, 310, len(rows)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(b - a, 7)), pa.array(rest[a:b].astype(np.int32)), pa.array(np.arange(a, b)), pa.array(wide[a:b])], names=["key", "rest", "node", "wide"]) for a, b in itertools.pairwise(cut)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    edges = 0
+    for out in simhash._wide_walk(iter(batches)):
+        for a, b in zip(*[c.to_pylist() for c in out.columns], strict=True):
+            edges += 1
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert [find(x) for x in range(len(rows))] == _linked(np.frombuffer(b"".join(wide), np.uint64).reshape(-1, 4))
+    assert edges < 3 * len(rows)  # spanning stars, no pairs
+
+
+def test_near_groups(spark, docs):
+    kept = simhash.stage_simhash(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5, 6, 7, 10, 11, 12, 13, 15]
+    assert simhash.stage_simhash(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_groups_recall(spark):
+    """Against brute force on the small table: links of similarity 0.8 and more are found, unlike texts stay."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    every = {r.doc_id: r.text for r in rows.collect()}
+    kept = {r.doc_id for r in simhash.stage_simhash(spark, rows, "").collect()}
+    low = str.maketrans({c: c + 32 for c in range(65, 91)})
+    sets = {}
+    for i, t in every.items():
+        w = words((t or "").translate(low))
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))
+    holds = collections.defaultdict(set)
+    for i in sorted(sets):
+        for g in sets[i]:
+            holds[g].add(i)
+    near, some = set(), set()
+    for i in sorted(sets):
+        common = collections.Counter(j for g in sets[i] for j in holds[g] if j < i)
+        like = max((n / (len(sets[i]) + len(sets[j]) - n) for j, n in common.items()), default=0)
+        near |= {i} if like >= 0.8 else set()
+        some |= {i} if like >= 0.5 else set()
+    gone = set(every) - kept
+    assert len(near) > 20 and len(near & gone) >= 0.9 * len(near)
+    assert gone <= some
+
+
 def test_mixing(spark, docs):
     sized = mixing.staged(mixing.with_size(docs), "test-sizes")
     rows, pieces = mixing.mixed(sized, block=16)
