@@ -36,7 +36,7 @@ BUDGET, SEED = 2, 42
 #: Wide fingerprints: bits, budget over all of them, levels walked below the key and the budget there, chance to meet.
 WIDE_BITS, WIDE_BUDGET, LEVELS, LEVEL_BUDGET, RECALL = 256, 41, 16, 6, 0.95
 WIDE_SHARE = math.acos(8 / 9) / math.pi
-#: Rows walked at once, and how many members of each component of a larger group later rows are compared with.
+#: Rows walked at once, and how many members of each component of a larger group later rows are compared with first.
 BLOCK, KEPT = 2048, 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -219,41 +219,74 @@ def _wide_links(key: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> tuple[np
 def _wide_walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, rest, node, wide), sorted by key and rest -> spanning edges (a, b) of each key's links.
 
-    Groups of up to ``BLOCK`` rows are compared whole. A larger group goes on block by block, each together with the
-    earlier components of the group: all members of one of up to ``KEPT`` texts, ``KEPT`` spread members of a larger one."""
+    Groups of up to ``BLOCK`` rows are compared whole. A larger group goes on block by block, each first together with
+    earlier rows: all members of a component of up to ``KEPT`` texts, ``KEPT`` spread members of a larger one. Then rows
+    meet the other members of each component that they don't belong to yet, so no link in the group is left out."""
     none = np.zeros(0, np.int64)
-    held, carried = (none, none, none, np.zeros((0, WIDE_BITS // 64), np.uint64)), 0
-
-    def linked(rows: tuple) -> tuple[np.ndarray, list[pa.RecordBatch]]:
-        key, rest, node, bits = rows
-        root = _roots(len(key), *_wide_links(key, rest, bits))
-        on = np.flatnonzero(root != np.arange(len(key)))
-        return root, [pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(node[root[on]])], names=["a", "b"])] if len(on) else []
+    held, done = (none, none, none, np.zeros((0, WIDE_BITS // 64), np.uint64)), 0
+    root = none  # of the first ``done`` rows of held, which belong to one group
+
+    def edges(node: np.ndarray, old: np.ndarray, new: np.ndarray) -> list[pa.RecordBatch]:
+        on = np.flatnonzero((old == np.arange(len(old))) & (new != old))  # components that have joined another
+        return [pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(node[new[on]])], names=["a", "b"])] if len(on) else []
+
+    def first_met(size: int) -> np.ndarray:
+        order = np.argsort(root, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(root[order]) != 0])
+        count = np.diff(np.r_[first, len(root)])
+        rank, of = np.arange(len(root)) - np.repeat(first, count), np.repeat(count, count)
+        met = np.zeros(size, bool)
+        met[order[(of <= KEPT) | (rank * KEPT // of != (rank - 1) * KEPT // of)]] = True
+        met[len(root) :] = True
+        return met
+
+    def joined(size: int) -> np.ndarray:
+        """The roots of the first ``size`` rows, of which ``done`` have one."""
+        key, rest, _, bits = (c[:size] for c in held)
+        met = first_met(size)
+        near = np.flatnonzero(met)
+        a, b = _wide_links(key[near], rest[near], bits[near])
+        now = np.r_[root, np.arange(done, size)]
+        now = _roots(size, now[near[a]], now[near[b]])[now]
+        rest_of = np.flatnonzero(~met)
+        for one in np.unique(root[rest_of]):
+            other = rest_of[root[rest_of] == one]
+            for at in range(0, len(other), 128):
+                part, new = other[at : at + 128], np.flatnonzero(now[done:] != now[one]) + done
+                if not len(new):
+                    break
+                i, j = np.nonzero(np.bitwise_count(bits[part, None] ^ bits[None, new]).sum(2, dtype=np.int64) <= WIDE_BUDGET)
+                now = _roots(size, now[part[i]], now[new[j]])[now]
+        return now
 
     def rows_of(batch: pa.RecordBatch) -> tuple:
         wide = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
         return *(batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)), wide
 
+    def whole(size: int) -> list[pa.RecordBatch]:
+        """Edges of the first ``size`` rows: all of their groups, which end there."""
+        nonlocal held, root, done
+        out = block(int(np.searchsorted(held[0][:size], held[0][0], "right"))) if done else []
+        start = done
+        if size - start > 1:
+            key, rest, node, bits = (c[start:size] for c in held)
+            out += edges(node, np.arange(len(key)), _roots(len(key), *_wide_links(key, rest, bits)))
+        held, root, done = tuple(c[size:] for c in held), none, 0
+        return out
+
+    def block(size: int) -> list[pa.RecordBatch]:
+        nonlocal root, done
+        now = joined(size)
+        out = edges(held[2], np.r_[root, np.arange(done, size)], now)
+        root, done = now, size
+        return out
+
     for batch in batches:
         held = tuple(np.concatenate(c) for c in zip(held, rows_of(batch), strict=True))
-        while len(held[0]) > carried + BLOCK:
-            key = held[0]
-            size = carried + BLOCK
-            cut = int(np.searchsorted(key, key[size]))  # the group that goes on beyond the block starts here
-            if cut:
-                yield from linked(tuple(c[:cut] for c in held))[1]
-                held, carried = tuple(c[cut:] for c in held), 0
-                continue
-            root, edges = linked(tuple(c[:size] for c in held))
-            yield from edges
-            order = np.argsort(root, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(root[order]) != 0])
-            count = np.diff(np.r_[first, size])
-            rank, of = np.arange(size) - np.repeat(first, count), np.repeat(count, count)
-            stay = np.sort(order[(of <= KEPT) | (rank * KEPT // of != (rank - 1) * KEPT // of)])
-            held, carried = tuple(np.concatenate([c[stay], c[size:]]) for c in held), len(stay)
-    if len(held[0]) > 1:
-        yield from linked(held)[1]
+        while len(held[0]) > done + BLOCK:
+            cut = int(np.searchsorted(held[0], held[0][done + BLOCK]))  # the group that goes on beyond the block starts here
+            yield from whole(cut) if cut else block(done + BLOCK)
+    yield from whole(len(held[0]))
 
 
 def wide_links(nodes: DataFrame) -> DataFrame:

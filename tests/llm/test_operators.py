@@ -311,6 +311,24 @@ def test_wide_walk_over_blocks(monkeypatch):
     assert edges < 3 * len(rows)  # spanning stars, no pairs
 
 
+def test_wide_walk_keeps_links_to_every_member():
+    """A group beyond the block: a hub, edited copies of it, and copies of those, which link to one member only."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    flip = lambda x: x ^ (rng.random(x.shape) < 0.1)
+    hub = rng.integers(0, 2, (1, 256), np.uint8)
+    copies = flip(np.repeat(hub, 2000, axis=0))
+    rows = np.concatenate([hub, copies, flip(copies)]).astype(np.uint8)
+    wide = [x.tobytes() for x in np.packbits(rows, axis=1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), 7)), pa.array(np.zeros(len(rows), np.int32)), pa.array(np.arange(len(rows))), pa.array(wide)], names=["key", "rest", "node", "wide"])
+    edges = [np.column_stack([c.to_numpy() for c in out.columns]) for out in simhash._wide_walk(iter([batch]))]
+    a, b = np.concatenate(edges).T
+    want = _linked(np.frombuffer(b"".join(wide), np.uint64).reshape(-1, 4))
+    assert simhash._roots(len(rows), a, b).tolist() == want
+    assert len(a) == len(rows) - len(set(want))
+
+
 def test_near_groups(spark, docs):
     kept = simhash.stage_simhash(spark, docs, "")
     assert kept.columns == docs.columns
