@@ -8,10 +8,12 @@ budget. No such group holds more than 65,536 distinct fingerprints, whatever the
 and are folded before the join; each group's links go on as a spanning star, not as pairs.
 
 Edited copies differ in more bits than that, so :func:`near_groups` works on 256 bits of the distinct five-word shingles: two
-texts of similarity 0.8 (angle arccos(8/9)) differ in 15% of them, and texts link at ``WIDE_BUDGET`` or fewer. Its tries
-take the bits in pseudorandom orders, one walk per order; the first levels, equal bits again, are the shuffle key. Their
-number follows the logarithm of the number of texts, so groups stay small, and the number of walks follows from it such
-that a pair of similarity 0.8 meets in one of them with probability ``RECALL``, at every size.
+texts of similarity 0.8 (angle arccos(8/9)) differ in 15% of them, give or take 2.2%, and are proposed at ``WIDE_BUDGET`` or
+fewer. Its tries take the bits in pseudorandom orders, one walk per order; the first levels, equal bits again, are the shuffle
+key. Their number follows the logarithm of the number of texts, so groups stay small, and the number of walks follows from it
+such that a pair of similarity 0.8 is proposed with probability ``RECALL``, at every size (:func:`walks_for`). Shingle sets
+decide: within each component of proposals all texts whose similarity is ``LEAST`` or more on the 64-bit hashes of their
+shingles are linked (:func:`true_links`), and no others.
 
 Defined results: null and empty texts and those without words have fingerprint zero and link to each other; fewer words
 than a shingle make one shingle; repeated rows get equal rows; a null id never becomes a component id unless all ids
@@ -20,6 +22,7 @@ of the component are null; other columns are carried unread.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -27,17 +30,19 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, staged, table
 
 BUDGET, SEED = 2, 42
-#: Wide fingerprints: bits, budget over all of them, levels walked below the key and the budget there, chance to meet.
-WIDE_BITS, WIDE_BUDGET, LEVELS, LEVEL_BUDGET, RECALL = 256, 41, 16, 6, 0.95
+#: Wide fingerprints: bits, budget over all of them, levels walked below the key and the budget there, chance to be proposed.
+WIDE_BITS, WIDE_BUDGET, LEVELS, LEVEL_BUDGET, RECALL = 256, 56, 16, 6, 0.95
 WIDE_SHARE = math.acos(8 / 9) / math.pi
 #: Rows walked at once, and how many members of each component of a larger group later rows are compared with first.
 BLOCK, KEPT = 2048, 64
+#: Similarity in per cent from which texts are near copies; texts of a component that one task compares; texts that each such task also gets.
+LEAST, SETS, PIVOTS = 80, 512, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -67,9 +72,23 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big", signed=True)
 
 
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted."""
+    return np.unique(np.frombuffer(b"".join(_hashes(text, shingle)), np.uint64))
+
+
 def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    return _wide(shingle_set(text, shingle))
+
+
+def _marked(text: str | None) -> bytes:
+    """The wide fingerprint and a 128-bit digest of the set, which tells different sets of one fingerprint apart."""
+    h = shingle_set(text)
+    return _wide(h) + hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def _wide(h: np.ndarray) -> bytes:
     """``WIDE_BITS`` bits over the set of shingles; each hash is remixed once per 64 bits."""
-    h = np.unique(np.frombuffer(b"".join(_hashes(text, shingle)), np.uint64))
     votes = np.zeros(WIDE_BITS, np.int64)
     salts = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(h), 8192):
@@ -289,10 +308,27 @@ def _wide_walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from whole(len(held[0]))
 
 
+def walks_for(front: int) -> int:
+    """How many walks propose a pair of similarity 0.8 with probability ``RECALL``, over all numbers d of differing bits."""
+    share = []
+    for d in range(WIDE_BUDGET + 1):
+        chance = math.comb(WIDE_BITS, d) * WIDE_SHARE**d * (1 - WIDE_SHARE) ** (WIDE_BITS - d)
+        ways = sum(math.comb(LEVELS, i) * math.comb(WIDE_BITS - front - LEVELS, d - i) for i in range(min(d, LEVEL_BUDGET) + 1))
+        share.append((chance, ways / math.comb(WIDE_BITS, d)))  # the d bits lie beyond the front, at most LEVEL_BUDGET in the levels
+    found = lambda n: sum(chance * (1 - (1 - met) ** n) for chance, met in share)
+    high = 1
+    while found(high) < RECALL:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        low, high = (low, mid) if found(mid := (low + high) // 2) >= RECALL else (mid, high)
+    return high
+
+
 def wide_links(nodes: DataFrame) -> DataFrame:
-    """(node, wide), one row per distinct fingerprint -> edges (a, b) spanning the components found within the wide budget."""
+    """(node, wide), one row per distinct set of shingles -> edges (a, b) spanning the components found within the wide budget."""
     front = min(40, max(8, math.ceil(math.log2(max(nodes.count(), 2))) - 7))
-    walks = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - WIDE_SHARE) ** front))
+    walks = walks_for(front)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = [np.random.default_rng([SEED, m]).permutation(WIDE_BITS)[: front + LEVELS] for m in range(walks)]
@@ -310,11 +346,126 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(_wide_walk, "a long, b long").distinct()
 
 
-def near_groups(rows: DataFrame, uid: str, doc_id: str = "doc_id", wide: str = "wide") -> DataFrame:
-    """Rows with unique ``uid`` and fingerprints ``wide`` -> (uid): of each group of near copies the row with the least id (nulls last)."""
+class _Block:
+    """The shingle sets of one block, compared exactly; ``label`` tells what is known to belong together."""
+
+    def __init__(self, node: list[int], label: list[int], sets: list[np.ndarray]):
+        self.node, self.label, self.size = node, np.array(label, np.int64), np.array([len(x) for x in sets])
+        self.known, at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ids = np.split(at, np.cumsum(self.size)[:-1])
+        self.on, self.same = np.zeros(len(self.known), bool), {}
+
+    def _found(self, label: int) -> int:
+        while label in self.same:
+            label = self.same[label]
+        return label
+
+    def _meet(self, node: int, label: int, size: int, ids: np.ndarray, upto: int) -> Iterator[tuple[int, int]]:
+        """Links of a text to the first ``upto`` texts of the block that don't belong together with it yet."""
+        label = self._found(label)
+        like = 100 * np.minimum(size, self.size[:upto]) >= LEAST * np.maximum(size, self.size[:upto])
+        rest = np.flatnonzero(like & (self.label[:upto] != label))[::-1]
+        self.on[ids] = True
+        step = 16
+        while len(rest):
+            part, rest, step = rest[:step], rest[step:], 4 * step
+            shared = np.add.reduceat(self.on[np.concatenate([self.ids[j] for j in part])], np.r_[0, np.cumsum(self.size[part])[:-1]], dtype=np.int64)
+            for j in part[(100 + LEAST) * shared >= LEAST * (size + self.size[part])].tolist():
+                other = int(self.label[j])
+                if other != label:
+                    yield node, self.node[j]
+                    self.same[other] = label
+                    self.label[self.label == other] = label
+            rest = rest[self.label[rest] != label]
+        self.on[ids] = False
+
+    def own(self) -> Iterator[tuple[int, int]]:
+        for i, node in enumerate(self.node):
+            yield from self._meet(node, int(self.label[i]), int(self.size[i]), self.ids[i], i)
+
+    def copy(self, node: int, label: int, own: np.ndarray) -> Iterator[tuple[int, int]]:
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        yield from self._meet(node, label, len(own), at[self.known[at] == own], len(self.node))
+
+
+def _verify(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    """(root, block, copy, node, label, hashes), sorted by the first three -> edges (a, b) that span the true links of each block.
+
+    The block's own rows come first and meet each other (if ``first``), then its copies of other blocks' rows meet them."""
+    now, own, block, out = None, ([], [], []), None, []
+
+    def closed() -> _Block | None:
+        got = _Block(*own) if own[0] else None
+        if got and first:
+            out.extend(got.own())
+        return got
+
+    for batch in batches:
+        root, part, copy, node, label, sets = (c.to_pylist() for c in batch.columns)
+        for row in range(batch.num_rows):
+            hashes = np.frombuffer(sets[row], np.uint64)
+            if (root[row], part[row]) != now:
+                if block is None:
+                    closed()
+                now, own, block = (root[row], part[row]), ([], [], []), None
+            if not copy[row]:
+                for column, x in zip(own, (node[row], label[row], hashes), strict=True):
+                    column.append(x)
+            elif own[0]:
+                block = block or closed()
+                out.extend(block.copy(node[row], label[row], hashes))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+            out.clear()
+    if block is None:
+        closed()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+
+def _compared(sets: DataFrame, roams: Column, first: bool) -> DataFrame:
+    """Edges between the texts of each block, and between ``roams`` texts and those of all other blocks of their component."""
+    blocks = F.ceil(F.col("n") / SETS).cast("int")
+    rows = sets.withColumn("home", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    rows = rows.withColumn("block", F.explode(F.when(roams, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))))
+    rows = rows.select("root", "block", (F.col("block") != F.col("home")).alias("copy"), "node", "label", "hashes")
+    return rows.repartition("root", "block").sortWithinPartitions("root", "block", "copy").mapInArrow(lambda b: _verify(b, first), "a long, b long")
+
+
+def true_links(sets: DataFrame) -> DataFrame:
+    """(root, n, node, hashes), all n texts of each component of proposals -> (node, root) of components by true links.
+
+    A component of up to ``SETS`` texts is compared in one task. A larger one is dealt into blocks, each with a few pivots of
+    all; where that leaves more than one part, every text outside the largest part meets the texts of all blocks."""
+    pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")) < PIVOTS
+    found = components(_compared(sets.withColumn("label", F.col("node")), pivot, True))
+    large = sets.filter(F.col("n") > SETS)
+    if large.isEmpty():
+        return found
+    labels = large.select("node", F.col("root").alias("of")).join(found, "node", "left").select("node", "of", F.coalesce("root", "node").alias("label"))
+    labels = staged(labels, "simhash-labels")
+    main = labels.groupBy("of", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("of").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    left = labels.join(main.filter("parts > 1"), "of").select("node", "label", "main")
+    more = _compared(large.join(left, "node"), F.col("label") != F.col("main"), False)
+    return components(more.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def near_groups(rows: DataFrame, uid: str, mark: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows with unique ``uid`` and ``mark`` (of :func:`_marked`) -> (uid): of each group of near copies the row with the least id (nulls last)."""
+
+    @F.pandas_udf("binary")
+    def hashes_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
+
     best = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(uid).alias("uid"))).alias("best")
-    per = staged(rows.groupBy(F.col(wide).alias("wide")).agg(best).withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
-    roots = components(wide_links(per)).withColumnRenamed("node", "of")
+    per = staged(rows.groupBy(F.col(mark).alias("mark")).agg(best).withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
+    met = components(wide_links(per.select("node", F.substring("mark", 1, WIDE_BITS // 8).alias("wide"))))
+    met = met.union(met.select("root", "root").distinct())
+    sizes = met.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    members = met.join(sizes, "root").join(per.select("node", "best.uid"), "node")
+    texts = rows.select(F.col(uid).alias("uid"), F.col(text).alias("text"))
+    sets = staged(members.join(texts, "uid").select("root", "n", "node", hashes_of("text").alias("hashes")), "simhash-sets")
+    roots = true_links(sets).withColumnRenamed("node", "of")
     named = per.select("node", "best").join(roots, F.col("node") == F.col("of"), "left")
     return named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias(uid))
 
@@ -330,10 +481,10 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group of near copies (five words, similarity from 0.8 on) stays, the least id (one row of it,
     if repeated); the columns of ``docs``."""
     @F.pandas_udf("binary")
-    def wide_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(t) for t in texts], dtype=object)
+    def mark_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_marked(t) for t in texts], dtype=object)
 
-    uid, wide = fresh(docs, "_uid"), fresh(docs, "_wide")
-    df = staged(docs.withColumn(wide, wide_of("text")).withColumn(uid, F.monotonically_increasing_id()), "simhash-docs")
-    first = near_groups(df.select(uid, "doc_id", wide), uid, wide=wide)
+    uid, mark = fresh(docs, "_uid"), fresh(docs, "_mark")
+    df = staged(docs.withColumn(mark, mark_of("text")).withColumn(uid, F.monotonically_increasing_id()), "simhash-docs")
+    first = near_groups(df.select(uid, "doc_id", mark, "text"), uid, mark)
     return df.join(first, uid, "left_semi").select(*docs.columns)

@@ -336,6 +336,42 @@ def test_near_groups(spark, docs):
     assert simhash.stage_simhash(spark, docs.limit(0), "").count() == 0
 
 
+def _edited(pairs, run):
+    """Pairs of unlike texts of 200 words, the second with a run of other words: similarity (192 - run) / (200 + run)."""
+    rows = []
+    for i in range(pairs):
+        w = [f"p{run}x{i}w{j}" for j in range(200)]
+        rows += [(2 * i + 1000 * run, " ".join(w)), (2 * i + 1 + 1000 * run, " ".join(w[:90] + [f"o{x}" for x in w[90 : 90 + run]] + w[90 + run :]))]
+    return rows
+
+
+def test_near_groups_decide_by_shingles(spark):
+    """Pairs just above similarity 0.8 go together, 0.95 of them on average; pairs just below never."""
+    kept = {r.doc_id for r in simhash.stage_simhash(spark, spark.createDataFrame(_edited(300, 17) + _edited(300, 18), "doc_id long, text string"), "").collect()}
+    assert sum(17000 <= i < 18000 for i in kept) <= 300 + 24
+    assert sum(18000 <= i < 19000 for i in kept) == 600
+
+
+def test_true_links_over_blocks(spark, monkeypatch):
+    """Components over many blocks: a star of near copies, a chain of it, and texts that link to one member only or to none."""
+    monkeypatch.setattr(simhash, "SETS", 8)
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    rng = np.random.default_rng(6)
+    sets = [rng.choice(10**6, 100, replace=False) for _ in range(6)]
+    for _ in range(90):
+        x = sets[rng.integers(len(sets))].copy()
+        k = rng.integers(1, 15)
+        x[rng.integers(0, 100 - k) :][:k] = rng.integers(10**6, 10**7, k)
+        sets.append(x)
+    sets = [np.unique(x).astype(np.uint64) for x in sets]
+    rows = spark.createDataFrame([(0, len(sets), i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "root long, n long, node long, hashes binary")
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(both := np.intersect1d(sets[i], sets[j])) >= 8 * (len(sets[i]) + len(sets[j]) - len(both))]
+    want = simhash._roots(len(sets), *np.array(links).T)
+    got = {r.node: r.root for r in simhash.true_links(rows).collect()}
+    assert 1 < len(set(want.tolist())) < 60
+    assert [got.get(i, i) for i in range(len(sets))] == want.tolist()
+
+
 def test_near_groups_recall(spark):
     """Against brute force on the small table: links of similarity 0.8 and more are found, unlike texts stay."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
