@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
 Each rule rejects a text when one of its ratios exceeds a cutoff. Cutoffs come from a fixed grid and are certified
-on the labelled rows, which nothing is fitted to: within each stratum (``lang``) a cutoff counts as safe only if the
-exact binomial tail P(X <= k | n, alpha/rules) is at most delta/m, where n is the number of labelled good texts of
-the stratum, k how many of them the cutoff rejects and m = strata x rules (Bonferroni; a rule's cutoffs are nested, so
-testing them from the loosest on up to the first failure needs no further correction). The strictest safe cutoff
-applies; a rule without a safe cutoff is off there. So with probability 1 - delta every stratum loses at most
-``alpha`` of its good texts to the rules.
+on labelled good rows, which nothing is fitted to: within each stratum (``lang``) a quarter of the labelled good texts, by
+id, orders all steps (a rule's next stricter cutoff) into one sequence of joint cutoffs, those that reject the fewest of the
+quarter first and of equal ones those farther from its largest ratio. Along it the other three quarters test the combined
+verdict of all rules: it counts as safe only if the exact binomial tail P(X <= k | n, alpha) is at most delta/m, where n is
+the number of those texts, k how many of them any rule rejects and m the number of strata (Bonferroni; the joint cutoffs
+are nested and their order does not depend on the rows tested, so testing them from the loosest on up to the first failure
+needs no further correction). The strictest safe joint cutoffs apply; a rule none of whose steps came by then is off there.
+So with probability 1 - delta every stratum loses at most ``alpha`` of its good texts to the rules; with four strata about
+200 labelled good texts are enough to certify cutoffs that none of them exceeds.
 
 Defined results: a null or empty text has no words and fails the base rule; a null ``lang`` is a stratum of its own;
 repeated rows each get a row; labels that disagree for an id count as bad; other columns are carried unread.
@@ -102,21 +105,32 @@ def _log_tail(n: Column, k: Column, p: Column) -> Column:
 
 
 def thresholds(rated: DataFrame, labels: DataFrame, *, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
-    """(stratum, symbols, shouts, ...): the strictest certified cutoff of each rule, null where none is.
+    """(stratum, symbols, shouts, ...): the strictest certified joint cutoffs, null where a rule has none.
 
     ``rated``: doc_id, stratum and a column per rule, base failures left out; ``labels``: doc_id, quality."""
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality")).filter("quality = 1").select("doc_id")
     above = lambda r: sum((F.when(F.col(r) > c, 1).otherwise(0) for c in CUTOFFS), F.lit(0))  # noqa: E731  how many cutoffs reject the row
-    held = rated.join(good, "doc_id").select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), above(r).alias("level")) for r in RULES])).alias("x"))
-    level = held.groupBy("stratum", "x.rule", "x.level").agg(F.count(F.lit(1)).alias("n"))
-    hits = level.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("by"))  # at most 16 levels
-    grid = hits.select("stratum", "rule", "n", F.posexplode(F.array(*[F.lit(c) for c in CUTOFFS])).alias("i", "cutoff"), "by")
-    k = F.aggregate(F.filter(F.map_entries("by"), lambda e: e["key"] > F.col("i")), F.lit(0).cast("long"), lambda a, e: a + e["value"])
-    grid = grid.select("stratum", "rule", "n", "cutoff", k.alias("k"), (F.count(F.lit(1)).over(W.partitionBy(F.lit(1))) / len(CUTOFFS)).alias("m"))
-    share = F.lit(alpha / len(RULES))
+    orders = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    held = rated.join(good, "doc_id").select("stratum", orders.alias("orders"), F.array(*[F.struct(F.lit(n).alias("rule"), above(r).alias("level"), F.col(r).alias("ratio")) for n, r in enumerate(RULES)]).alias("x"))
+    level = held.filter("orders").select("stratum", F.explode("x").alias("x")).groupBy("stratum", "x.rule", "x.level").agg(F.count(F.lit(1)).alias("n"), F.max("x.ratio").alias("top"))
+    hits = level.groupBy("stratum", "rule").agg(F.max("top").alias("top"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("by"))  # at most 16 levels
+    grid = hits.select("stratum", "rule", "top", F.posexplode(F.array(*[F.lit(c) for c in CUTOFFS])).alias("i", "cutoff"), "by")
+    k = lambda reached: F.aggregate(F.filter(F.map_entries("by"), reached), F.lit(0).cast("long"), lambda a, e: a + e["value"])
+    first = W.partitionBy("stratum").orderBy(k(lambda e: e["key"] > F.col("i")), F.col("top") / F.col("cutoff"), F.desc("i"), "rule")
+    path = grid.select("stratum", "rule", "i", "cutoff", F.row_number().over(first).alias("step"))
+    path = path.groupBy("stratum").agg(F.collect_list(F.struct("rule", "i", "cutoff", "step")).alias("path"))  # a step per rule and cutoff
+    path = path.select(F.col("stratum").alias("of"), "path", F.map_from_entries(F.transform("path", lambda e: F.struct(e["rule"] * len(CUTOFFS) + e["i"], e["step"]))).alias("at"))
+    same = F.col("stratum").eqNullSafe(F.col("of"))
+    # The first step that rejects a text: of each rule the loosest cutoff that does, of these the earliest; null where none does.
+    fatal = F.array_min(F.transform("x", lambda e: F.when(e["level"] > 0, F.element_at("at", e["rule"] * len(CUTOFFS) + e["level"] - 1))))
+    lost = held.filter(~F.col("orders")).join(path.select("of", "at"), same).select("stratum", F.coalesce(fatal, F.lit(len(RULES) * len(CUTOFFS) + 1)).alias("step"))
+    lost = lost.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n"))
+    lost = lost.groupBy("stratum").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("by"))
+    lost = lost.withColumn("m", F.count(F.lit(1)).over(W.partitionBy(F.lit(1))))
+    steps = lost.join(path, same).select("stratum", "n", "by", "m", F.explode("path").alias("p")).select("stratum", "n", "m", "p.*", k(lambda e: e["key"] <= F.col("p.step")).alias("k"))
+    share = F.lit(alpha)
     safe = (F.col("k") < F.col("n") * share) & (_log_tail(F.col("n"), F.col("k"), share) <= F.log(F.lit(delta) / F.col("m")))
-    best = grid.groupBy("stratum", "rule").agg(F.min(F.when(safe, F.col("cutoff"))).alias("cutoff"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES])
+    return steps.groupBy("stratum").agg(*[F.min(F.when(safe & (F.col("rule") == n), F.col("cutoff"))).alias(r) for n, r in enumerate(RULES)])
 
 
 def judge(counted: DataFrame, col: str, labels: DataFrame, *, doc_id: str = "doc_id", stratum: str = "lang", **kw) -> tuple[DataFrame, dict[str, Column], Column]:

@@ -200,6 +200,18 @@ def test_quality_cutoffs(spark):
     assert got["xx"].symbols is None  # too few labels to certify anything
 
 
+def test_quality_certifies_small_strata(spark):
+    """300 good labels are enough, also where one rule's ratios vary; all rules together reject at most 3% of them."""
+    rows = [(i, "en" if i < 300 else None, *([0.0] * 5), 0.05 + 0.1 * (i % 300) / 300) for i in range(600)]
+    rated = spark.createDataFrame(rows, "doc_id long, stratum string, " + ", ".join(f"{r} double" for r in quality.RULES))
+    labels = spark.createDataFrame([(i, 1) for i in range(600)], "doc_id long, quality int")
+    got = {r.stratum: r for r in quality.thresholds(rated, labels).collect()}
+    for stratum in ("en", None):
+        assert got[stratum].symbols == quality.CUTOFFS[0]
+        assert sum(x[1] == stratum and x[-1] > got[stratum].long_words for x in rows) <= 9
+    assert all(r.symbols is None for r in quality.thresholds(rated.filter("doc_id < 60"), labels).collect())
+
+
 def test_passages(docs):
     rows = texts()
     first = {}
