@@ -120,9 +120,15 @@ def vehicles(docs: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def _beyond_first(name: str) -> Column:
+    """All but the first element; none of a null array."""
+    x = F.coalesce(name, F.array())
+    return F.slice(x, 2, F.greatest(F.size(x), F.lit(1)))
+
+
 def incomes(docs: DataFrame) -> DataFrame:
     rows = items(docs, 11).withColumn("n", safe_number(F.col("sizeIncome"))).withColumn("s", F.get("sources", 0))
-    extra = F.transform(F.slice(F.coalesce("sources", F.array()), 2, 1000), lambda x: F.struct(x["source_ua_company_name"].alias("source_name"), x["source_ua_company_code"].alias("source_code"), x["incomeSource"].alias("source_type")))
+    extra = F.transform(_beyond_first("sources"), lambda x: F.struct(x["source_ua_company_name"].alias("source_name"), x["source_ua_company_code"].alias("source_code"), x["incomeSource"].alias("source_type")))
     return rows.select(
         ID, "pos", F.get("person_who_care", 0)["person"].alias("person_ref"), clean(F.col("objectType")).alias("income_type"), clean(F.col("otherObjectType")).alias("income_type_other"), F.col("n.value").alias("amount"), F.col("n.raw").alias("amount_raw"), F.col("n.status").alias("amount_status"),
         clean(F.col("s.source_ua_company_name")).alias("source_name"), F.col("s.source_ua_company_code").alias("source_code"), F.col("s.incomeSource").alias("source_type"), F.col("iteration").alias("raw_iteration"), extra.alias("extra_sources"),
@@ -131,7 +137,7 @@ def incomes(docs: DataFrame) -> DataFrame:
 
 def monetary(docs: DataFrame) -> DataFrame:
     rows = items(docs, 12).withColumn("n", safe_number(F.col("sizeAssets"))).withColumn("r", F.get("rights", 0))
-    extra = F.transform(F.slice(F.coalesce("rights", F.array()), 2, 1000), lambda x: F.struct(x["rightBelongs"].alias("person_ref"), x["ownershipType"].alias("ownership_type")))
+    extra = F.transform(_beyond_first("rights"), lambda x: F.struct(x["rightBelongs"].alias("person_ref"), x["ownershipType"].alias("ownership_type")))
     status = F.coalesce(extended_status(F.col("organization_extendedstatus")), placeholder_status(F.col("organization")))
     money = F.when(F.ltrim("assetsCurrency").startswith("{"), F.coalesce(F.get_json_object("assetsCurrency", "$.value"), F.get_json_object("assetsCurrency", "$.original"))).otherwise(F.col("assetsCurrency"))
     return rows.select(

@@ -56,6 +56,14 @@ def test_rights(spark):
     assert [r.right_belongs_resolved for r in got] == [None, "declarant", "third_party", "unknown:9", "unknown:"]
 
 
+def test_all_sources_and_rights_beyond_the_first(spark):
+    many = {"sources": [{"source_ua_company_name": f"s{i}"} for i in range(1500)]}, {"rights": [{"rightBelongs": f"r{i}"} for i in range(1500)]}
+    t = normalised(docs(spark, doc(step_11=[many[0], {"sources": []}, {}], step_12=[many[1], {"rights": []}, {}])))
+    sources, rights = ([r[0] for r in d.orderBy("pos").collect()] for d in (t.incomes.select("extra_sources", "pos"), t.monetary.select("extra_rights", "pos")))
+    assert [[x.source_name for x in r] for r in sources] == [[f"s{i}" for i in range(1, 1500)], [], []]
+    assert [[x.person_ref for x in r] for r in rights] == [[f"r{i}" for i in range(1, 1500)], [], []]
+
+
 def test_store_is_idempotent(spark, tmp_path):
     one = spark.createDataFrame([(json.dumps(DOC),)], "value string")
     base = f"file://{tmp_path}/store"
