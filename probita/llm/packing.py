@@ -1,8 +1,8 @@
 """Packing token sequences into windows of near-equal load by Karmarkar-Karp multiway differencing.
 
-Texts become token ids with one end id. Every full window's worth of a text is a sequence of its own; what is left is
-cut into parts of at most an eighth of a window. Parts collect until they fill ``group`` windows but for a slack of two
-tokens each, and multiway differencing spreads them: partial partitions, largest spread first, are merged largest load
+Texts become token ids with one end id. Every full window's worth of a text is a sequence of its own; what is left stays
+whole up to a quarter of a window and is cut into such parts beyond. Parts collect until they fill ``group`` windows but for
+a slack of eight tokens each, and multiway differencing spreads them: partial partitions, largest spread first, are merged largest load
 against smallest, which cancels their imbalances. When a load still exceeds the capacity, the number of windows rises
 and the group is dealt again. At the end of a partition the parts that make up no full window are cut into sequences
 whose lengths are powers of two. There is no shuffle and no state beyond one group; a lost task is repeated alike.
@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-CAPACITY, GROUP, SLACK = 2048, 256, 2
+CAPACITY, GROUP, SLACK, PARTS = 2048, 256, 8, 4
+#: Rows that a task holds before it passes them on, without and with their token ids.
+HELD, HELD_IDS = 20_000, 2_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CACHE: dict = {}
 
@@ -135,7 +137,7 @@ class Packer:
     """Takes documents' ids, gives (document, start, length, sequence, offset)."""
 
     def __init__(self, capacity: int = CAPACITY, group: int = GROUP):
-        self.capacity, self.part, self.full = capacity, max(1, capacity // 8), group * (capacity - SLACK)
+        self.capacity, self.part, self.full = capacity, max(1, capacity // PARTS), group * (capacity - SLACK)
         self.group, self.items, self.load, self.sequences = group, [], 0, 0
 
     def add(self, doc: object, n: int) -> Iterator[tuple]:
@@ -212,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
             for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = encode(t.as_py() or "") + end
                 take(packer.add((doc, ids), len(ids) // 4))
-                if len(rows) >= 20_000:
+                if len(rows) >= (HELD_IDS if with_ids else HELD):
                     yield batch()
         take(packer.end())
         if rows:
@@ -228,7 +230,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as packed pieces with their token ids."""
+    """The corpus as packed pieces with their token ids: every row of ``docs``, repeated ones too; a null or empty text is its end id; no rows of none."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
