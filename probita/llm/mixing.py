@@ -2,9 +2,10 @@
 
 Texts are packed into blocks of a fixed number of words, numbered within their source. The mix has as many words as
 the corpus; a source's target is its weight's share, at most ``most`` times its own words, the excess shared again by
-weight. Each source gets the slots that its target needs, and every slot draws its output shard, so a shard's counts by
-source are multinomial, given the sources' totals: the totals end within a block of the targets. Slot j of a source of
-N blocks takes block perm(j mod N) of pass j div N, where perm is a keyed permutation of the N indices for that source
+weight. How many slots each output shard has of each source is drawn first (``shard_counts``): multinomial counts given the
+sources' totals, which end within a block of the targets (independent draws per shard would move small sources away from
+theirs). The counts number the slots: a shard has those from the source's counts in earlier shards on. Slot j of a source
+of N blocks takes block perm(j mod N) of pass j div N, where perm is a keyed permutation of the N indices for that source
 and pass (swap-or-not rounds, which work on any N), and slots and blocks are joined by (source, index). A pass takes a
 block at most once and there are at most ``most`` passes, so no text is taken more than ``most`` times.
 
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window as W
 from .common import SPACE_CLASS, fresh, staged, table
 
 WEIGHTS, MOST, BLOCK, SEED = (5, 2, 1), 3, 128, 20
-ROWS_A_GROUP, FAN, SLOTS_A_CHUNK, ROUNDS = 400, 256, 2048, 24
+ROWS_A_GROUP, FAN, SLOTS_A_CHUNK, SLOTS_A_SHARD, ROUNDS = 400, 256, 2048, 8192, 24
 
 
 def size_of(text: Column) -> Column:
@@ -71,18 +72,31 @@ def permuted(j: Column, n: Column, *keys: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), j, swap)
 
 
-def slots(per: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """The mix: (shard, slot, s, pass, index)."""
+def shard_counts(per: DataFrame, block: int = BLOCK, most: int = MOST, slots_a_shard: int = SLOTS_A_SHARD) -> DataFrame:
+    """(s, n, shard, k, first): the n blocks of source s, how many of its slots the shard has (multinomial given the source's
+    total), and how many those before it have. Some thousands of slots a shard, 65,536 shards at most."""
     n = F.ceil(F.col("source_size") / block)
     want = F.least(F.round(F.col("target") * n / F.col("source_size")).cast("long"), most * n)
     per = per.filter("source_size > 0").select("s", n.alias("n"), F.greatest(want, F.when(F.col("target") > 0, F.lit(1)).otherwise(F.lit(0))).alias("want"))
-    per = per.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(65536), F.ceil(F.sum("want").over(W.partitionBy(F.lit(0))) / 8192))))
-    parts = max(int(per.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + int((per.agg(F.sum("want")).first()[0] or 0) // 500_000))
-    chunks = per.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("want") - 1) / SLOTS_A_CHUNK))).alias("c")).filter("want > 0").repartition(parts, "s", "c")
-    first = F.col("c") * SLOTS_A_CHUNK
-    each = chunks.select("s", "n", "shards", F.explode(F.sequence(first, F.least(first + SLOTS_A_CHUNK, F.col("want")) - 1)).alias("slot"))
+    per = per.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(65536), F.ceil(F.sum("want").over(W.partitionBy(F.lit(0))) / slots_a_shard))))
+    each = _exploded(per.select("s", "n", "shards", "want", F.lit(0).cast("long").alias("first")), "want")
+    drawn = each.groupBy("s", "n", F.pmod(F.xxhash64("s", "slot", F.lit(SEED)), F.col("shards")).alias("shard")).agg(F.count(F.lit(1)).alias("k"))
+    return drawn.withColumn("first", _before("k", ["s"], ["shard"]))
+
+
+def _exploded(rows: DataFrame, count: str) -> DataFrame:
+    """A row for each of ``count`` slots from ``first`` on, spread over partitions by their number."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + int((rows.agg(F.sum(count)).first()[0] or 0) // 500_000))
+    chunks = rows.filter(F.col(count) > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / SLOTS_A_CHUNK))).alias("c"))
+    low = F.col("c") * SLOTS_A_CHUNK
+    chunks = chunks.withColumns({"low": F.col("first") + low, "high": F.col("first") + F.least(low + SLOTS_A_CHUNK, F.col(count)) - 1})
+    return chunks.repartition(parts, "s", "low").select(*rows.columns, F.explode(F.sequence("low", "high")).alias("slot"))
+
+
+def slots(counts: DataFrame) -> DataFrame:
+    """The mix: (shard, slot, s, pass, index), from a table of :func:`shard_counts`."""
     turn = F.floor(F.col("slot") / F.col("n"))
-    return each.select(F.pmod(F.xxhash64("s", "slot", F.lit(SEED)), F.col("shards")).alias("shard"), "slot", "s", turn.alias("pass"), permuted(F.col("slot") % F.col("n"), F.col("n"), F.col("s"), turn, F.lit(SEED)).alias("index"))
+    return _exploded(counts, "k").select("shard", "slot", "s", turn.alias("pass"), permuted(F.col("slot") % F.col("n"), F.col("n"), F.col("s"), turn, F.lit(SEED)).alias("index"))
 
 
 def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -98,7 +112,8 @@ def mixed(sized: DataFrame, *, weights=WEIGHTS, most: int = MOST, block: int = B
     per = staged(targets(sized, weights, most).coalesce(1), "mixing-sources")
     rows = sized.join(per, sized["source"].eqNullSafe(per["source"]), "left").select("uid", "key", "s", "size", "source_size", "target")
     at = placed(rows.select("uid", "key", "s", "size"), sized.count())
-    return rows, blocks(at, block).join(slots(per, block, most).hint("merge"), ["s", "index"]).select("uid", "shard", "slot", "pass", "word", "n_words")
+    counts = staged(shard_counts(per, block, most), "mixing-counts")
+    return rows, blocks(at, block).join(slots(counts).hint("merge"), ["s", "index"]).select("uid", "shard", "slot", "pass", "word", "n_words")
 
 
 def with_size(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -114,7 +129,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: a row per text and pass that takes it, its text cut to the blocks taken, in order and with the white space between words; the columns of ``docs``."""
+    """The mix as documents: a row per text and pass that takes it, its text cut to the blocks taken, in order and with the white space between words; the columns of ``docs``.
+
+    Rows of null, empty or blank text are taken no words and go; a null source is a source; repeated rows are rows of their own; no rows of none."""
     uid = fresh(docs, "_uid")
     docs_ = staged(docs.withColumn(uid, F.monotonically_increasing_id()), "mixing-docs")
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
