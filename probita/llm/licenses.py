@@ -1,16 +1,21 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, shingle containment verifies them.
 
-Texts and templates are lower-cased, cut at everything but letters and digits, and shingled by five words (templates have five at least). A template of n shingles belongs to the class c,
-the least power of four (8 at least) not below n; a text's windows of class c are 2c shingles long, one every c, so
-some window holds any run of c shingles. With containment 0.8 the window and a template of c shingles have a Jaccard
-similarity of at least 0.8c / 2.2c = 0.36; shorter templates of the class (n > c/4) of at least 0.09. 64 bands of one
-row collide then with probability 1 - (1 - 0.09)**64 = 0.998 at the least, and above 1 - 1e-12 at 0.36. A band of one row collides only
-if the window holds that shingle of the template, so windows without any template shingle are skipped without loss.
-Verification is exact on the shingles' 64-bit hashes: |template and window| / |template| >= 0.8.
-
-Result: a row per (doc_id, license) with the best containment, the number of windows that match and the first of them
-(its first word). Defined results: null and empty texts and texts of fewer than five words match nothing; rows of equal
-id count together, null ids likewise; other columns are not read.
+Texts and templates are lower-cased, cut at everything but letters and digits, and shingled by five words. A template of n
+shingles belongs to the class c, the least power of four (8 at least) not below n; a text's windows of class c are 4c
+shingles long, one every 3c, so some window holds any run of c shingles. A window or template is sketched by bottom-k MinHash:
+its 128 least hashes are bands of one row each, and a template is retrieved if it has a band in common with a window. With
+containment 0.8 their Jaccard similarity is 0.2 / 4.05 = 0.049 or more (n > c/4), each of the 128 least hashes of both together
+is common with that probability, and so a template is retrieved with probability 1 - (1 - 0.049)**128 = 0.998 or more; in the
+classes 8 and 32 the bands are all shingles of a window, so nothing is missed. Verification is exact on the hashes:
+|template and window| / |template| >= 0.8.
+
+Templates are a table. Its bands and shingles are broadcast only if they have at most ``BROADCAST_ROWS`` rows and
+``BROADCAST_BYTES`` bytes; else they are joined by shuffling.
+
+Result: a row per (doc_id, license) with the best containment over the license's templates, the number of windows that match
+and the first of them (its first word). Defined results: null and empty texts and texts of fewer than five words match
+nothing; templates of fewer than five words are left out; rows of equal id count together, null ids likewise; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,21 +23,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-
-#: License notices as they are published.
-TEMPLATES = {
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
-    "MIT notice": "Released under the MIT License.",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "Apache-2.0 header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "MIT permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+from .common import staged, table
+
+WIDTH, LEAST = 5, 0.8
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
+CLASSES = [8 * 4**i for i in range(13)]
+#: Bands of a sketch; a window's length and step in units of its class.
+BANDS, LONG, STEP = 128, 4, 3
+#: Shingles of a stretch.
+STRETCH = 6144
+
+#: Headers and bodies of licenses as their stewards publish them.
+BODIES = {
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
-WIDTH, BANDS, LEAST = 5, 64, 0.8
+#: The names under which licenses are cited.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license"],
+    "MIT": ["MIT License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
+    "ISC": ["ISC License"],
+    "Zlib": ["zlib License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
+    "EPL-2.0": ["Eclipse Public License, version 2.0", "Eclipse Public License 2.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPL v2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "GNU LGPL v3"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU AGPL v3"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International License", "CC BY 4.0"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"],
+    "CC-BY-ND-4.0": ["Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0"],
+    "CC-BY-NC-SA-4.0": ["Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC BY-NC-SA 4.0"],
+    "CC-BY-NC-ND-4.0": ["Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC BY-NC-ND 4.0"],
+}
+#: How works cite a license by its name.
+FORMS = ("licensed under {0}", "licensed under the {0}", "licensed under a {0}", "released under the {0}", "distributed under the {0}", "available under the {0}", "under the terms of the {0}")
+
+
+def citations() -> list[tuple[str, str]]:
+    return [(license_, form.format(name)) for license_, names in NAMES.items() for name in names for form in FORMS]
+
+
+def templates_of(spark: SparkSession, rows: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(license, body): the bodies above and each name in each form of citation, or ``rows``."""
+    every = [*BODIES.items(), *citations()] if rows is None else rows
+    lines = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("body")) for k, v in every])
+    return spark.range(1).select(F.explode(lines).alias("t")).select("t.*")
 
 
 def shingles(text: Column) -> Column:
@@ -43,36 +95,48 @@ def shingles(text: Column) -> Column:
 
 
 def bands(s: Column) -> Column:
-    """BANDS pairs (band, least hash) of an array of shingles."""
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda i: F.struct(i.alias("band"), F.array_min(F.transform(s, lambda x: F.xxhash64(x, i))).alias("value")))
-
-
-def prepared(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(license, own array of distinct shingles, class)."""
-    rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("body")) for k, v in templates.items()])
-    t = spark.range(1).select(F.explode(rows).alias("t")).select("t.license", F.array_distinct(shingles(F.col("t.body"))).alias("own"))
-    steps = F.array(*[F.lit(8 * 4**i) for i in range(8)])
-    return t.withColumn("class", F.element_at(F.filter(steps, lambda c: c >= F.size("own")), 1))
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    spark = docs.sparkSession
-    known = prepared(spark, templates or TEMPLATES)
-    got = known.select("own", "class").collect()  # the templates given, not the corpus
-    every, classes = sorted({x for r in got for x in r["own"]}), sorted({r["class"] for r in got})
-    d = docs.select(docs[doc_id].alias("doc_id"), shingles(F.col(text)).alias("s"))
-    d = d.withColumn("at", F.filter(F.transform("s", lambda x, i: F.when(x.isin(every), i)), lambda i: i.isNotNull())).filter(F.size("at") > 0)
-    holds = lambda c, back: F.transform("at", lambda p: F.struct(F.lit(c).alias("class"), (F.floor(p / c) - back).cast("int").alias("k")))
-    near = [holds(c, back) for c in classes for back in (0, 1)]
-    w = d.select("doc_id", "s", F.explode(F.array_distinct(F.flatten(F.array(*near)))).alias("w")).select("doc_id", F.col("w.class").alias("class"), F.col("w.k").alias("k"), "s")
-    first = F.greatest(F.col("k") * F.col("class"), F.lit(0))
-    w = w.select("doc_id", "class", first.alias("first"), F.array_distinct(F.slice("s", first + 1, (F.col("k") + 2) * F.col("class") - first)).alias("own_w"))
-    probes = w.select("*", F.explode(bands(F.col("own_w"))).alias("b")).select("doc_id", "class", "first", "own_w", "b.band", "b.value")
-    index = known.select("license", "class", "own", F.explode(bands(F.col("own"))).alias("b")).select("license", "class", "own", "b.band", "b.value")
-    met = probes.join(index, ["class", "band", "value"])
-    share = F.size(F.array_intersect("own_w", "own")) / F.size("own")
-    met = met.select("doc_id", "license", "first", share.alias("containment")).filter(F.col("containment") >= least)
-    one = met.groupBy("doc_id", "license", "first").agg(F.max("containment").alias("containment"))
+    """The least of the sorted hashes ``s``."""
+    return F.slice(s, 1, BANDS)
+
+
+def prepared(templates: DataFrame) -> DataFrame:
+    """(template, license, own: sorted distinct shingles, class), staged; templates without shingles are left out."""
+    t = templates.select("license", F.sort_array(F.array_distinct(shingles(F.col("body")))).alias("own")).filter(F.size("own") > 0).distinct()
+    cls = F.element_at(F.filter(F.array(*[F.lit(c) for c in CLASSES]), lambda c: c >= F.size("own")), 1)
+    return staged(t.select(F.xxhash64("license", "own").alias("template"), "license", "own", cls.alias("class")), "license-templates")
+
+
+def windows_of(d: DataFrame, classes: list[int]) -> DataFrame:
+    """(uid, doc_id, s) -> (uid, doc_id, class, first, window): all windows of all classes, a window as its sorted shingles.
+
+    Texts are cut into stretches first, so no row carries a whole long text along."""
+    top = LONG * max(classes, default=8)
+    step = STEP * max(STRETCH // STEP, max(classes, default=8))  # of all classes a multiple; a stretch reaches a window of the largest beyond it
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)), F.lit(step)), lambda at: F.struct(at.alias("at"), F.size("s").alias("n"), F.slice("s", at + 1, F.lit(step + top)).alias("own")))
+    rows = d.filter(F.size("s") > 0).select("uid", "doc_id", F.explode(cuts).alias("t"))
+
+    def of_class(c: int) -> Column:
+        last = F.greatest(F.ceil((F.col("t.n") - LONG * c) / (STEP * c)), F.lit(0)).cast("int") * STEP * c  # of the text; it reaches the text's end
+        high = F.least(last - F.col("t.at"), F.lit(step - 1))
+        firsts = F.when(high >= 0, F.sequence(F.lit(0), high, F.lit(STEP * c))).otherwise(F.array().cast("array<int>"))
+        return F.transform(firsts, lambda k: F.struct(F.lit(c).alias("class"), (F.col("t.at") + k).alias("first"), F.slice(F.col("t.own"), k + 1, F.lit(LONG * c)).alias("window")))
+
+    every = F.flatten(F.array(*[of_class(c) for c in classes])) if classes else F.array().cast("array<struct<class:int,first:int,window:array<long>>>")
+    return rows.select("uid", "doc_id", F.explode(every).alias("w")).select("uid", "doc_id", "w.class", "w.first", F.sort_array("w.window").alias("window"))
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    known = prepared(templates if templates is not None else templates_of(docs.sparkSession))
+    size = known.agg(F.sum(F.size("own")).alias("n"), F.array_sort(F.collect_set("class")).alias("classes")).first()
+    small = (size["n"] or 0) <= BROADCAST_ROWS and 64 * (size["n"] or 0) <= BROADCAST_BYTES  # bands are at most as many as shingles
+    side = F.broadcast if small else (lambda x: x)
+    d = docs.select(F.monotonically_increasing_id().alias("uid"), docs[doc_id].alias("doc_id"), shingles(F.col(text)).alias("s"))
+    probes = windows_of(d, size["classes"] or []).select("*", F.explode(bands(F.col("window"))).alias("band"))
+    index = known.select("template", "class", F.explode(bands(F.col("own"))).alias("band"))
+    met = probes.join(side(index), ["class", "band"]).groupBy("uid", "first", "class", "template").agg(F.first("doc_id").alias("doc_id"), F.first("window").alias("window"))
+    share = F.size(F.array_intersect("window", "own")) / F.size("own")
+    met = met.join(side(known.select("template", "license", "own")), "template").select("doc_id", "license", "uid", "first", "class", share.alias("containment")).filter(F.col("containment") >= least)
+    one = met.groupBy("doc_id", "license", "uid", "class", "first").agg(F.max("containment").alias("containment"))
     return one.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.count(F.lit(1)).alias("n_windows"), F.min("first").cast("long").alias("first_word"))
 
 
