@@ -3,8 +3,8 @@
 Every run of 50 words holds one of its document's non-overlapping 25-word blocks whole. Those reference blocks are
 indexed by hash; the rolling 25-word windows of all texts probe them. Around each hit between different texts, the 26
 runs of 50 words through the hit are extended on either side: a run's digest (96 bits) is compared over all texts and
-the least document id that has it is kept, so a run is confirmed word for word and runs of confirmed starts form the
-maximal repeats. A frequent passage costs each block of texts one entry per run, never a pair per partner.
+the least document id that has it is kept, so a hit is extended word by word as far as runs go on being shared, and such
+runs together are the maximal repeats (equal digests stand for equal words; words themselves are not compared). A frequent passage costs each block of texts one entry per run, never a pair per partner.
 
 A run is removed from a document if it also starts in one with a smaller id; runs are judged on the input. Texts that
 cannot hold a repeat (see ``repeats``) are left out first; documents with the very text of a smaller one are wholly removed.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .repeats import SENT, all_keys, among, anchor_hashes, covered, known, live_contents, live_texts, mixed, received, rolling, send, sent_table, shared_keys
+from .repeats import SENT, all_keys, among, anchor_hashes, covered, known, live_contents, live_texts, mixed, received, rolling, send, sent_table, shared_keys, with_results
 
 RUN, BLOCK, GRAM, BLOCK_MB = 50, 25, 8, 4
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -155,8 +155,8 @@ def _cut(texts: pa.Table, found: pa.Table) -> pa.Table:
 def dedup_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row."""
     base = staged(facts(docs, doc_id, text), "passages-facts")
-    least = base.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    live = staged(live_contents(base).join(least.filter("least is not null"), "digest"), "passages-live")
+    least = staged(base.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "passages-copies")
+    live = staged(live_contents(base).join(least.filter("least is not null").select("digest", "least"), "digest"), "passages-live")
     texts, blocks = live_texts(docs, text, live, "passages-texts", BLOCK_MB)
     buckets = max(64, 2 * blocks)
     hits = shared_keys(texts, lambda t: rolling(codes(words_of(t)), BLOCK), buckets, lambda t: rolling(codes(words_of(t)), BLOCK)[::BLOCK])
@@ -166,7 +166,7 @@ def dedup_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     found = runs.groupBy("bucket").applyInArrow(_least, "block long, payload binary")
     lost = texts.select("block", "least", "digest", "text").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut, "digest binary, n_removed long, kept_sha256 string")
     lost = staged(lost, "passages-lost")
-    rows = base.select("doc_id", "digest", "n_words", "kept").join(least.join(lost, "digest", "left"), "digest")
+    rows = with_results(base.select("doc_id", "digest", "n_words", "kept"), least, lost)
     later, own = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)), F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False)) & F.col("n_removed").isNotNull()
     whole = later & (F.col("n_words") >= RUN)
     return rows.select(

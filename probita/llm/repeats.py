@@ -23,6 +23,8 @@ NONE = np.zeros(0, np.uint64)
 BROADCAST_ROWS = 200_000
 #: Contents of an anchor from which it counts as frequent.
 HOT = 500
+#: At most so many digests are joined by broadcast as the common ones.
+COMMON = 10_000
 SENT = "bucket long, block long, payload binary"
 
 
@@ -94,29 +96,42 @@ def known(text: Column) -> tuple[Column, Column]:
 def live_contents(facts: DataFrame) -> DataFrame:
     """``facts`` (digest, anchors, twice; any rows) -> the digests of contents that share an anchor with another, or repeat one.
 
-    Anchors of over HOT contents are few against the rows; they are looked up by broadcast behind a check of their
-    number, so that no task gets all rows of a frequent one. Beyond it they go with the others."""
+    Frequent anchors have over HOT contents and over one in BROADCAST_ROWS of all (anchor, content) pairs, so there are
+    fewer than BROADCAST_ROWS of them. They are looked up by broadcast, so that no task gets all rows of a frequent one."""
     one = facts.select("digest", "anchors", "twice").dropDuplicates(["digest"])
     pairs = one.select(F.explode("anchors").alias("a"), F.xxhash64("digest").alias("c"), "digest")
     shared = pairs.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = staged(shared.filter("lo <> hi").select("a", "n"), "repeats-anchors")
-    hot = shared.filter(F.col("n") > HOT).select("a")
-    found = one.filter("twice").select("digest")
-    if 0 < hot.count() <= BROADCAST_ROWS:
-        found = found.union(pairs.join(F.broadcast(hot), "a", "left_semi").select("digest"))
-        pairs = pairs.join(F.broadcast(hot), "a", "left_anti")
-    return found.union(pairs.join(shared.select("a"), "a", "left_semi").select("digest")).distinct()
+    every = shared.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(shared.filter(F.col("n") > max(HOT, every // BROADCAST_ROWS)).select("a"))
+    found = one.filter("twice").select("digest").union(pairs.join(hot, "a", "left_semi").select("digest"))
+    return found.union(pairs.join(hot, "a", "left_anti").join(shared.select("a"), "a", "left_semi").select("digest")).distinct()
+
+
+def with_results(rows: DataFrame, copies: DataFrame, lost: DataFrame) -> DataFrame:
+    """``rows`` (of any number per digest) with what is known of their digest: ``copies`` (digest, copies, ...), ``lost`` (digest, ...).
+
+    A digest of over one in COMMON of all rows is common: there are fewer than COMMON of them, so they are joined by broadcast
+    and never meet in one task; no other digest has more rows than that share."""
+    known_ = copies.join(lost, "digest", "left")
+    common = copies.filter(F.col("copies") > max(HOT, rows.count() // COMMON)).select("digest")
+    few = F.broadcast(known_.join(F.broadcast(common), "digest", "left_semi"))
+    others = rows.join(F.broadcast(common), "digest", "left_anti").join(known_, "digest")
+    return rows.join(few, "digest").unionByName(others)
 
 
 def live_texts(docs: DataFrame, text: str, live: DataFrame, tag: str, mb_each: float) -> tuple[DataFrame, int]:
     """A row (block, c, digest, text, ...live's other columns) for each live content, dealt into blocks; and how many blocks.
 
-    ``live``: a staged table. It is broadcast only if it has few rows; else both sides are shuffled."""
-    n = live.count()
-    side = F.broadcast(live) if n <= BROADCAST_ROWS else live
+    ``live``: a staged table of a digest and at most a number a row, some 100 bytes in memory. It is broadcast only if it has at
+    most BROADCAST_ROWS rows (20 MB); else texts are made distinct, which combines copies before the shuffle, and then joined."""
     digest, c = known(F.col(text))
-    found = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), digest.alias("digest"), c.alias("c")).join(side, "digest")
-    found = staged(found.dropDuplicates(["digest"]), tag)
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), digest.alias("digest"), c.alias("c"))
+    if live.count() <= BROADCAST_ROWS:
+        found = rows.join(F.broadcast(live), "digest").dropDuplicates(["digest"])
+    else:
+        found = rows.dropDuplicates(["digest"]).join(live, "digest")
+    found = staged(found, tag)
     size = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(32, int(size // (mb_each * 1e6)) + 1)
     return found.withColumn("block", F.pmod("c", F.lit(blocks))), blocks
@@ -147,9 +162,10 @@ def received(payload: bytes, kinds: list[type]) -> list[np.ndarray]:
     return out
 
 
-def shared_keys(texts: DataFrame, keys_of: Callable[[str], np.ndarray], buckets: int, wanted: Callable[[str], np.ndarray] | None = None) -> DataFrame:
+def shared_keys(texts: DataFrame, keys_of: Callable[[str], np.ndarray], buckets: int, wanted: Callable[[str], np.ndarray] | None = None, hot: int | None = None) -> DataFrame:
     """(block, payload): for each block its keys (uint64, without the low bit) that two contents have, or one has twice if
     ``wanted`` is None. With ``wanted``, only keys that are among some content's wanted keys.
+    With ``hot``, the low bit of a key is set if more than ``hot`` blocks have it.
 
     A block sends each distinct key once, the low bit telling whether it has it more than once."""
     strict = wanted is not None
@@ -174,6 +190,7 @@ def shared_keys(texts: DataFrame, keys_of: Callable[[str], np.ndarray], buckets:
         more[first[(every & np.uint64(1)) > 0]] = True
         asked[first[np.concatenate([g[1] for g in got]) > 0]] = True
         good, at, out = ((n > 1) | more) & asked, 0, []
+        keys = keys | ((n > hot) if hot is not None else np.zeros(len(keys), bool)).astype(np.uint64)
         for block, g in zip(blocks, got, strict=True):
             own = first[at : at + len(g[0])]
             at += len(own)

@@ -1,15 +1,18 @@
 """Substring dedup on bytes: a logarithmic family of suffix arrays.
 
 A byte goes if a 400-byte string that covers it starts anywhere else too. Suffixes are dealt out so that equal 400-byte
-starts meet: each run of consecutive starts with the same anchor (see ``repeats``) is a region, the bytes its suffixes
-need, and goes to the bucket of its anchor's hash. In a bucket, distinct regions form batches; a new batch gets a suffix
+starts meet: each run of consecutive starts with the same anchor (see ``repeats``) is one or two regions, the bytes its suffixes
+need: starts so far before the anchor that all hold its left half (the 232 bytes up to and with the anchor), and the others,
+which all hold its right half. A region goes to the bucket of its anchor's hash, unless its half is frequent (more than
+``HOT_BLOCKS`` blocks of texts have it, so that one task might get a region of every document): then it is cut by the
+distance to the anchor into regions of at most 21 starts, each going to the bucket of the 380 bytes that all its starts share,
+so documents with other neighbours of a frequent passage go elsewhere. In a bucket, distinct regions form batches; a new batch gets a suffix
 array (prefix doubling up to 400 bytes), is merge-scanned against the levels there are, marking suffixes with a match of
 400 bytes on both sides, and levels of about equal size are merged, so there are logarithmically many. Equal regions are
 sent once per block of texts and count as matches of each other at once.
 
-Left out before, without loss: contents that share no anchor, and regions neither of whose halves (232 bytes left or
-right with the anchor; any 400-byte string around it holds one) occurs twice. Copies of a whole text of 400 bytes or
-more are removed whole, and one of them takes part.
+Left out before, without loss: contents that share no anchor, and regions whose half does not occur twice. Copies of a whole text of 400 bytes or
+more are removed whole, and one of them takes part. Regions are known by 128-bit digests; matches are compared byte for byte.
 
 Defined results: a null text is empty; texts under 400 bytes lose nothing; each row is a place of its own, so repeated
 rows remove each other; null ids are carried; other columns are not read.
@@ -27,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .repeats import SENT, all_keys, among, anchor_hashes, anchored, covered, known, live_contents, live_texts, mixed, rolling, sent_table, shared_keys, to_buckets
+from .repeats import SENT, all_keys, among, anchor_hashes, anchored, covered, known, live_contents, live_texts, mixed, rolling, sent_table, shared_keys, to_buckets, with_results
 
 LENGTH, GRAM, BLOCK_MB, BATCH = 400, 64, 3, 1_500_000
 HALF = (LENGTH - GRAM) // 2 + GRAM
 _UNITS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _LEFT = np.uint64(0x5A5A5A5A5A5A5A5A)
 ALL_BITS = ~np.uint64(1)
+#: Blocks of texts from which a half counts as frequent, and starts of a region of a frequent one.
+HOT_BLOCKS, NARROW = 16, 21
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -121,23 +126,36 @@ class Family:
 
 
 def regions(data: bytes, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
-    """(starts, counts, anchor hashes, left keys, right keys) of the regions of a text; 0: no such key. In pieces of ``step`` starts."""
+    """(starts, counts, anchor hashes, half keys, anchor places) of the regions of a text. In pieces of ``step`` starts."""
+    reach = HALF - GRAM
     for at in range(0, len(data) - LENGTH + 1, step):
         back = min(at, HALF)  # context for the left halves
         u = _UNITS[np.frombuffer(data[at - back : at + step + LENGTH - 1], np.uint8)]
         place, h = anchored(u[back:], LENGTH, GRAM)
         new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        a, r = place[new] + back, rolling(u, HALF)
-        left = np.where(a >= HALF - GRAM, r[np.maximum(a - (HALF - GRAM), 0)] ^ _LEFT, 0)
-        right = np.where(a < len(r), r[np.minimum(a, len(r) - 1)], 0)
-        yield at + new, np.diff(np.r_[new, len(place)]), mixed(h[place[new]]), left, right  # least hashes are small: mixed again to spread
+        a, r = place[new], rolling(u, HALF)
+        key = mixed(h[a])  # least hashes are small: mixed again to spread
+        end = np.r_[new[1:], len(place)]
+        cut = np.clip(a - reach, new, end)  # from here on a start holds the right half
+        left, right = np.flatnonzero(new < cut), np.flatnonzero(cut < end)
+        start, count = np.r_[new[left], cut[right]], np.r_[(cut - new)[left], (end - cut)[right]]
+        half = np.r_[r[a[left] + back - reach] ^ _LEFT, r[a[right] + back]]
+        both = np.r_[left, right]
+        yield at + start, count, key[both], half, at + a[both]
 
 
 def half_keys(text: str) -> np.ndarray:
-    got = [np.zeros(0, np.uint64)]
-    for _, _, _, left, right in regions(bytes_of(text)):
-        got += [left[left != 0], right[right != 0]]
-    return np.concatenate(got)
+    return np.concatenate([np.zeros(0, np.uint64), *(half for _, _, _, half, _ in regions(bytes_of(text)))])
+
+
+def narrowed(data: bytes, start: int, count: int, anchor: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, count, shared bytes) of the regions of at most NARROW starts that a region is cut into."""
+    s = start
+    while s < start + count:
+        far = (anchor - s) // NARROW  # starts of one ``far`` lie at most NARROW - 1 apart
+        n = min(anchor - far * NARROW, start + count - 1) - s + 1
+        yield s, n, data[anchor - far * NARROW : anchor - far * NARROW + LENGTH - NARROW + 1]
+        s += n
 
 
 def facts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -158,21 +176,37 @@ def _digest(part: bytes) -> bytes:
     return xxhash.xxh3_128_digest(part)
 
 
+def _core_bucket(core: bytes, buckets: int) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(core) * buckets >> 64
+
+
 def _emit(buckets: int):
     """The block's distinct live regions, by bucket: digests, counts, whether there are several, bytes."""
     def run(texts: pa.Table, live: pa.Table) -> pa.Table:
         if not len(texts) or not len(live):
             return sent_table([])
         block, keys = texts["block"][0].as_py(), all_keys(live)
+        hot = keys[(keys & np.uint64(1)) > 0] & ALL_BITS
+        keys = np.unique(keys & ALL_BITS)
         found: dict[bytes, list] = {}
+
+        def take(bucket: int, n: int, part: bytes) -> None:
+            got = found.setdefault(_digest(part), [bucket, n, 0, part])
+            got[2] = min(2, got[2] + 1)
+
         for t in texts["text"].to_pylist():
             data = bytes_of(t)
-            for start, count, key, left, right in regions(data):
-                on = among(left & ALL_BITS, keys) | among(right & ALL_BITS, keys)
-                for s, n, b in zip(start[on].tolist(), count[on].tolist(), to_buckets(key[on], buckets).tolist(), strict=True):
-                    part = data[s : s + n + LENGTH - 1]
-                    got = found.setdefault(_digest(part), [b, n, 0, part])
-                    got[2] = min(2, got[2] + 1)
+            for start, count, key, half, anchor in regions(data):
+                on = among(half & ALL_BITS, keys)
+                often = among(half[on] & ALL_BITS, hot)
+                for s, n, b, a, narrow in zip(start[on].tolist(), count[on].tolist(), to_buckets(key[on], buckets).tolist(), anchor[on].tolist(), often.tolist(), strict=True):
+                    if not narrow:
+                        take(b, n, data[s : s + n + LENGTH - 1])
+                        continue
+                    for at, k, core in narrowed(data, s, n, a):
+                        take(_core_bucket(core, buckets), k, data[at : at + k + LENGTH - 1])
         by: dict[int, list] = {}
         for digest, (b, n, several, part) in found.items():
             by.setdefault(b, []).append((digest, n, several, part))
@@ -246,14 +280,20 @@ def _cut(texts: pa.Table, found: pa.Table) -> pa.Table:
         ends = np.cumsum(n).tolist()
         for i in range(k):
             bits[raw[8 + 16 * i : 24 + 16 * i]] = mask[ends[i] - int(n[i]) : ends[i]]
+    narrow = any(len(b) <= NARROW for b in bits.values())
     for d, t in zip(texts["digest"].to_pylist(), texts["text"].to_pylist(), strict=True) if bits else []:
         data = bytes_of(t)
         starts = np.zeros(max(0, len(data) - LENGTH + 1), bool)
-        for start, count, *_ in regions(data):
-            for s, n in zip(start.tolist(), count.tolist(), strict=True):
+        for start, count, _, _, anchor in regions(data):
+            for s, n, a in zip(start.tolist(), count.tolist(), anchor.tolist(), strict=True):
                 got = bits.get(_digest(data[s : s + n + LENGTH - 1]))
                 if got is not None:
                     starts[s : s + n] = got
+                    continue
+                for at, k, _ in narrowed(data, s, n, a) if narrow else ():
+                    got = bits.get(_digest(data[at : at + k + LENGTH - 1]))
+                    if got is not None:
+                        starts[at : at + k] = got
         if starts.any():
             gone = covered(starts, LENGTH, len(data))
             kept = np.frombuffer(data, np.uint8)[~gone]
@@ -265,16 +305,16 @@ def _cut(texts: pa.Table, found: pa.Table) -> pa.Table:
 def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     base = staged(facts(docs, doc_id, text), "substrings-facts")
-    copies = base.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    copies = staged(base.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "substrings-copies")
     live = staged(live_contents(base), "substrings-live")
     texts, blocks = live_texts(docs, text, live, "substrings-texts", BLOCK_MB)
     buckets = max(64, 4 * blocks)
-    keys = staged(shared_keys(texts, half_keys, buckets), "substrings-keys")
+    keys = staged(shared_keys(texts, half_keys, buckets, hot=HOT_BLOCKS), "substrings-keys")
     side = texts.select("block", "digest", "text").groupBy("block")
     sent = side.cogroup(keys.groupBy("block")).applyInArrow(_emit(buckets), SENT)
     found = sent.groupBy("bucket").applyInArrow(_match, "block long, payload binary")
     lost = staged(side.cogroup(found.groupBy("block")).applyInArrow(_cut, "digest binary, n_removed long, n_spans long, kept_sha256 string"), "substrings-lost")
-    rows = base.select("doc_id", "digest", "n_bytes", "kept").join(copies.join(lost, "digest", "left"), "digest")
+    rows = with_results(base.select("doc_id", "digest", "n_bytes", "kept"), copies, lost)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     return rows.select(
         "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
