@@ -13,9 +13,11 @@ SPACE_CLASS = r"[ \t-\r]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests) a folder of our own is set."""
+    """The folder named in spark.checkpoint.dir; only where it is unset in local mode (tests) a folder of our own is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="probita-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
