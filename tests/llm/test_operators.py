@@ -103,6 +103,48 @@ def test_substrings(docs, monkeypatch):
     assert suffixes.dedup_substrings(empty(docs)).count() == 0
 
 
+def _substrings_brute(rows):
+    data = [(t or "").encode() for _, t in rows]
+    seen = collections.Counter(b[j : j + 400] for b in data for j in range(len(b) - 399))
+    want = []
+    for (i, _), b in zip(rows, data, strict=True):
+        d = np.zeros(len(b) + 1, int)
+        for j in range(len(b) - 399):
+            if seen[b[j : j + 400]] > 1:
+                d[j] += 1
+                d[j + 400] -= 1
+        gone = np.cumsum(d[:-1]) > 0
+        spans = int(np.sum(gone & ~np.r_[False, gone[:-1]])) if len(b) else 0
+        want.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("size", [240, 390, 402, 1500])
+def test_substrings_with_a_frequent_passage(spark, monkeypatch, size):
+    """One passage with other neighbours in each of many texts, some of which share a neighbour too."""
+    monkeypatch.setattr(suffixes, "HOT_BLOCKS", 1)
+    random.seed(size)
+    noise = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, before, after = noise(size), noise(90), noise(120)
+    rows = [(i, noise(random.randrange(300)) + (before if i % 3 == 0 else "") + passage + (after if i % 4 == 0 else "") + noise(random.randrange(300))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(repr(tuple(r)) for r in suffixes.dedup_substrings(df).collect()) == _substrings_brute(rows)
+
+
+def test_regions_cover_all_starts_in_pieces():
+    random.seed(3)
+    data = bytes(random.choice(b"abcd") for _ in range(5000))
+    whole = [tuple(c.tolist()) for c in map(np.concatenate, zip(*suffixes.regions(data), strict=True))]
+    keys = {s + j: (k, h) for s, n, k, h, _ in zip(*whole, strict=True) for j in range(n)}
+    parts = [tuple(c.tolist()) for c in map(np.concatenate, zip(*suffixes.regions(data, 700), strict=True))]
+    assert sorted(keys) == list(range(len(data) - 399))
+    assert keys == {s + j: (k, h) for s, n, k, h, _ in zip(*parts, strict=True) for j in range(n)}
+    for s, n, _, _, a in zip(*whole, strict=True):
+        cut = list(suffixes.narrowed(data, s, n, a))
+        assert [x + j for x, k, _ in cut for j in range(k)] == list(range(s, s + n)) and all(k <= 21 for _, k, _ in cut)
+        assert all(core in data[x + j : x + j + 400] and len(core) == 380 for x, k, core in cut for j in range(k))
+
+
 def test_suffix_levels():
     random.seed(6)
     base = bytes(random.choice(b"abcdefgh") for _ in range(3000))
@@ -147,32 +189,139 @@ def test_pii(docs):
     assert [len(r[0]) for r in (lambda d, c: d.select(c).collect())(*pii.with_spans(long))] == [0, 0, 1]
 
 
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _base_spans(t):
+    """The contract's own patterns and tests."""
+    out = []
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, t or "", re.ASCII):
+            d = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if good:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_pii_against_brute_force(spark):
+    """Random texts of pieces that nearly match, and long texts full of hits: counts, base_sha256 and all base spans."""
+    random.seed(21)
+    pieces = ["a.b@c.example.org", "x@y", "@", "10.0.0.1", "300.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "79927398713", "+1 (212) 555-0100", "+49 30 1", "+", "ip ", "é", "😀", "-", ".", " ", "\n", "card ", "DE89370400440532013000", "078-05-1120", "ssn ", "0123456789"]
+    rows = [(i, "".join(random.choice(pieces) for _ in range(random.randint(0, 30)))) for i in range(400)]
+    rows += [(900, "\n".join(f"u{i}@m{i}.example.org 10.0.0.{i % 300}" for i in range(3000))), (901, "4111 1111 1111 1111, " * 700), (902, None), (903, ""), (None, pieces[0]), (900, "a@b.c " * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1))
+    df, col = pii.with_spans(df)
+    for r in df.select("text", F.col(col).alias("spans"), pii._joined(F.filter(col, lambda s: s["k"] < 4)).alias("base"), pii.redacted(F.col("text"), F.col(col)).alias("red")).collect():
+        want, t = _base_spans(r.text), r.text or ""
+        assert [(s.start, s.k, s.end) for s in r.spans if s.k < 4] == want
+        assert r.base == ",".join(f"{list(BASE)[k]}:{a}:{b}" for a, k, b in want)
+        at, out = 0, ""
+        for s in r.spans:
+            if s.start >= at:
+                out, at = out + t[at : s.start] + f"<{pii.KINDS[s.k].upper()}>", s.end
+        assert (r.red or "") == out + t[at:]
+        for s in r.spans:
+            kind, before = pii.KINDS[s.k], t[max(0, s.start - 60) : s.start].lower()
+            near, against = (bool(re.search(rf"\b(?:{w[kind]})", before)) for w in (pii.CONTEXT, pii.AGAINST))
+            assert s.score == round(pii.SCORE[kind] + 0.3 * near - 0.3 * against, 2) and (s.k < 4 or s.score >= 0.6)
+
+
 def test_topk(spark):
     random.seed(9)
-    rows = [(i, [random.uniform(-1, 1) for _ in range(6)], 0) for i in range(300)] + [(7, [0.5] * 6, 0), (301, [0.5] * 6, 0), (302, None, 0), (303, [float("nan")] + [0.1] * 5, 0), (None, [0.1] * 6, 0), (304, [None] + [0.1] * 5, 0), (305, [0.1] * 3, 0)]
+    rows = [(i, [random.uniform(-1, 1) for _ in range(6)], 0) for i in range(300)] + [(7, [0.5] * 6, 0), (50, [0.5] * 6, 0), (301, [0.5] * 6, 0), (302, None, 0), (303, [float("nan")] + [0.1] * 5, 0), (None, [0.1] * 6, 0), (304, [None] + [0.1] * 5, 0), (305, [0.1] * 3, 0), (306, [], 0)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    got = topk.top_k(v, v.filter("vec_id % 50 = 0")).collect()
+    got = topk.top_k(v, F.col("vec_id") % 50 == 0).collect()
     whole = {(n, i): [int(np.floor(256 * x)) for x in e] for n, (i, e, _) in enumerate(rows) if i is not None and e is not None and None not in e and not np.isnan(e).any()}
     want = []
-    for (_, q), a in whole.items():
+    for (n, q), a in whole.items():
         if q % 50 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for (_, c), b in whole.items() if c != q and len(a) == len(b))[:5]
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for (m, c), b in whole.items() if m != n and len(a) == len(b))[:5]
             want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
     assert sorted(map(tuple, got)) == sorted(want)
-    assert topk.top_k(v.filter("vec_id < 0"), v.filter("vec_id < 0")).count() == 0
+    assert topk.top_k(v.filter("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_topk_over_many_blocks(spark, monkeypatch):
+    """Small blocks, groups and parts give the same answers."""
+    for name, n in (("BLOCK", 16), ("GROUPED", 4), ("QUERIES", 8), ("CENTROIDS", 4)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 8)).round(3)
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>").repartition(7)
+    whole = np.floor(256 * x)
+    want = []
+    for q in range(0, 600, 20):
+        s = whole @ whole[q]
+        want += [(q, k + 1, int(c), int(s[c])) for k, c in enumerate(sorted(set(range(600)) - {q}, key=lambda c: (-s[c], c))[:5])]
+    assert sorted(map(tuple, topk.top_k(v, F.col("vec_id") % 20 == 0).collect())) == sorted(want)
 
 
 def test_pruning_leaves_blocks_out():
-    random.seed(1)
-    blocks = [(np.arange(b * 10, b * 10 + 10), np.full((10, 4), float(8 - b))) for b in range(8)]
-    best, who = topk.search(np.array([999]), np.ones((1, 4)), blocks, 5)
-    assert best[0].tolist() == [32.0] * 5 and who[0].tolist() == [0, 1, 2, 3, 4]
+    blocks = [(np.arange(b * 10, b * 10 + 10), np.arange(b * 10, b * 10 + 10), np.full((10, 4), float(8 - b))) for b in range(8)]
+    best, who, scored = topk.search(np.array([999]), np.ones((1, 4)), blocks, 5)
+    assert best[0].tolist() == [32.0] * 5 and who[0].tolist() == [0, 1, 2, 3, 4] and scored == 1
+    assert topk.search(np.array([999]), np.ones((1, 4)), blocks, 5, np.array([40.0]))[2] == 0
+
+
+def _license_shingles(t):
+    w = [x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x]
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
 
 
-def test_licenses(docs):
-    got = licenses.scan(docs).collect()
-    assert [(r.doc_id, r.license, r.containment) for r in got] == [(15, "Apache-2.0 notice", 1.0)]
+def _license_brute(rows, templates, least=0.8):
+    """Containment of each template in each window of its class; the best by license."""
+    out = {}
+    for i, t in rows:
+        s = _license_shingles(t)
+        for name, body in templates:
+            own = set(_license_shingles(body))
+            if not own or not s:
+                continue
+            c = next(c for c in licenses.CLASSES if c >= len(own))
+            for k in range(max(0, -(-(len(s) - 4 * c) // (3 * c))) + 1):
+                share = len(own & set(s[3 * c * k : 3 * c * k + 4 * c])) / len(own)
+                if share >= least:
+                    out.setdefault((i, name), {}).setdefault((c, 3 * c * k), []).append(share)
+    return {k: (max(max(x) for x in v.values()), len(v), min(f for _, f in v)) for k, v in out.items()}
+
+
+def test_licenses(spark, docs):
+    """Whole, edited, cut and embedded notices against brute force, in short and long texts."""
+    random.seed(12)
+    prose = lambda n: " ".join(f"w{random.randrange(500)}" for _ in range(n))
+    templates = [*licenses.BODIES.items(), *licenses.citations()]
+    rows = [(0, None), (1, ""), (2, "the MIT"), (3, prose(40))]
+    for n, (_, body) in enumerate([*licenses.BODIES.items(), *random.sample(licenses.citations(), 12)]):
+        w = body.split()
+        edited = [*w]
+        for _ in range(len(w) // 40):
+            edited[random.randrange(len(w))] = "changed"
+        rows += [(100 + n, f"{prose(random.randrange(300))} {body.upper()}\n{prose(random.randrange(900))}"), (200 + n, prose(37) + " " + " ".join(edited) + " " + prose(5)), (300 + n, " ".join(w[: int(len(w) * 0.85)]))]
+    rows.append((400, prose(9000) + " " + licenses.BODIES["MPL-2.0"] + " " + prose(4000) + " released under the MIT License. " + prose(3000)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("window", F.lit("clash"))
+    got = {(r.doc_id, r.license): (r.containment, r.n_windows, r.first_word) for r in licenses.scan(df).collect()}
+    want = _license_brute(rows, templates)
+    assert len(want) > 60 and got == want
     assert licenses.scan(empty(docs)).count() == 0
+    twice = licenses.scan(docs.filter("doc_id = 15").union(docs.filter("doc_id = 15"))).collect()
+    assert {(r.license, r.n_windows) for r in twice} == {("Apache-2.0", 2)}
+    assert licenses.scan(df, licenses.templates_of(spark, [("short", "too few words here")])).count() == 0
+
+
+def test_license_bands_keep_their_bound(spark):
+    """The least similar template of each class is retrieved: a fifth of the class's shingles in a window of unlike ones."""
+    rng = np.random.default_rng(5)
+    missed = 0
+    for c in (8, 32, 128, 512):
+        for _ in range(300):
+            n = c // 4 + 1
+            own, other = rng.integers(-(2**63), 2**63, n), rng.integers(-(2**63), 2**63, 4 * c)
+            other[: -(-4 * n // 5)] = own[: -(-4 * n // 5)]
+            missed += not set(np.sort(own)[: licenses.BANDS].tolist()) & set(np.sort(other)[: licenses.BANDS].tolist())
+    assert missed <= 0.005 * 1200
 
 
 def test_quality_counts(spark, docs):
@@ -212,6 +361,46 @@ def test_quality_certifies_small_strata(spark):
     assert all(r.symbols is None for r in quality.thresholds(rated.filter("doc_id < 60"), labels).collect())
 
 
+def _tail(n, k, p):
+    from math import comb
+
+    return sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    """Joint cutoffs by exact tails on three strata, one too small, and the verdict of every row."""
+    rng = np.random.default_rng(2)
+    words_ = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(1500):
+        w = [words_[j] for j in rng.integers(0, 3000, rng.integers(5, 60))]
+        junk = rng.random()
+        w += ["#$"] * (int(rng.integers(1, 30)) if junk < 0.15 else 0) + ["wow!!"] * (int(rng.integers(1, 9)) if junk > 0.9 else 0)
+        rows.append((i, " ".join(w), "en" if i < 700 else "de" if i < 1450 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("quality", F.lit("clash"))
+    labels_ = {i: int("#" not in t) for i, t, _ in rows}
+    labels = spark.createDataFrame([*labels_.items(), (0, 0), (None, 1)], "doc_id long, quality int")
+    labels_[0] = 0
+    counted, col = quality.with_counts(docs)
+    df, c, ok = quality.judge(mixing.staged(counted, "test-counted"), col, labels)
+    quarter = {r[0] for r in spark.range(1500).filter(F.pmod(F.xxhash64("id"), F.lit(4)) == 0).collect()}
+    got = df.select("doc_id", "lang", ok.alias("ok"), quality.base_failed(c).alias("bad"), *[v.alias(k) for k, v in quality.ratios(c).items()]).collect()
+    cut, strata = {}, {r.lang for r in got}
+    for lang in strata:
+        good = [r for r in got if r.lang == lang and labels_[r.doc_id] and not r.bad]
+        order, test = [r for r in good if r.doc_id in quarter], [r for r in good if r.doc_id not in quarter]
+        steps = sorted((sum(r[rule] > x for r in order), max(r[rule] for r in order) / x, -i, n, rule, x) for n, rule in enumerate(quality.RULES) for i, x in enumerate(quality.CUTOFFS))
+        limits, lost = {}, set()
+        for *_, rule, x in steps:
+            lost |= {r.doc_id for r in test if r[rule] > x}
+            if len(lost) < 0.03 * len(test) and _tail(len(test), len(lost), 0.03) <= 0.05 / len(strata):
+                limits[rule] = min(x, limits.get(rule, x))
+        cut[lang] = limits
+    assert cut[None] == {} and cut["en"].get("symbols") and cut["de"].get("symbols")
+    assert all(r.ok == (not r.bad and all(r[rule] <= x for rule, x in cut[r.lang].items())) for r in got)
+    assert any(not r.ok and not r.bad for r in got)  # rejected by a certified cutoff alone
+
+
 def test_passages(docs):
     rows = texts()
     first = {}
@@ -409,19 +598,66 @@ def test_near_groups_recall(spark):
     assert gone <= some
 
 
-def test_mixing(spark, docs):
-    sized = mixing.staged(mixing.with_size(docs), "test-sizes")
+def _shared(sizes, weights=(5, 2, 1), most=3):
+    """Targets by sharing step by step: sources over their limit are set to it, the rest shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, capped = sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in capped]
+        left = total - sum(capped.values())
+        want = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = [s for s in free if want[s] > most * sizes[s]]
+        if not over:
+            return capped | want
+        capped |= {s: most * sizes[s] for s in over}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_mixing(spark, docs, parts):
+    sized = mixing.staged(mixing.with_size(docs.repartition(parts)), "test-sizes")
     rows, pieces = mixing.mixed(sized, block=16)
     taken = {r.uid: r.n for r in pieces.groupBy("uid").agg(F.sum("n_words").alias("n")).collect()}
-    per = collections.defaultdict(lambda: [0, 0, 0.0])
-    for r in rows.collect():
+    rows = rows.join(sized.select("uid", "source"), "uid").collect()
+    sizes, took = collections.defaultdict(int), collections.defaultdict(int)
+    for r in rows:
         assert taken.get(r.uid, 0) <= 3 * r["size"]
-        per[r.s][0] += taken.get(r.uid, 0)
-        per[r.s][1] += r["size"]
-        per[r.s][2] = r.target
-    total = sum(x[1] for x in per.values())
-    assert rows.count() == docs.count() and abs(sum(x[2] for x in per.values()) - total) < 1e-6
-    assert all(abs(t - target) <= 64 and target <= 3 * size + 1e-9 for t, size, target in per.values())
+        sizes[r.source] += r["size"]
+        took[r.source] += taken.get(r.uid, 0)
+    want = _shared(sizes)
+    assert len(rows) == docs.count() and all(abs(r.target - want[r.source]) < 1e-6 and r.source_size == sizes[r.source] for r in rows)
+    assert all(abs(took[s] - want[s]) <= 64 for s in sizes)
+    assert mixing.mixed(mixing.staged(mixing.with_size(empty(docs)), "test-none"))[1].count() == 0
+    blank = docs.withColumn("text", F.lit(" "))
+    assert mixing.mixed(mixing.staged(mixing.with_size(blank), "test-blank"))[1].count() == 0
+
+
+def test_mixing_reruns_agree(spark, docs):
+    """What each text is taken does not depend on how rows are dealt."""
+    def run(parts):
+        sized = mixing.staged(mixing.with_size(docs.repartition(parts)), "test-sizes")
+        rows, pieces = mixing.mixed(sized, block=16)
+        return sorted(map(repr, rows.join(pieces.groupBy("uid").agg(F.sum("n_words").alias("n")), "uid", "left").select("key.id", "size", "n").collect()))
+
+    assert run(1) == run(5)
+
+
+def test_shard_counts(spark):
+    """Shards' counts add up to each source's slots, decide which slots a shard has, and scatter as a multinomial draw does."""
+    per = spark.createDataFrame([(0, 6400, 12800.0), (1, 640, 1920.0), (2, 0, 0.0)], "s int, source_size long, target double")
+    counts = mixing.staged(mixing.shard_counts(per, 16, 3, 50), "test-counts")
+    by = collections.defaultdict(list)
+    for r in counts.orderBy("s", "shard").collect():
+        assert r["first"] == sum(k for _, k in by[r.s])
+        by[r.s].append((r.shard, r.k))
+    assert {s: sum(k for _, k in v) for s, v in by.items()} == {0: 800, 1: 120}
+    shards = -(-920 // 50)
+    for s, v in by.items():
+        mean = sum(k for _, k in v) / shards
+        chi = sum((dict(v).get(i, 0) - mean) ** 2 / mean for i in range(shards))
+        assert 3 < chi < 50  # 18 degrees of freedom
+    slots = collections.Counter((r.s, r.shard) for r in mixing.slots(counts).collect())
+    assert slots == {(s, shard): k for s, v in by.items() for shard, k in v}
 
 
 def test_permutation(spark):
