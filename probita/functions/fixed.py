@@ -38,3 +38,14 @@ OTHER_VEHICLE = "Інше"
 SEVERITY = {"LOW": 0.5, "MEDIUM": 1.0, "HIGH": 1.5, "EXTREME": 2.0}
 TYPE_LABELS = {1: "Annual", 2: "Initial", 3: "Cessation"}
 BANDS = ((0.0, "None"), (20.0, "Low"), (40.0, "Moderate"), (70.0, "High"))
+#: Titles of the rules.
+RULE_TITLES = {
+    "TQ1": "Ownership dates unreadable or after the declaration year", "TQ2": "References to persons who are not declared", "TQ3": "Shares of a property that do not add up",
+    "TQ4": "Numbers that cannot be read or are out of range", "TQ5": "Real estate said not to apply against signs of residence", "cash_to_bank_ratio": "Cash far above bank deposits",
+    "CR1": "Cash far above annual income", "CR2": "Foreign cash far above annual income", "CR3": "Acquisition far above annual income", "CR4": "Several purchases on a low income",
+    "CR5": "Assets grow while income does not", "CR6": "Unusually large home or land area", "CR7": "Vehicles out of line with income or family", "CR8": "Farm land or machines without farm income",
+    "CR9": "Rentable property without rent income", "CR10": "Major property of hidden value", "CR11": "Major property of relatives without income", "CR12": "Wealth concentrated on a relative",
+    "CR13": "Relatives withhold information", "CR14": "Major assets appear or disappear", "CR15": "Real estate far above three years of income", "CR16": "Outlier among peers",
+    "BR1": "Many declarations in a year", "BR2": "Growing share of hidden values", "BR3": "Many confidential fields among peers", "BR4": "Assets grow with a change of position",
+    "yoy_income_change": "Sudden change of income", "yoy_asset_growth": "Monetary assets grow beyond income", "foreign_cash_jump": "Sudden growth of cash",
+}

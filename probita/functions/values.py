@@ -160,10 +160,19 @@ def location(city: Column, district: Column, region: Column) -> Column:
     return F.concat_ws(", ", *[F.nullif(x, F.lit("")) for x in (city, district, region)])
 
 
+def number_label(x: Column) -> Column:
+    """Thousands separators, no decimals, half to even; null stays null."""
+    return F.format_number(dbl(x), 0)
+
+
+def times_label(x: Column) -> Column:
+    return F.format_string("%.1fx", dbl(x))
+
+
 def loose_number(x: Column) -> Column:
     return F.coalesce(F.format_number(number_text(x).try_cast("decimal(38,10)"), 0), x)
 
 
 def rules_text(x: Column) -> Column:
     """Comma-joined rule names -> array without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), F.trim), lambda e: e != "")
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda e: F.trim(e)), lambda e: e != "")

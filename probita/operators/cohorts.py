@@ -51,15 +51,19 @@ def at_index(value: str, p: float) -> Column:
 
 
 def cuts(rows: DataFrame) -> DataFrame:
-    """(keys, income_p99, income_p95, assets_p99, assets_p95, cash_p99, conf_median): cut values per cohort, null under five values."""
-    enough = lambda x: F.when(F.max("n") >= LEAST, x)
-    out = large_enough(rows).select(*KEYS)
-    for value, cols in (
-        ("income", {"income_p99": least_rank("income", 0.99), "income_p95": least_rank("income", 0.95)}), ("assets", {"assets_p99": least_rank("assets", 0.99), "assets_p95": least_rank("assets", 0.95)}),
-        ("cash", {"cash_p99": least_rank("cash", 0.99)}), ("conf", {"conf_median": at_index("conf", 0.5)}),
-    ):
-        out = out.join(ranked(rows, value).groupBy(*KEYS).agg(*[enough(v).alias(k) for k, v in cols.items()]), KEYS, "left")
-    return out
+    """(keys, income_p99, income_p95, assets_p99, assets_p95, cash_p99, conf_median): cut values per cohort, null under five values.
+
+    The four measures are ranked in one pass, as rows of (measure, value)."""
+    long = rows.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in ("income", "assets", "cash", "conf")])).alias("x")).select(*KEYS, "x.*")
+    seen = ranked(long, "v", [*KEYS, "measure"])
+    of = lambda m, x: F.when(F.max(F.when(F.col("measure") == m, F.col("n"))) >= LEAST, F.min(F.when((F.col("measure") == m) & x, F.col("v"))))
+    rank = lambda p: F.col("upto") / F.col("n") >= p
+    index = lambda p: F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    out = seen.groupBy(*KEYS).agg(
+        F.max(F.when(F.col("measure") == "income", F.col("n"))).alias("n_income"), of("income", rank(0.99)).alias("income_p99"), of("income", rank(0.95)).alias("income_p95"),
+        of("assets", rank(0.99)).alias("assets_p99"), of("assets", rank(0.95)).alias("assets_p95"), of("cash", rank(0.99)).alias("cash_p99"), of("conf", index(0.5)).alias("conf_median"),
+    )
+    return out.filter(F.col("n_income") >= LEAST).drop("n_income")
 
 
 def with_cuts(df: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ can be exploded to a relation. Scores are statistical signals for human review.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.values import bounded, dbl, points, rounded
+from ..functions.values import bounded, dbl, number_label, points, rounded
 from .features import ID
 
 HIT = "struct<seq:int,rule:string,category:string,severity:string,confidence:double,score:double>"
@@ -160,6 +160,50 @@ def scored(df: DataFrame) -> DataFrame:
     }).drop("opacity_all", "raw", "corruption", "opacity", "quality")
 
 
+#: Rule -> the figures that it compares, by label.
+FIGURES = {
+    "TQ1": {"bad dates": lambda: c("re_bad_dates") + c("vh_bad_dates")}, "TQ2": {"orphans": lambda: c("re_orphans") + c("inc_orphans") + c("mon_orphans")}, "TQ3": {"properties": lambda: c("n_share_issues")},
+    "TQ4": {"numbers": lambda: c("inc_bad") + c("mon_bad") + c("re_bad")}, "TQ5": {"positive incomes": lambda: c("n_positive_incomes")}, "cash_to_bank_ratio": {"cash": lambda: c("cash"), "bank": lambda: c("bank")},
+    "CR1": {"cash": lambda: c("cash"), "income": lambda: c("total_income")}, "CR2": {"foreign cash": lambda: c("fx_cash"), "income": lambda: c("total_income")},
+    "CR3": {"acquired": lambda: F.greatest("re_acquired", "vh_acquired"), "income": lambda: c("total_income")}, "CR4": {"purchases": lambda: c("re_mid_high") + c("vh_mid_high"), "income": lambda: c("total_income")},
+    "CR6": {"home area": lambda: c("home_area"), "land area": lambda: c("land_area")}, "CR7": {"vehicles": lambda: c("n_vehicles"), "luxury": lambda: c("n_luxury"), "income": lambda: c("total_income")},
+    "CR8": {"land area": lambda: c("land_area"), "machines": lambda: c("n_machines")}, "CR9": {"rentable": lambda: c("n_trade") + c("n_city_flats"), "rent income": lambda: c("rent_income")},
+    "CR10": {"hidden": lambda: c("n_hidden_major")}, "CR11": {}, "CR12": {"times": lambda: c("kin_ratio")}, "CR13": {"fields": lambda: c("re_no_info") + c("mon_no_info")},
+    "CR16": {"income": lambda: c("total_income"), "assets": lambda: c("total_assets")}, "BR3": {"confidential fields": lambda: c("inc_conf") + c("mon_conf") + c("re_conf")},
+}
+
+
+def titles() -> Column:
+    return F.create_map(*[F.lit(x) for kv in fixed.RULE_TITLES.items() for x in kv])
+
+
+def line(rule: Column) -> Column:
+    """``title (label figure, ...)`` of a rule, from the wide row; a figure that is missing shows as n/a."""
+    shown = {k: F.concat_ws(", ", *[F.concat(F.lit(f"{label} "), F.coalesce(number_label(f()), F.lit("n/a"))) for label, f in v.items()]) for k, v in FIGURES.items()}
+    figures = F.create_map(*[x for k, v in shown.items() for x in (F.lit(k), v)])
+    text = F.coalesce(F.try_element_at(figures, rule), F.lit(""))
+    return F.concat(F.coalesce(F.try_element_at(titles(), rule), rule), F.when(text != "", F.concat(F.lit(" ("), text, F.lit(")"))).otherwise(F.lit("")))
+
+
+NOTHING = "No anomalies detected by the rules."
+
+
 def explanation(hit_rules: Column) -> Column:
-    lines = F.array_join(F.transform(hit_rules, lambda r: F.concat(F.lit("- "), r, F.lit(": a statistical signal for review"))), "\n")
-    return F.when(F.size(hit_rules) > 0, lines).otherwise(F.lit("No anomalies detected by the rules."))
+    """A line for each rule that fired, with its figures; rows as :func:`scored` gives them."""
+    lines = F.array_join(F.transform(hit_rules, lambda r: F.concat(F.lit("- "), r, F.lit(": "), line(r))), "\n")
+    return F.when(F.size(hit_rules) > 0, lines).otherwise(F.lit(NOTHING))
+
+
+def details_json(hits_: Column) -> Column:
+    """The hits as JSON text, as a scores table keeps them."""
+    return F.to_json(hits_)
+
+
+def details(text: Column) -> Column:
+    """JSON text of hits -> array; null or unreadable text: none."""
+    return F.coalesce(F.from_json(text, f"array<{HIT}>"), F.array().cast(f"array<{HIT}>"))
+
+
+def label_table(spark: SparkSession) -> DataFrame:
+    """(rule, title): the dimension table of the rules."""
+    return spark.range(1).select(F.explode(titles()).alias("rule", "title"))

@@ -14,6 +14,8 @@ from ..functions.values import currency_code, extended_status, placeholder_statu
 from .tables import Tables
 
 ID = "declaration_id"
+#: Places of rights and owners within an item: more than an item of 2 GB can hold.
+WITHIN = 1 << 31
 SECTION = "isNotApplicable int, data string"
 DOCUMENT = (
     "id string, doc_id string, date string, declaration_year string, declaration_type string, user_declarant_id string, "
@@ -102,7 +104,7 @@ def real_estate(docs: DataFrame, members: DataFrame, dedupe_property: bool = Fal
     rows = rows.withColumns({"area": area, "cost": cost, "right_belongs_raw": F.col("right.rightBelongs")})
     rows = with_owner(rows, members, "right_belongs_raw", "owner")
     return rows.select(
-        ID, (F.col("pos") * 1000 + F.coalesce("rpos", F.lit(0))).alias("pos"), clean(F.col("objectType")).alias("object_type"), clean(F.col("otherObjectType")).alias("other_object_type"),
+        ID, (F.col("pos").cast("long") * WITHIN + F.coalesce("rpos", F.lit(0))).alias("pos"), clean(F.col("objectType")).alias("object_type"), clean(F.col("otherObjectType")).alias("other_object_type"),
         F.col("area.value").alias("total_area"), F.col("area.raw").alias("total_area_raw"), F.col("area.status").alias("total_area_status"), F.col("cost.value").alias("cost_assessment"), F.col("cost.raw").alias("cost_assessment_raw"), F.col("cost.status").alias("cost_assessment_status"),
         F.col("owningDate").alias("owning_date"), "right_belongs_raw", F.when(F.col("has_right"), F.col("owner")).alias("right_belongs_resolved"), F.col("right.ownershipType").alias("ownership_type"), F.col("right.percent-ownership").alias("percent_ownership"),
         clean(F.col("country")).alias("country"), clean(F.col("region")).alias("region"), clean(F.col("district")).alias("district"), clean(F.col("community")).alias("community"), clean(F.col("city")).alias("city"), F.col("cityType").alias("city_type"), F.col("iteration").alias("raw_iteration"),
@@ -153,7 +155,7 @@ def accounts(docs: DataFrame, members: DataFrame) -> DataFrame:
     care = F.transform(F.coalesce("person_who_care", F.array().cast("array<struct<person:string>>")), lambda x: F.struct(x["person"].alias("person_has_account"), F.lit(None).cast("string").alias("iteration")))
     rows = rows.select("*", F.posexplode(F.when(F.size(held) > 0, held).otherwise(care)).alias("apos", "a")).withColumn("owner_raw", F.col("a.person_has_account"))
     rows = with_owner(rows, members, "owner_raw", "account_owner_resolved")
-    return rows.select(ID, (F.col("pos") * 1000 + F.col("apos")).alias("pos"), clean(F.col("establishment_ua_company_name")).alias("institution_name"), F.col("establishment_ua_company_code").alias("institution_code"), "account_owner_resolved", F.coalesce("a.iteration", "iteration").alias("raw_iteration"))
+    return rows.select(ID, (F.col("pos").cast("long") * WITHIN + F.col("apos")).alias("pos"), clean(F.col("establishment_ua_company_name")).alias("institution_name"), F.col("establishment_ua_company_code").alias("institution_code"), "account_owner_resolved", F.coalesce("a.iteration", "iteration").alias("raw_iteration"))
 
 
 def normalised(docs: DataFrame, dedupe_property: bool = False) -> Tables:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from ..functions import fixed
 from ..functions.values import display_name, rounded
 from .features import ID
 from .tables import Tables
@@ -83,5 +85,28 @@ def vehicle_groups(t: Tables) -> DataFrame:
     return rows.select(ID, "key", "n_rights", F.array_join(F.array_distinct(F.filter(F.transform("o", lambda x: x["right_belongs_resolved"]), lambda x: x.isNotNull())), ", ").alias("owners"))
 
 
+def ranked_persons(timelines: DataFrame, *, top: int = 20, min_score: float = 0.0) -> DataFrame:
+    """Persons with two snapshots or more and at least ``min_score``, best first; rank from 1."""
+    some = timelines.filter((F.col("n_snapshots") >= 2) & (F.col("total_score") >= min_score)).orderBy(F.desc("total_score"), "user_declarant_id").limit(top)
+    return some.withColumn("rank", F.row_number().over(W.orderBy(F.desc("total_score"), "user_declarant_id")))  # of ``top`` rows
+
+
+def report(ranked: DataFrame, detailed: int = 5) -> str:
+    """A bounded ranked list as text: a line per person, then the first ``detailed`` with their figures and rules."""
+    rows = ranked.orderBy("rank").collect()
+    lines = [f"{r.rank:>4}  {r.total_score:>6.2f}  {r.user_declarant_id}  {r.name}" for r in rows]
+    for r in rows[:detailed]:
+        lines += ["", f"{r.name} ({r.user_declarant_id}): {r.total_score:.2f} over {r.n_snapshots} years and {r.n_changes} changes"]
+        lines += [f"  - {rule}: {fixed.RULE_TITLES.get(rule, rule)}" for rule in r.triggered] or ["  - nothing detected"]
+    return "\n".join(lines)
+
+
+def recipients(t: Tables) -> DataFrame:
+    """(declaration_id, pos, recipient): who an income goes to, by the family's labels."""
+    from .sections import with_owner
+
+    return with_owner(t.incomes, t.family, "person_ref", "recipient").select(ID, "pos", "recipient")
+
+
 def page_count(total: int, limit: int = 50) -> int:
     return max(1, -(-total // limit))

@@ -93,20 +93,28 @@ def three_year(snaps: DataFrame) -> DataFrame:
 
 
 def per_year(df: DataFrame) -> DataFrame:
-    """(user_declarant_id, max_declarations, n_declarations)."""
+    """(user_declarant_id, max_declarations, worst_year, n_declarations); of years with the most the earliest."""
     rows = df.filter(F.col("user_declarant_id").isNotNull() & F.col("declaration_year").isNotNull()).groupBy("user_declarant_id", "declaration_year").agg(F.count(F.lit(1)).alias("n"))
-    return rows.groupBy("user_declarant_id").agg(F.max("n").alias("max_declarations"), F.sum("n").alias("n_declarations"))
+    return rows.groupBy("user_declarant_id").agg(F.max("n").alias("max_declarations"), F.max_by("declaration_year", F.struct(F.col("n"), (-F.col("declaration_year")).alias("y"))).alias("worst_year"), F.sum("n").alias("n_declarations"))
 
 
-def timelines(df: DataFrame, t: Tables) -> DataFrame:
-    """A scored row per person: the worst score of each rule over the changes, three sums and the bounded total."""
-    snaps = snapshots(df, t)
+def names(df: DataFrame) -> DataFrame:
+    """(user_declarant_id, name): first and last name in the declaration of the latest year, the least id on ties."""
+    name = F.concat_ws(" ", F.nullif("firstname", F.lit("")), F.nullif("lastname", F.lit("")))
+    return df.filter(F.col("user_declarant_id").isNotNull()).groupBy("user_declarant_id").agg(F.min_by(name, F.struct((-F.coalesce("declaration_year", F.lit(0))).alias("y"), ID)).alias("name"))
+
+
+def timelines(df: DataFrame, t: Tables, once=lambda snaps: snaps) -> DataFrame:
+    """A scored row per person: name, the worst score of each rule over the changes, three sums and the bounded total.
+
+    ``once``: how to keep the snapshots, which are read three times, from being made three times."""
+    snaps = once(snapshots(df, t))
     ch = change_scores(changes(snaps))
     worst = ch.groupBy("user_declarant_id").agg(
         *[F.max(k).alias(k) for k in CHANGE_RULES], F.max("income_ratio").alias("max_income_ratio"), F.max("monetary_ratio").alias("max_monetary_ratio"), F.max(F.when(F.col("cash_delta") > 0, F.col("cash_delta"))).alias("max_cash_delta"), F.count(F.lit(1)).alias("n_changes"),
     )
     years = snaps.groupBy("user_declarant_id").agg(F.count(F.lit(1)).alias("n_snapshots"))
-    out = years.join(worst, "user_declarant_id", "left").join(per_year(df), "user_declarant_id", "left").join(three_year(snaps), "user_declarant_id", "left")
+    out = years.join(worst, "user_declarant_id", "left").join(per_year(df), "user_declarant_id", "left").join(names(df), "user_declarant_id", "left").join(three_year(snaps), "user_declarant_id", "left")
     out = out.withColumns({
         **{k: F.coalesce(k, F.lit(0.0)) for k in CHANGE_RULES}, "n_changes": F.coalesce("n_changes", F.lit(0)),
         "BR1": F.when(F.col("max_declarations") >= 3, 1.6).otherwise(0.0), "CR15": F.when(F.col("estate_ratio") >= 15, 4.8).otherwise(0.0),

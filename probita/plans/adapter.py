@@ -1,6 +1,6 @@
 """The driver's star schema as declarations, for Spark and as the SQL prelude of every check.
 
-A declaration is a customer's orders of a year; orders are incomes, line items with an even number are real estate, with
+A declaration is a customer's orders of a year (every 17th customer files up to four a year, so corrections occur); orders are incomes, line items with an even number are real estate, with
 an odd one monetary assets, and every third is also a vehicle; purchases are accounts. Rules on keys scatter statuses,
 owners, currencies and types, so that every rule fires for some rows and not for others.
 """
@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.tables import Tables
+from .stage import materialized
 
 #: One text for both engines: {dec} is the money type.
 RELATIONS = {
-    "base": """SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderstatus, CAST(year(o_orderdate) AS INT) AS y, concat(CAST(o_custkey AS {text}), '-', CAST(year(o_orderdate) AS {text})) AS declaration_id FROM orders""",
+    "base": """SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderstatus, CAST(year(o_orderdate) AS INT) AS y, concat(CAST(o_custkey AS {text}), '-', CAST(year(o_orderdate) AS {text}), CASE WHEN o_custkey % 17 = 0 THEN concat('-', CAST(o_orderkey % 4 AS {text})) ELSE '' END) AS declaration_id FROM orders""",
     "profile": """SELECT b.declaration_id, b.o_custkey AS user_declarant_id, b.y AS declaration_year,
         CASE WHEN b.o_custkey % 11 = 0 AND b.y = 2001 THEN 3 ELSE 1 END AS declaration_type,
         'Customer' AS firstname, c.c_name AS lastname, CAST(NULL AS {text}) AS middlename, b.work_post, n.n_name AS work_place, c.c_mktsegment AS post_type,
@@ -66,12 +67,18 @@ def prelude() -> str:
     return ",\n".join(f"{k} AS ({v.format(**DUCK)})" for k, v in RELATIONS.items())
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
+#: Relations that several tables are made of: with ``once`` they are written once per run and read from there.
+SHARED = ("base", "profile", "items")
+
+
+def tables(spark: SparkSession, sf_dir: str, once: bool = False) -> Tables:
     made: dict[str, DataFrame] = {}
     for source in ("orders", "customer", "nation", "lineitem", "events"):
         made[source] = spark.read.parquet(f"{sf_dir}/{source}.parquet")
     for name, text in RELATIONS.items():
         made[name] = spark.sql(_named(text.format(**SPARK), made), **made)
+        if once and name in SHARED:
+            made[name] = materialized(made[name], name)
     return Tables(**{k: made[k] for k in ("profile", "family", "real_estate", "vehicles", "incomes", "monetary", "accounts")})
 
 

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import values as V
 from ..operators import cohorts, features, rules, sections, serving, timeline
 from ..operators.features import ID
@@ -31,9 +32,14 @@ class Context:
     def t(self):
         return adapter.tables(self.spark, self.sf_dir)
 
+    @cached_property
+    def t_once(self):
+        """For queries over many sections: the relations that these share are written once."""
+        return adapter.tables(self.spark, self.sf_dir, once=True)
+
     @cached_property
     def wide(self) -> DataFrame:
-        return features.wide(self.t)
+        return features.wide(self.t_once)
 
     @cached_property
     def wide_once(self) -> DataFrame:
@@ -44,6 +50,9 @@ class Context:
     def scored(self) -> DataFrame:
         return rules.scored(rules.declaration_hits(self.wide))
 
+    def timelines(self) -> DataFrame:
+        return timeline.timelines(self.wide_once, self.t_once, lambda snaps: materialized(snaps, "snapshots"))
+
 
 def query(name: str, sql: str):
     def add(f: Callable[[Context], DataFrame]):
@@ -119,7 +128,7 @@ worths AS (SELECT declaration_id, pid, sum(worth) AS worth, bool_or(major) AS ma
 kins AS (SELECT w.declaration_id, coalesce(bool_or(k.member_id IS NOT NULL AND major AND coalesce(own, 0) < 100000), false) AS proxy,
    CASE WHEN max(worth) FILTER (WHERE w.pid = '1') > 0 THEN CAST(max(worth) FILTER (WHERE k.member_id IS NOT NULL AND coalesce(own, 0) < 50000 AND worth > 0) AS DOUBLE) / CAST(max(worth) FILTER (WHERE w.pid = '1') AS DOUBLE) END AS kin_ratio
    FROM worths w LEFT JOIN kin k ON k.declaration_id = w.declaration_id AND k.member_id = w.pid LEFT JOIN pinc i ON i.declaration_id = w.declaration_id AND i.pid = w.pid GROUP BY 1),
-feat0 AS (SELECT p.*, inc.* EXCLUDE (declaration_id), mon.* EXCLUDE (declaration_id), est.* EXCLUDE (declaration_id), veh.* EXCLUDE (declaration_id), acc.* EXCLUDE (declaration_id), fam.* EXCLUDE (declaration_id), n_share_issues, coalesce(proxy, false) AS proxy, kin_ratio
+feat0 AS MATERIALIZED (SELECT p.*, inc.* EXCLUDE (declaration_id), mon.* EXCLUDE (declaration_id), est.* EXCLUDE (declaration_id), veh.* EXCLUDE (declaration_id), acc.* EXCLUDE (declaration_id), fam.* EXCLUDE (declaration_id), n_share_issues, coalesce(proxy, false) AS proxy, kin_ratio
   FROM profile p LEFT JOIN inc USING (declaration_id) LEFT JOIN mon USING (declaration_id) LEFT JOIN est USING (declaration_id) LEFT JOIN veh USING (declaration_id) LEFT JOIN acc USING (declaration_id) LEFT JOIN fam USING (declaration_id) LEFT JOIN shr USING (declaration_id) LEFT JOIN kins USING (declaration_id)),
 feat1 AS (SELECT declaration_id, user_declarant_id, declaration_year, declaration_type, post_type, firstname, lastname, middlename, work_post, work_place, lower(trim(country)) AS land, estate_na,
   CAST(total_income AS DOUBLE) AS income, CAST(CASE WHEN estate_cost IS NULL AND monetary_uah IS NULL THEN NULL ELSE coalesce(estate_cost,0) + coalesce(monetary_uah,0) END AS DOUBLE) AS assets, CAST(cash AS DOUBLE) AS cash, CAST(bank AS DOUBLE) AS bank, CAST(other AS DOUBLE) AS other,
@@ -132,7 +141,7 @@ feat1 AS (SELECT declaration_id, user_declarant_id, declaration_year, declaratio
   CAST(fx_cash AS DOUBLE) AS fx_cash, CAST(stem_cash AS DOUBLE) AS stem_cash, CAST(greatest(re_acquired, vh_acquired) AS DOUBLE) AS acquired, CAST(one_off AS DOUBLE) AS one_off, coalesce(re_mid_high,0) + coalesce(vh_mid_high,0) AS mid_high, CAST(coalesce(home_area,0) AS DOUBLE) AS home_area, CAST(coalesce(land_area,0) AS DOUBLE) AS land_area,
   coalesce(n_luxury,0) AS n_luxury, coalesce(n_machines,0) AS n_machines, coalesce(n_adult_family,0) AS n_adults, coalesce(agri_income,0) AS agri_income, coalesce(rent_income,0) AS rent_income, coalesce(n_trade,0) + coalesce(n_city_flats,0) AS rentable, coalesce(n_hidden_major,0) AS hidden_major, coalesce(largest_hidden,false) AS largest_hidden, proxy, kin_ratio, coalesce(re_no_info,0) + coalesce(mon_no_info,0) AS no_info
   FROM feat0),
-feat AS (SELECT *, CASE WHEN liquid > 0 THEN floor(coalesce(cash,0)/liquid*10000+0.5)/10000 END AS cash_ratio, CASE WHEN liquid > 0 THEN coalesce(cash,0)/liquid END AS cash_share, CASE WHEN fields > 0 THEN conf_fields / fields ELSE 0.0 END AS conf_ratio, CASE WHEN valued > 0 THEN hidden / valued ELSE 0.0 END AS unknown_share,
+feat AS MATERIALIZED (SELECT *, CASE WHEN liquid > 0 THEN floor(coalesce(cash,0)/liquid*10000+0.5)/10000 END AS cash_ratio, CASE WHEN liquid > 0 THEN coalesce(cash,0)/liquid END AS cash_share, CASE WHEN fields > 0 THEN conf_fields / fields ELSE 0.0 END AS conf_ratio, CASE WHEN valued > 0 THEN hidden / valued ELSE 0.0 END AS unknown_share,
   CASE WHEN stem_cash > 0 THEN fx_cash / stem_cash ELSE 0.0 END AS fx_share, CASE WHEN income > 0 AND stem_cash > 0 THEN fx_cash / income END AS fx_income, CASE WHEN income > 0 THEN acquired / income END AS acq_ratio, one_off >= acquired * 0.6 AS eased, n_vehicles / (1 + n_adults) AS per_adult FROM feat1)
 """
 
@@ -408,17 +417,19 @@ def _(c):
 LOWS = "lower(trim(coalesce({x}, '')))"
 EST_FP = f"concat_ws('|', 're', {LOWS.format(x='object_type')}, {LOWS.format(x='city')}, {LOWS.format(x='district')}, coalesce(CAST(CAST(total_area AS DECIMAL(30,1)) AS VARCHAR), ''))"
 VEH_FP = f"concat_ws('|', 'vh', {LOWS.format(x='brand')}, {LOWS.format(x='model')}, CAST(graduation_year AS VARCHAR), {LOWS.format(x='right_belongs_resolved')})"
-MAJOR = f"""maj AS (SELECT declaration_id, fingerprint, max(value) AS value FROM (SELECT declaration_id, {EST_FP} AS fingerprint, cost_assessment AS value FROM real_estate UNION ALL SELECT declaration_id, {VEH_FP}, cost_date FROM vehicles) WHERE value >= 1000000 GROUP BY 1, 2)"""
+MAJOR = f"""maj AS MATERIALIZED (SELECT declaration_id, fingerprint, max(value) AS value FROM (SELECT declaration_id, {EST_FP} AS fingerprint, cost_assessment AS value FROM real_estate UNION ALL SELECT declaration_id, {VEH_FP}, cost_date FROM vehicles) WHERE value >= 1000000 GROUP BY 1, 2)"""
 ONE_OFF = f"oneoff AS (SELECT declaration_id, CAST(coalesce(sum(amount) FILTER (WHERE {has(TXT, 'спад|успад|inherit|продаж|sale|дар|дарув|gift')}), 0) AS DOUBLE) AS one_off_t FROM incomes GROUP BY 1)"
 SNAPS = f""", {MAJOR}, {ONE_OFF},
 snap0 AS (SELECT f.*, coalesce(one_off_t, 0.0) AS oo, nullif(cash, 0) AS c0, nullif(bank, 0) AS b0, CASE WHEN estate_cost > 0 THEN estate_cost END AS e0 FROM feat f LEFT JOIN oneoff USING (declaration_id)),
 mny AS (SELECT declaration_id, CAST(CASE WHEN nullif(cash, 0) IS NOT NULL OR nullif(bank, 0) IS NOT NULL THEN coalesce(cash, 0) + coalesce(bank, 0) ELSE CAST(monetary_raw AS DECIMAL(38,6)) END AS DOUBLE) AS mm,
   CAST(CASE WHEN nullif(cash, 0) IS NOT NULL OR nullif(bank, 0) IS NOT NULL THEN coalesce(cash, 0) + coalesce(bank, 0) ELSE CAST(monetary_raw AS DECIMAL(38,6)) END AS DECIMAL(38,6)) AS md, CAST(estate_cost AS DECIMAL(38,6)) AS ed FROM feat0),
-snap AS (SELECT declaration_id, user_declarant_id, declaration_year AS year, declaration_type AS type, nullif(income, 0) AS income, c0 AS cash, b0 AS bank, mm AS monetary, e0 AS estate, CAST(CASE WHEN e0 IS NOT NULL THEN coalesce(md, CAST(0 AS DECIMAL(38,6))) + ed ELSE md END AS DOUBLE) AS assets,
-  n_incomes, n_monetary, n_estate, n_vehicles, unknown_share, work_post AS role, oo AS one_off FROM snap0 JOIN mny USING (declaration_id)),
-ann AS (SELECT *, lag(declaration_id) OVER w AS pid, lag(year) OVER w AS pyear, lag(income) OVER w AS pinc, lag(cash) OVER w AS pcash, lag(monetary) OVER w AS pmon, lag(assets) OVER w AS pass, lag(unknown_share) OVER w AS pshare, lag(role) OVER w AS prole FROM snap WHERE type = 1 WINDOW w AS (PARTITION BY user_declarant_id ORDER BY year)),
-app AS (SELECT a.declaration_id, count(*) AS n, max(m.value) AS v FROM ann a JOIN maj m ON m.declaration_id = a.declaration_id WHERE a.pid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM maj o WHERE o.declaration_id = a.pid AND o.fingerprint = m.fingerprint) GROUP BY 1),
-dis AS (SELECT a.declaration_id, count(*) AS n, max(m.value) AS v FROM ann a JOIN maj m ON m.declaration_id = a.pid WHERE NOT EXISTS (SELECT 1 FROM maj o WHERE o.declaration_id = a.declaration_id AND o.fingerprint = m.fingerprint) GROUP BY 1),
+snap AS MATERIALIZED (SELECT declaration_id, user_declarant_id, declaration_year AS year, declaration_type AS type, nullif(income, 0) AS income, c0 AS cash, b0 AS bank, mm AS monetary, e0 AS estate, CAST(CASE WHEN e0 IS NOT NULL THEN coalesce(md, CAST(0 AS DECIMAL(38,6))) + ed ELSE md END AS DOUBLE) AS assets,
+  n_incomes, n_monetary, n_estate, n_vehicles, unknown_share, work_post AS role, oo AS one_off FROM snap0 JOIN mny USING (declaration_id) QUALIFY row_number() OVER (PARTITION BY user_declarant_id, declaration_year ORDER BY n_incomes DESC, declaration_id) = 1),
+ann AS MATERIALIZED (SELECT *, lag(declaration_id) OVER w AS pid, lag(year) OVER w AS pyear, lag(income) OVER w AS pinc, lag(cash) OVER w AS pcash, lag(monetary) OVER w AS pmon, lag(assets) OVER w AS pass, lag(unknown_share) OVER w AS pshare, lag(role) OVER w AS prole FROM snap WHERE type = 1 WINDOW w AS (PARTITION BY user_declarant_id ORDER BY year)),
+owned AS MATERIALIZED (SELECT a.declaration_id, pid, fingerprint, value FROM ann a JOIN maj m USING (declaration_id)),
+kept AS MATERIALIZED (SELECT a.declaration_id, m.fingerprint, m.value FROM ann a JOIN maj m ON m.declaration_id = a.pid),
+app AS (SELECT o.declaration_id, count(*) AS n, max(o.value) AS v FROM owned o LEFT JOIN kept k ON k.declaration_id = o.declaration_id AND k.fingerprint = o.fingerprint WHERE o.pid IS NOT NULL AND k.declaration_id IS NULL GROUP BY 1),
+dis AS (SELECT k.declaration_id, count(*) AS n, max(k.value) AS v FROM kept k LEFT JOIN owned o ON o.declaration_id = k.declaration_id AND o.fingerprint = k.fingerprint WHERE o.declaration_id IS NULL GROUP BY 1),
 chg AS (SELECT a.user_declarant_id, pyear AS from_year, year AS to_year, pinc, income AS inc, income - pinc AS income_delta, CASE WHEN pinc <> 0 THEN income / pinc END AS income_ratio, CASE WHEN pinc > 0 THEN (income - pinc) / pinc END AS income_growth,
   pmon, monetary AS mon_now, monetary - pmon AS monetary_delta, CASE WHEN pmon <> 0 THEN monetary / pmon END AS monetary_ratio, cash - pcash AS cash_delta, CASE WHEN pass > 0 THEN (assets - pass) / pass END AS asset_growth,
   unknown_share - pshare AS share_delta, unknown_share AS share_now, (lower(role) <> lower(prole) AND role <> '' AND prole <> '') AS role_changed, coalesce(app.n, 0) AS n_appeared, coalesce(dis.n, 0) AS n_left, CAST(coalesce(app.v, 0) AS DOUBLE) AS max_appeared, CAST(coalesce(dis.v, 0) AS DOUBLE) AS max_left, one_off
@@ -444,11 +455,11 @@ SCORED_CHG = ", chs AS (SELECT *, " + ", ".join(f"CAST(coalesce({r(v, 3)}, 0) AS
 
 @query("yearly_snapshots", with_feat("SELECT user_declarant_id, year, income, cash, bank, monetary, estate, assets, CAST(unknown_share AS DOUBLE) AS unknown_share, one_off FROM snap", SNAPS))
 def _(c):
-    return timeline.snapshots(c.wide, c.t).select("user_declarant_id", "year", "income", "cash", "bank", "monetary", "estate", "assets", "unknown_share", "one_off")
+    return timeline.snapshots(c.wide, c.t_once).select("user_declarant_id", "year", "income", "cash", "bank", "monetary", "estate", "assets", "unknown_share", "one_off")
 
 
 def _changes(c: Context) -> DataFrame:
-    return timeline.changes(timeline.snapshots(c.wide, c.t))
+    return timeline.changes(timeline.snapshots(c.wide, c.t_once))
 
 
 @query("yoy_changes", with_feat("SELECT user_declarant_id, from_year, to_year, income_delta, income_ratio, income_growth, monetary_delta, monetary_ratio, cash_delta, asset_growth, CAST(share_delta AS DOUBLE) AS share_delta, role_changed FROM chg", SNAPS))
@@ -481,9 +492,9 @@ for _name, _rule_id in (("yoy_income_rule", "yoy_income_change"), ("yoy_asset_ru
     _change_rule(_name, _rule_id)
 
 
-@query("br1_corrections", f"WITH {adapter.prelude()} SELECT user_declarant_id, max(n) AS max_declarations, CASE WHEN max(n) >= 3 THEN 1.6 ELSE 0.0 END::DOUBLE AS score FROM (SELECT user_declarant_id, declaration_year, count(*) AS n FROM profile GROUP BY 1, 2) GROUP BY 1")
+@query("br1_corrections", f"WITH {adapter.prelude()} SELECT user_declarant_id, max(n) AS max_declarations, arg_max(declaration_year, n * 10000 - declaration_year) AS worst_year, CASE WHEN max(n) >= 3 THEN 1.6 ELSE 0.0 END::DOUBLE AS score FROM (SELECT user_declarant_id, declaration_year, count(*) AS n FROM profile GROUP BY 1, 2) GROUP BY 1")
 def _(c):
-    return timeline.per_year(c.t.profile).select("user_declarant_id", "max_declarations", F.when(F.col("max_declarations") >= 3, 1.6).otherwise(0.0).alias("score"))
+    return timeline.per_year(c.t.profile).select("user_declarant_id", "max_declarations", "worst_year", F.when(F.col("max_declarations") >= 3, 1.6).otherwise(0.0).alias("score"))
 
 
 THREE = ", thr AS (SELECT user_declarant_id, max(estate / mean) AS estate_ratio FROM (SELECT user_declarant_id, estate, avg(income) OVER w AS mean, count(*) FILTER (WHERE income > 0) OVER w AS n FROM snap WINDOW w AS (PARTITION BY user_declarant_id ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE n = 3 GROUP BY 1)"
@@ -491,24 +502,25 @@ THREE = ", thr AS (SELECT user_declarant_id, max(estate / mean) AS estate_ratio
 
 @query("cr15_three_year", with_feat(f"SELECT user_declarant_id, {r('estate_ratio', 6)} AS estate_ratio FROM thr", SNAPS + THREE))
 def _(c):
-    return timeline.three_year(timeline.snapshots(c.wide, c.t)).select("user_declarant_id", V.rounded(F.col("estate_ratio"), 6).alias("estate_ratio"))
+    return timeline.three_year(timeline.snapshots(c.wide, c.t_once)).select("user_declarant_id", V.rounded(F.col("estate_ratio"), 6).alias("estate_ratio"))
 
 
 COR = "yoy_income_change + yoy_asset_growth + foreign_cash_jump + CR5 + BR4 + CR14 + CR15"
 TIMES = SNAPS + SCORED_CHG + THREE + ", wrs AS (SELECT user_declarant_id, count(*) AS n_changes, " + ", ".join(f"max({k}) AS {k}" for k in CHANGE_SQL) + f""" FROM chs GROUP BY 1),
-tl0 AS (SELECT s.user_declarant_id, s.n AS n_snapshots, coalesce(n_changes, 0) AS n_changes, {", ".join(f"coalesce({k}, 0.0) AS {k}" for k in CHANGE_SQL)}, CASE WHEN estate_ratio >= 15 THEN 4.8 ELSE 0.0 END::DOUBLE AS CR15
-  FROM (SELECT user_declarant_id, count(*) AS n FROM snap GROUP BY 1) s LEFT JOIN wrs USING (user_declarant_id) LEFT JOIN thr USING (user_declarant_id)),
-tl AS (SELECT *, {r(COR, 3)} AS cor, BR2 AS opa, CASE WHEN {COR} + 0.5 * BR2 > 0 THEN {r(f"100 * (1 - exp(-({COR} + 0.5 * BR2) / 12))", 2)} ELSE 0.0 END AS total_score FROM tl0)"""
+brr AS (SELECT user_declarant_id, max(n) AS mx FROM (SELECT user_declarant_id, declaration_year, count(*) AS n FROM profile GROUP BY 1, 2) GROUP BY 1),
+tl0 AS (SELECT s.user_declarant_id, s.n AS n_snapshots, CASE WHEN mx >= 3 THEN 1.6 ELSE 0.0 END::DOUBLE AS BR1, coalesce(n_changes, 0) AS n_changes, {", ".join(f"coalesce({k}, 0.0) AS {k}" for k in CHANGE_SQL)}, CASE WHEN estate_ratio >= 15 THEN 4.8 ELSE 0.0 END::DOUBLE AS CR15
+  FROM (SELECT user_declarant_id, count(*) AS n FROM snap GROUP BY 1) s LEFT JOIN wrs USING (user_declarant_id) LEFT JOIN thr USING (user_declarant_id) LEFT JOIN brr USING (user_declarant_id)),
+tl AS (SELECT *, {r(COR, 3)} AS cor, {r('BR2 + BR1', 3)} AS opa, CASE WHEN {COR} + 0.5 * (BR2 + BR1) > 0 THEN {r(f"100 * (1 - exp(-({COR} + 0.5 * (BR2 + BR1)) / 12))", 2)} ELSE 0.0 END AS total_score FROM tl0)"""
 
 
 @query("timeline_score", with_feat("SELECT user_declarant_id, n_snapshots, CAST(n_changes AS BIGINT) AS n_changes, CAST(cor AS DOUBLE) AS corruption_risk_score, CAST(opa AS DOUBLE) AS opacity_evasion_score, total_score FROM tl", TIMES))
 def _(c):
-    return timeline.timelines(c.wide_once, c.t).select("user_declarant_id", "n_snapshots", "n_changes", "corruption_risk_score", "opacity_evasion_score", "total_score")
+    return c.timelines().select("user_declarant_id", "n_snapshots", "n_changes", "corruption_risk_score", "opacity_evasion_score", "total_score")
 
 
 @query("top_timelines", with_feat("SELECT user_declarant_id, total_score FROM tl WHERE n_snapshots >= 2 ORDER BY total_score DESC, user_declarant_id LIMIT 20", TIMES))
 def _(c):
-    return timeline.timelines(c.wide_once, c.t).filter("n_snapshots >= 2").orderBy(F.desc("total_score"), "user_declarant_id").limit(20).select("user_declarant_id", "total_score")
+    return c.timelines().filter("n_snapshots >= 2").orderBy(F.desc("total_score"), "user_declarant_id").limit(20).select("user_declarant_id", "total_score")
 
 
 @query("multi_year_eligible", f"WITH {adapter.prelude()} SELECT user_declarant_id, count(DISTINCT declaration_year) AS n_years FROM profile GROUP BY 1 HAVING count(DISTINCT declaration_year) >= 2")
@@ -569,7 +581,7 @@ FIRST = "(SELECT min(declaration_id) FROM profile)"
 def _(c):
     first = c.t.profile.agg(F.min(ID)).first()[0]
     n = lambda x: F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)).cast("long")
-    return serving.detail(c.scored, c.t, first).select(ID, "total_score", n("incomes").alias("n_incomes"), n("real_estate").alias("n_estate"), n("monetary").alias("n_monetary"))
+    return serving.detail(c.scored, c.t_once, first).select(ID, "total_score", n("incomes").alias("n_incomes"), n("real_estate").alias("n_estate"), n("monetary").alias("n_monetary"))
 
 
 @query("person_timeline", with_feat("SELECT user_declarant_id, year, income, assets FROM snap WHERE user_declarant_id = 7 ORDER BY year", SNAPS))
@@ -623,3 +635,166 @@ def _(c):
 def _(c):
     rows = sections.incomes(_documents(c))
     return rows.select(ID, V.dbl(F.col("amount")).alias("amount"), "source_name", F.array_join(F.transform("extra_sources", lambda x: x["source_name"]), ",").alias("extra"))
+
+
+# ---- more of the parsing: keys, profiles, vehicles, monetary assets, accounts ---------------------------------------
+
+PLACES = "('[Конфіденційна інформація]', '[Не застосовується]', '[Не відомо]', '[Член сім''ї не надав інформацію]')"
+
+
+@query("known_placeholder", f"SELECT o_orderkey, x IN {PLACES} AS known FROM ({TEXTS.format(t='VARCHAR', o='orders')})")
+def _(c):
+    return _texts(c).select("o_orderkey", V.is_placeholder(F.col("x")).alias("known"))
+
+
+KEYED = """concat('{', CASE c_custkey % 3 WHEN 0 THEN concat('"id": "a', CAST(c_custkey AS STRING), '"') WHEN 1 THEN concat('"doc_id": "b', CAST(c_custkey AS STRING), '"') ELSE '"x": 1' END,
+  CASE c_custkey % 4 WHEN 0 THEN ', "declaration_year": 2021' WHEN 1 THEN ', "declaration_year": "2020"' WHEN 2 THEN ', "date": "2019-05-01"' ELSE '' END, ', "data": {}}')"""
+
+
+@query("document_keys", """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'a' || c_custkey WHEN 1 THEN 'b' || c_custkey ELSE 'unknown' END AS declaration_id,
+  CASE c_custkey % 4 WHEN 0 THEN '2021' WHEN 1 THEN '2020' WHEN 2 THEN '2019' ELSE 'unknown' END AS filed FROM customer""")
+def _(c):
+    docs = sections.parsed(c.raw("customer").select("c_custkey", F.expr(KEYED).alias("value")))
+    return sections.filing_year(docs).select("c_custkey", ID, "filed")
+
+
+WHOLE = """concat('{"id": "', CAST(c_custkey AS STRING), '", "declaration_year": 2024, "declaration_type": 1, "user_declarant_id": ', CAST(c_custkey AS STRING), ', "data": {',
+  '"step_1": {"data": {"firstname": "F', CAST(c_nationkey AS STRING), '", "lastname": "', c_name, '", "workPost": "', CASE WHEN c_custkey % 5 = 0 THEN '[Не відомо]' ELSE 'clerk' END, '", "postType": "', c_mktsegment, '", "country": "1"}}, ',
+  '"step_2": {"isNotApplicable": 0, "data": [{"id": 77, "subjectRelation": "син", "firstname": "F", "lastname": "L"}]}, ',
+  '"step_3": {"isNotApplicable": ', CASE WHEN c_custkey % 7 = 0 THEN '1' ELSE '0' END, ', "data": []}, ',
+  '"step_6": {"isNotApplicable": 0, "data": {"1": {"objectType": "', CASE WHEN c_custkey % 4 = 0 THEN 'Інше' ELSE 'Авто' END, '", "otherObjectType": "Трактор", "brand": "', CASE WHEN c_custkey % 5 = 0 THEN '[Не відомо]' ELSE 'BMW' END, '", "model": "M', CAST(c_nationkey AS STRING),
+  '", "graduationYear": "', CASE WHEN c_custkey % 3 = 0 THEN 'давно' ELSE '2015' END, '", "costDate": "', CASE WHEN c_custkey % 2 = 0 THEN '[Конфіденційна інформація]' ELSE '1 000,5' END, '", "rights": [', CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '{"rightBelongs": "1"}' WHEN 2 THEN '{"rightBelongs": "77"}' ELSE '{"rightBelongs": "j"}, {"rightBelongs": "1"}' END, ']}, "n": 5}}, ',
+  '"step_12": {"isNotApplicable": 0, "data": [{"objectType": "Готівкові кошти", "sizeAssets": "', CASE WHEN c_custkey % 3 = 0 THEN '[Не відомо]' ELSE '10,5' END, '", "assetsCurrency": ', CASE c_custkey % 3 WHEN 0 THEN '"USD (Долар США)"' WHEN 1 THEN '{"value": "EUR (Євро)"}' ELSE '"сто гривні"' END,
+  ', "organization": "', CASE WHEN c_custkey % 5 = 0 THEN '[інше]' ELSE 'bank' END, '", "organization_extendedstatus": "', CASE WHEN c_custkey % 7 = 0 THEN '2' ELSE '0' END, '", "rights": [', CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{"rightBelongs": "1"}' ELSE '{"rightBelongs": "1"}, {"rightBelongs": "77"}, {"rightBelongs": "j"}' END, ']}]}, ',
+  '"step_17": {"isNotApplicable": 0, "data": [{"establishment_ua_company_name": "B', CAST(c_nationkey AS STRING), '", ', CASE c_custkey % 3 WHEN 0 THEN '"persons_has_accounts": [{"person_has_account": "1"}, {"person_has_account": "j"}]' WHEN 1 THEN '"person_who_care": [{"person": "77"}]' ELSE '"persons_has_accounts": {"k": {"person_has_account": "5"}}' END, '}]}}}')"""
+
+
+def _whole(c: Context) -> DataFrame:
+    return sections.parsed(c.raw("customer").select(F.expr(WHOLE).alias("value")))
+
+
+KEY_SQL = "CAST(c_custkey AS VARCHAR) AS declaration_id"
+
+
+@query("document_profile", f"SELECT {KEY_SQL}, CAST(c_custkey AS INT) AS user_declarant_id, 'F' || c_nationkey AS firstname, c_name AS lastname, CASE WHEN c_custkey % 5 <> 0 THEN 'clerk' END AS work_post, c_mktsegment AS post_type, c_custkey % 7 = 0 AS estate_na FROM customer")
+def _(c):
+    return sections.profile(_whole(c)).select(ID, "user_declarant_id", "firstname", "lastname", "work_post", "post_type", "estate_na")
+
+
+@query("document_vehicles", f"""SELECT {KEY_SQL}, CASE WHEN c_custkey % 4 = 0 THEN 'Трактор' ELSE 'Авто' END AS object_type, CASE WHEN c_custkey % 5 <> 0 THEN 'BMW' END AS brand, 'M' || c_nationkey AS model, CASE WHEN c_custkey % 3 <> 0 THEN 2015 END AS graduation_year,
+  CASE WHEN c_custkey % 2 <> 0 THEN 1000.5::DOUBLE END AS cost, CASE c_custkey % 4 WHEN 1 THEN 'declarant' WHEN 2 THEN 'син (F L)' WHEN 3 THEN 'third_party' END AS owner FROM customer""")
+def _(c):
+    docs = _whole(c)
+    return sections.vehicles(docs, sections.family(docs)).select(ID, "object_type", "brand", "model", "graduation_year", V.dbl(F.col("cost_date")).alias("cost"), F.col("right_belongs_resolved").alias("owner"))
+
+
+@query("document_monetary", f"""SELECT {KEY_SQL}, CASE WHEN c_custkey % 3 <> 0 THEN 10.5::DOUBLE END AS amount, CASE WHEN c_custkey % 3 = 0 THEN 'unknown' END AS amount_status, CASE c_custkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'UAH' END AS currency,
+  CASE WHEN c_custkey % 7 = 0 THEN 'unknown' WHEN c_custkey % 5 = 0 THEN 'redacted_other' END AS organization_status, CASE WHEN c_custkey % 3 > 0 THEN '1' END AS person_ref, CASE WHEN c_custkey % 3 = 2 THEN '77,j' ELSE '' END AS extra FROM customer""")
+def _(c):
+    rows = sections.monetary(_whole(c))
+    return rows.select(ID, V.dbl(F.col("amount")).alias("amount"), "amount_status", F.col("currency_code").alias("currency"), "organization_status", "person_ref", F.array_join(F.transform("extra_rights", lambda x: x["person_ref"]), ",").alias("extra"))
+
+
+@query("document_accounts", f"SELECT {KEY_SQL}, 'B' || c_nationkey AS institution, unnest(CASE c_custkey % 3 WHEN 0 THEN ['declarant', 'third_party'] WHEN 1 THEN ['син (F L)'] ELSE ['unknown:5'] END) AS owner FROM customer")
+def _(c):
+    docs = _whole(c)
+    return sections.accounts(docs, sections.family(docs)).select(ID, F.col("institution_name").alias("institution"), F.col("account_owner_resolved").alias("owner"))
+
+
+# ---- labels and texts of results ------------------------------------------------------------------------------------
+
+
+@query("rule_labels", "SELECT unnest([" + ", ".join(f"'{k}'" for k in fixed.RULE_TITLES) + "]) AS rule, unnest([" + ", ".join(f"'{v}'" for v in fixed.RULE_TITLES.values()) + "]) AS title")
+def _(c):
+    return rules.label_table(c.spark)
+
+
+@query("rule_distribution_labelled", with_scores("SELECT rule, CASE rule " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.RULE_TITLES.items()) + " END AS title, count(*) AS n FROM (SELECT unnest(string_split(rules, ',')) AS rule FROM scored WHERE rules <> '') GROUP BY 1, 2"))
+def _(c):
+    return serving.rule_distribution(c.scored).join(F.broadcast(rules.label_table(c.spark)), "rule", "left").select("rule", "title", "n")
+
+
+@query("number_labels", "SELECT o_orderkey, format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) AS whole, CASE WHEN o_orderkey % 2 = 0 THEN format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) ELSE 'n/a' END AS loose FROM orders")
+def _(c):
+    loose = F.when(F.col("o_orderkey") % 2 == 0, F.regexp_replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), "[.]", ",")).otherwise("n/a")
+    return c.raw("orders").select("o_orderkey", V.number_label(F.col("o_totalprice").cast("decimal(18,2)")).alias("whole"), V.loose_number(loose).alias("loose"))
+
+
+@query("short_labels", """SELECT declaration_id, CASE declaration_type WHEN 1 THEN 'Annual' WHEN 2 THEN 'Initial' WHEN 3 THEN 'Cessation' ELSE 'Other' END AS type,
+  CASE WHEN k < 1000 THEN CAST(k AS VARCHAR) WHEN k < 1000000 THEN CAST(k // 1000 AS VARCHAR) || 'K' ELSE CAST(k // 1000000 AS VARCHAR) || '.0M' END AS magnitude, CAST(user_declarant_id % 100 AS VARCHAR) || '.0%' AS percent
+  FROM (SELECT *, CASE user_declarant_id % 3 WHEN 0 THEN user_declarant_id % 1000 WHEN 1 THEN 1000 * (user_declarant_id % 900 + 1) ELSE 1000000 * (user_declarant_id % 50 + 1) END AS k FROM profile)""".replace("SELECT declaration_id", f"WITH {adapter.prelude()} SELECT declaration_id", 1))
+def _(c):
+    u = F.col("user_declarant_id")
+    k = F.when(u % 3 == 0, u % 1000).when(u % 3 == 1, 1000 * (u % 900 + 1)).otherwise(1_000_000 * (u % 50 + 1))
+    return c.t.profile.select(ID, V.type_label(F.col("declaration_type")).alias("type"), V.magnitude_label(V.dbl(k)).alias("magnitude"), V.percent_label((u % 100) / 100.0).alias("percent"))
+
+
+@query("display_fields", f"WITH {adapter.prelude()} SELECT declaration_id, pos, coalesce(CAST(cost_assessment AS VARCHAR), '[' || cost_assessment_status || ']') AS cost, concat_ws(', ', city, nullif(district, ''), object_type) AS place FROM real_estate")
+def _(c):
+    return c.t.real_estate.select(ID, "pos", V.display_field(F.col("cost_assessment").cast("string"), F.col("cost_assessment_status")).alias("cost"), V.location(F.col("city"), F.col("district"), F.col("object_type")).alias("place"))
+
+
+@query("rules_text_array", with_scores("SELECT declaration_id, CASE WHEN rules = '' THEN 0 ELSE len(string_split(rules, ',')) END AS n, coalesce(string_split(nullif(rules, ''), ',')[1], '') AS first FROM scored"))
+def _(c):
+    got = V.rules_text(F.concat_ws(" , ", "rules"))
+    return c.scored.select(ID, F.size(got).cast("long").alias("n"), F.coalesce(F.get(got, 0), F.lit("")).alias("first"))
+
+
+@query("rule_details_round_trip", with_scores("SELECT declaration_id, len(list_filter([" + ", ".join(f"{n}" for n, *_ in RULE_SQL) + "], lambda x: x IS NOT NULL)) + CASE WHEN l2 > 0 THEN 1 ELSE 0 END AS n_hits, " + r("l2 + " + " + ".join(pts(b, k, n) for n, _, b, k, _ in RULE_SQL), 3) + " AS points FROM sev"))
+def _(c):
+    kept = rules.details(rules.details_json(F.col("hits")))
+    return c.scored.select(ID, F.size(kept).cast("long").alias("n_hits"), V.rounded(F.aggregate(kept, F.lit(0.0), lambda a, h: a + h["score"]), 3).alias("points"))
+
+
+def _figures(*parts: tuple[str, str]) -> str:
+    shown = " || ', ' || ".join(f"'{label} ' || coalesce(format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT)), 'n/a')" for label, x in parts)
+    return f"' (' || {shown} || ')'"
+
+
+EXPLAINED = {"CR1": ("cr1 IS NOT NULL", _figures(("cash", "cash"), ("income", "income"))), "CR3": ("cr3 IS NOT NULL", _figures(("acquired", "acquired"), ("income", "income"))), "CR4": ("cr4 IS NOT NULL", _figures(("purchases", "mid_high"), ("income", "income"))), "CR11": ("cr11 IS NOT NULL", "''"), "CR13": ("cr13 IS NOT NULL", _figures(("fields", "no_info")))}
+
+
+@query("explanations", with_scores("SELECT declaration_id, coalesce(nullif(concat_ws(chr(10), " + ", ".join(f"CASE WHEN {on} THEN '- {k}: {fixed.RULE_TITLES[k]}' || {text} END" for k, (on, text) in EXPLAINED.items()) + f"), ''), '{rules.NOTHING}') AS explanation FROM sev"))
+def _(c):
+    some = F.filter("rules", lambda x: x.isin(*EXPLAINED))
+    return c.scored.select(ID, rules.explanation(some).alias("explanation"))
+
+
+@query("income_recipients", f"WITH {adapter.prelude()} SELECT i.declaration_id, i.pos, CASE WHEN f.member_id IS NOT NULL THEN f.relation || ' (' || f.firstname || ' ' || f.lastname || ')' WHEN person_ref = '1' THEN 'declarant' WHEN person_ref = 'j' THEN 'third_party' ELSE 'unknown:' || person_ref END AS recipient FROM incomes i LEFT JOIN family f ON f.declaration_id = i.declaration_id AND f.member_id = i.person_ref")
+def _(c):
+    return serving.recipients(c.t)
+
+
+@query("timeline_names", f"WITH {adapter.prelude()} SELECT user_declarant_id, arg_min(firstname || ' ' || lastname, (-declaration_year, declaration_id)) AS name FROM profile GROUP BY 1")
+def _(c):
+    return timeline.names(c.t.profile)
+
+
+@query("ranked_persons", with_feat("SELECT CAST(row_number() OVER (ORDER BY total_score DESC, user_declarant_id) AS INT) AS rank, user_declarant_id, total_score FROM tl WHERE n_snapshots >= 2 AND total_score >= 30 ORDER BY total_score DESC, user_declarant_id LIMIT 40", TIMES))
+def _(c):
+    return serving.ranked_persons(c.timelines(), top=40, min_score=30).select("rank", "user_declarant_id", "total_score")
+
+
+@query("dedupe_person_year", with_feat("SELECT user_declarant_id, year, declaration_id, n_incomes FROM snap", SNAPS))
+def _(c):
+    return timeline.snapshots(c.wide, c.t_once).select("user_declarant_id", "year", ID, F.col("n_incomes").cast("long").alias("n_incomes"))
+
+
+# ---- the total with the peers' rules --------------------------------------------------------------------------------
+
+RANK = lambda lst, v: RANK_OF.format(l=lst, v=v)
+COHORT_SEV = {
+    "c21": f"CASE WHEN coalesce({RANK('li', 'inc0')}, 0) >= 0.99 THEN 'MEDIUM' END", "c22": f"CASE WHEN len(la) >= 5 THEN CASE WHEN {RANK('la', 'ass0')} >= 0.99 THEN 'HIGH' WHEN {RANK('la', 'ass0')} >= 0.95 THEN 'MEDIUM' END END",
+    "c23": f"CASE WHEN len(lc) >= 5 AND fx_share >= 0.5 AND {RANK('lc', 'cash_income')} >= 0.99 THEN 'HIGH' END", "c24": "CASE WHEN len(lf) >= 5 AND med > 0 AND conf > 2 * med THEN CASE WHEN conf > 3 * med THEN 'MEDIUM' ELSE 'LOW' END END",
+}
+COMBINED = COHORTS + ", rk2 AS (SELECT rk.*, f.income AS inc0, f.assets AS ass0, lf[CAST(least(floor(len(lf) * 0.5), len(lf) - 1) AS BIGINT) + 1] AS med FROM rk JOIN feat f USING (declaration_id)),\n" + f"""
+co AS (SELECT declaration_id, {", ".join(f"{v} AS {k}" for k, v in COHORT_SEV.items())} FROM rk2),
+cb0 AS (SELECT s.*, cor + {pts(3, 0.8, 'c21')} + {pts(3, 0.8, 'c22')} + {pts(3, 0.8, 'c23')} AS cor2, opa + {pts(1, 0.7, 'c24')} AS opa2, c21 IS NOT NULL OR c22 IS NOT NULL OR c23 IS NOT NULL AS outlier, c24 IS NOT NULL AS dense FROM sums s LEFT JOIN co USING (declaration_id)),
+cb1 AS (SELECT *, cor2 + 0.5 * CASE WHEN cor2 <= 0 AND opa2 > 0 THEN least(opa2, 0.25 * cor2) ELSE opa2 END + 0.1 * qua + bonus AS raw2 FROM cb0)
+"""
+
+
+@query("combined_score", with_scores(f"@ SELECT declaration_id, CASE WHEN raw2 > 0 THEN {r('100 * (1 - exp(-raw2 / 12))', 2)} ELSE 0.0 END AS total_score, {r('cor2', 3)} AS corruption_risk_score, outlier, dense FROM cb1".replace("@", COMBINED, 1)))
+def _(c):
+    df = rules.scored(rules.declaration_hits(cohorts.with_cuts(c.wide_once), with_cohort=True))
+    return df.select(ID, "total_score", "corruption_risk_score", F.array_contains("rules", "CR16").alias("outlier"), F.array_contains("rules", "BR3").alias("dense"))

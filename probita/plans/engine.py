@@ -33,12 +33,13 @@ class Engine:
 
     @cached_property
     def scores(self) -> DataFrame:
-        """Features with hits, sub-scores and total; cohort rules included."""
-        return materialized(rules.scored(rules.declaration_hits(cohorts.with_cuts(self.features), with_cohort=True)), "scores")
+        """Features with hits, sub-scores and total, and the hits as JSON; cohort rules included."""
+        df = rules.scored(rules.declaration_hits(cohorts.with_cuts(self.features), with_cohort=True))
+        return materialized(df.withColumn("rule_details_json", rules.details_json(F.col("hits"))), "scores")
 
     @cached_property
     def timelines(self) -> DataFrame:
-        return timeline.timelines(self.features, self.tables)
+        return timeline.timelines(self.features, self.tables, lambda snaps: materialized(snaps, "snapshots"))
 
     def layer2(self) -> DataFrame:
         return cohorts.layer2(self.features)
@@ -59,7 +60,17 @@ class Engine:
 
     def top(self, n: int, least: float = 0.0) -> DataFrame:
         """The review list: persons with two snapshots or more, best score first."""
-        return self.timelines.filter((F.col("n_snapshots") >= 2) & (F.col("total_score") >= least)).orderBy(F.desc("total_score"), "user_declarant_id").limit(n)
+        return serving.ranked_persons(self.timelines, top=n, min_score=least)
+
+    def report(self, *, year: int | None = None, limit: int | None = None, min_score: float = 0.0, top: int = 20, detailed: int = 5) -> str:
+        """The ranked list as text, the first few persons with their rules. ``limit``: of the declarations of ``year`` only so many, by id."""
+        return serving.report(serving.ranked_persons(self._of(year, limit), top=top, min_score=min_score), detailed)
+
+    def _of(self, year: int | None, limit: int | None) -> DataFrame:
+        if year is None and limit is None:
+            return self.timelines
+        df = self.features if year is None else self.features.filter(F.col("declaration_year") == year)
+        return timeline.timelines(df if limit is None else df.orderBy("declaration_id").limit(limit), self.tables)
 
     def persist(self, out: str) -> None:
         """All tables and scores, upserted by declaration."""

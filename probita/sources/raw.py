@@ -14,7 +14,8 @@ CSV_COLUMNS = ("declaration_id", "user_declarant_id", "declaration_year", "name"
 
 
 def scan(spark: SparkSession, base: str, year: int | None = None) -> DataFrame:
-    """(value, path, src_order key) of every ``*declaration_*.json`` below ``base``; one document per file. ``year`` reads that folder only."""
+    """(value, path) of every ``*declaration_*.json`` below ``base``, one document per file; ``path`` is the order of documents (see
+    :func:`in_order`). ``year`` reads that folder only."""
     path = f"{base}/{year}" if year is not None else base
     try:
         rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*declaration_*.json").text(path, wholetext=True)
@@ -25,6 +26,11 @@ def scan(spark: SparkSession, base: str, year: int | None = None) -> DataFrame:
     return rows.select("value", F.input_file_name().alias("path"))
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """Documents sorted by path, as a sequential reader would meet them."""
+    return docs.orderBy("path")
+
+
 def documents(spark: SparkSession, base: str, year: int | None = None) -> DataFrame:
     return parsed(scan(spark, base, year))
 
@@ -38,7 +44,8 @@ def store(raw: DataFrame, base: str, overwrite: bool = False) -> DataFrame:
     """Append documents (``value``) as a table partitioned by filing year, each id once; ids that are there stay unless
     ``overwrite``. Returns what was written."""
     spark = raw.sparkSession
-    new = filing_year(parsed(raw.withColumn("document", F.col("value")))).select("declaration_id", "document", "filed").dropDuplicates(["declaration_id"])
+    new = filing_year(parsed(raw.withColumn("document", F.col("value")))).groupBy("declaration_id").agg(F.min(F.struct("filed", "document")).alias("d"))
+    new = new.select("declaration_id", "d.document", "d.filed")  # of several documents of an id the one filed first, then the least text
     old = stored(spark, base)
     if old is None:
         new.write.partitionBy("filed").parquet(base)
@@ -53,6 +60,7 @@ def store(raw: DataFrame, base: str, overwrite: bool = False) -> DataFrame:
 
 
 def stored(spark: SparkSession, base: str) -> DataFrame | None:
+    recovered(spark, base)
     try:
         return spark.read.schema("declaration_id string, document string, filed string").parquet(base)
     except Exception as e:
@@ -61,22 +69,36 @@ def stored(spark: SparkSession, base: str) -> DataFrame | None:
         return None
 
 
-def _swap(df: DataFrame, base: str, by: list[str]) -> None:
-    """Replace a table that ``df`` itself reads: write beside it, then rename through the file system of the path."""
-    spark = df.sparkSession
-    side = f"{base.rstrip('/')}__new"
-    df.write.mode("overwrite").partitionBy(*by).parquet(side) if by else df.write.mode("overwrite").parquet(side)
+def _files(spark: SparkSession, base: str):
     path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(base), True)
-    fs.rename(path(side), path(base))
+    base = base.rstrip("/")
+    return path(base).getFileSystem(spark._jsc.hadoopConfiguration()), path(base), path(f"{base}__new"), path(f"{base}__old")
+
+
+def recovered(spark: SparkSession, base: str) -> None:
+    """Finish or undo a swap that was cut off: the table is in place, or its old state comes back."""
+    fs, now, _, old = _files(spark, base)
+    if fs.exists(old):
+        fs.delete(old, True) if fs.exists(now) else fs.rename(old, now)
+
+
+def _swap(df: DataFrame, base: str, by: list[str]) -> None:
+    """Replace a table that ``df`` itself reads: write beside it, move the old one aside, rename, and only then drop the old one.
+
+    At any moment the old or the new state is whole on disk; :func:`recovered` puts it in place after a crash."""
+    fs, now, new, old = _files(df.sparkSession, base)
+    df.write.mode("overwrite").partitionBy(*by).parquet(new.toString())
+    if not (fs.rename(now, old) and fs.rename(new, now)):
+        raise OSError(f"cannot replace {base}")
+    fs.delete(old, True)
 
 
 def upsert(new: DataFrame, base: str, key: str = "declaration_id", ids: DataFrame | None = None) -> None:
     """All rows of the keys in ``ids`` (else of those in ``new``) are replaced: delete by key, then insert."""
     spark = new.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    if not path(base).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(base)):
+    recovered(spark, base)
+    fs, now, _, _ = _files(spark, base)
+    if not fs.exists(now):
         new.write.parquet(base)
         return
     old = spark.read.schema(new.schema).parquet(base)
@@ -105,7 +127,7 @@ def as_text(df: DataFrame) -> list[Column]:
 
 
 def export_csv(scored: DataFrame, path: str) -> None:
-    """Ranked scores with a header; rules joined by ", "."""
+    """Ranked scores with a header; rules joined by ", ", explanations with their figures. Parts have no byte order mark; see :func:`export_single_csv`."""
     from ..operators.rules import explanation
     from ..operators.serving import name
 

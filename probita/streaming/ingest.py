@@ -24,8 +24,9 @@ def write_batch(batch: DataFrame, out: str, number: int) -> None:
     t = normalised(docs)
     for name in RELATIONS:
         upsert(getattr(t, name), f"{out}/{name}", ids=t.profile.select("declaration_id"))  # also for documents without rows now
-    quarantined(docs).select(F.lit(number).alias("batch"), "declaration_id").write.mode("append").parquet(f"{out}/quarantine")
-    docs.groupBy().agg(F.lit(number).alias("batch"), F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("data").isNotNull()).alias("saved")).write.mode("append").parquet(f"{out}/metrics")
+    # a folder per batch, which a repeated batch writes again
+    quarantined(docs).select("declaration_id").write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
+    docs.groupBy().agg(F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("data").isNotNull()).alias("saved")).write.mode("overwrite").parquet(f"{out}/metrics/batch={number}")
     docs.unpersist()
 
 

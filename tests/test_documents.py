@@ -74,6 +74,49 @@ def test_store_is_idempotent(spark, tmp_path):
     assert raw.stored(spark, base).count() == 1 and raw.has_rows(spark, base) and not raw.has_rows(spark, base + "x")
 
 
+def test_swap_survives_a_crash(spark, tmp_path):
+    """A table moved aside by a swap that was cut off comes back before it is read or written."""
+    base = f"file://{tmp_path}/t"
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "declaration_id string, n int")
+    raw.upsert(rows, base)
+    (tmp_path / "t").rename(tmp_path / "t__old")
+    raw.upsert(rows.filter("n = 1").withColumn("n", rows.n + 10), base)
+    assert sorted(map(tuple, spark.read.parquet(base).collect())) == [("a", 11), ("b", 2)] and not (tmp_path / "t__old").exists()
+
+
+def test_repeated_batches_leave_the_tables_alike(spark, tmp_path):
+    from probita.streaming.ingest import write_batch
+
+    batch = spark.createDataFrame([(json.dumps(DOC),), ("{oops",)], "value string")
+    for _ in range(2):
+        write_batch(batch, f"file://{tmp_path}/out", 3)
+    for name, n in (("profile", 1), ("quarantine", 1), ("metrics", 1)):
+        assert spark.read.parquet(f"file://{tmp_path}/out/{name}").count() == n
+    assert spark.read.parquet(f"file://{tmp_path}/out/metrics").first().batch == 3
+
+
+def test_documents_in_order_of_paths(spark, tmp_path):
+    for year, i in ((2024, 1), (2023, 2), (2023, 1)):
+        (tmp_path / str(year)).mkdir(exist_ok=True)
+        (tmp_path / str(year) / f"declaration_{i}.json").write_text(json.dumps(DOC | {"id": f"{year}-{i}"}))
+    got = raw.in_order(raw.documents(spark, str(tmp_path)))
+    assert [r.declaration_id for r in got.collect()] == ["2023-1", "2023-2", "2024-1"]
+    assert raw.documents(spark, str(tmp_path), 2023).count() == 2
+
+
+def test_stored_documents_before_raw_ones(spark, tmp_path):
+    (tmp_path / "declaration_1.json").write_text(json.dumps(DOC))
+    base = f"file://{tmp_path}/store"
+    assert raw.table_or_raw(spark, base, str(tmp_path)).first().declaration_id == "fx-001"
+    raw.store(spark.createDataFrame([(json.dumps(DOC | {"id": "kept"}),)], "value string"), base)
+    assert raw.table_or_raw(spark, base, str(tmp_path)).first().declaration_id == "kept"
+
+
+def test_single_csv_has_a_byte_order_mark(tmp_path):
+    raw.export_single_csv([("й", 1)], ["name", "n"], str(tmp_path / "top.csv"))
+    assert (tmp_path / "top.csv").read_bytes() == "\ufeffname,n\r\nй,1\r\n".encode()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     src = tmp_path / "raw" / "2024"
     src.mkdir(parents=True)

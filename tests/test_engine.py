@@ -29,3 +29,18 @@ def test_sanitize(spark):
     assert sanitized(x) == want
     got = spark.createDataFrame([(json.dumps(x),), ("{bad",), (None,)], "t string").select(sanitize_json(F.col("t")).alias("t")).collect()
     assert json.loads(got[0].t) == want and got[1].t is None and got[2].t is None
+
+
+def test_report_and_explanations(spark, tmp_path):
+    src = tmp_path / "raw"
+    src.mkdir()
+    for year in (2022, 2023, 2024):
+        (src / f"declaration_{year}.json").write_text(json.dumps(DOC | {"id": f"y{year}", "declaration_year": year}))
+    e = Engine.from_documents(spark, str(src))
+    text = e.report(top=5)
+    assert text.splitlines()[0].endswith("501  Test Person") and "over 3 years and 2 changes" in text
+    assert e.report(year=2024) == "" and e.report(min_score=100.0) == ""
+    e.export_csv(f"file://{tmp_path}/csv")
+    got = spark.read.option("header", True).option("multiLine", True).csv(f"file://{tmp_path}/csv").first().explanation
+    assert got.splitlines()[0] == "- cash_to_bank_ratio: Cash far above bank deposits (cash 370,000, bank n/a)"
+    assert got.splitlines()[1] == "- CR3: Acquisition far above annual income (acquired 900,000, income 300,000)"
