@@ -37,7 +37,7 @@ from .common import staged, table
 
 K, EVERY, SCALE = 5, 50, 256
 #: Rows of a block, blocks and queries of a task; rows that centroids are fitted on, and centroids of each level.
-BLOCK, GROUPED, QUERIES, SAMPLE, CENTROIDS = 256, 64, 8192, 16_384, 64
+BLOCK, GROUPED, QUERIES, SAMPLE, CENTROIDS = 256, 64, 8192, 4096, 64
 FLOORED = "q long, dim int, uids binary, ids binary, matrix binary, floor binary"
 ENTRY = "n long, dim int, uids binary, ids binary, matrix binary, high binary, low binary"
 
