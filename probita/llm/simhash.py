@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, staged, table
+from .common import forgotten, fresh, staged, table
 
 BUDGET, SEED = 2, 42
 #: Wide fingerprints: bits, budget over all of them, levels walked below the key and the budget there, chance to be proposed.
@@ -43,6 +43,8 @@ WIDE_SHARE = math.acos(8 / 9) / math.pi
 BLOCK, KEPT = 2048, 64
 #: Similarity in per cent from which texts are near copies; texts of a component that one task compares; texts that each such task also gets.
 LEAST, SETS, PIVOTS = 80, 512, 8
+#: Edges of a node from which it may be a hub.
+HUB = 1000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -186,22 +188,32 @@ def links(fps: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(_walk, "a long, b long").distinct()
 
 
+def _with_least(rows: DataFrame, low: DataFrame, edges: int) -> DataFrame:
+    """``rows`` (u, v) with the m of their u in ``low`` (u, m, n rows).
+
+    A hub has over one in 5,000 of all edges, so there are fewer than 10,000 of them (two rows an edge): they are joined by
+    broadcast, and no task gets all neighbours of a hub."""
+    hubs = F.broadcast(low.filter(F.col("n") > max(HUB, edges // 5000)).drop("n"))
+    return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(low.drop("n"), "u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) -> (node, root), root the least node reachable: alternating large and small stars, each round a table."""
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "simhash-edges")
-    mark = None
+    n, mark = now.count(), None
     while True:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both.filter("v > u"), low, n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = staged(small.distinct(), "simhash-edges")
+        last, now = now, staged(small.distinct(), "simhash-edges")
+        forgotten(last)
         got = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first())
         if got == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = got
+        n, mark = got[0], got
 
 
 def with_component(rows: DataFrame, fp: str, doc_id: str) -> tuple[DataFrame, str]:
@@ -447,7 +459,9 @@ def true_links(sets: DataFrame) -> DataFrame:
     main = labels.groupBy("of", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("of").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
     left = labels.join(main.filter("parts > 1"), "of").select("node", "label", "main")
     more = _compared(large.join(left, "node"), F.col("label") != F.col("main"), False)
-    return components(more.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    every = components(more.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    forgotten(labels)
+    return every
 
 
 def near_groups(rows: DataFrame, uid: str, mark: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -466,6 +480,7 @@ def near_groups(rows: DataFrame, uid: str, mark: str, doc_id: str = "doc_id", te
     texts = rows.select(F.col(uid).alias("uid"), F.col(text).alias("text"))
     sets = staged(members.join(texts, "uid").select("root", "n", "node", hashes_of("text").alias("hashes")), "simhash-sets")
     roots = true_links(sets).withColumnRenamed("node", "of")
+    forgotten(sets)
     named = per.select("node", "best").join(roots, F.col("node") == F.col("of"), "left")
     return named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias(uid))
 
