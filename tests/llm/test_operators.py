@@ -450,6 +450,21 @@ def test_simhash_components(spark):
     assert {r.doc_id: r[comp] for r in out.collect()} == dict(enumerate(root))
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, a chain and a clique; hubs take the broadcast way."""
+    monkeypatch.setattr(simhash, "HUB", 3)
+    random.seed(3)
+    edges = [(500 + i, 400) for i in range(60)] + [(400, 3)] + [(i, i + 1) for i in range(700, 740)] + [(a, b) for a in range(800, 806) for b in range(800, a)] + [(9, 9), (520, 720)]
+    random.shuffle(edges)
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {x: x for e in edges for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {x: got.get(x, x) for x in root} == root
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def _linked(bits):
     """Brute force: each row's least linked row."""
     root = list(range(len(bits)))
@@ -593,6 +608,20 @@ def test_near_groups_recall(spark):
         like = max((n / (len(sets[i]) + len(sets[j]) - n) for j, n in common.items()), default=0)
         near |= {i} if like >= 0.8 else set()
         some |= {i} if like >= 0.5 else set()
+    groups: dict = {i: i for i in sets}
+
+    def find(x):
+        while groups[x] != x:
+            x = groups[x]
+        return x
+
+    pairs = [(i, j) for i in sorted(sets) for j, n in collections.Counter(j for g in sets[i] for j in holds[g] if j < i).items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        groups[max(a, b)] = min(a, b)
+    left = collections.Counter(find(i) for i in kept)  # a group that lost no link keeps one document
+    split = sum(left[r] > 1 for r in left)
+    assert len(pairs) > 50 and split <= 0.1 * sum(n > 1 for n in collections.Counter(find(i) for i in sets).values())
     gone = set(every) - kept
     assert len(near) > 20 and len(near & gone) >= 0.9 * len(near)
     assert gone <= some
