@@ -19,7 +19,7 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: SQL expresses neither the fingerprints nor the packing; tests/llm compare the stages with brute force.
+#: SQL expresses neither the fingerprints nor the packing; tests/llm compare what the stages do with brute force.
 ORACLE_SQL = None
 
 
