@@ -40,23 +40,23 @@ def quarantined(docs: DataFrame) -> DataFrame:
     return docs.filter("data is null")
 
 
-def store(raw: DataFrame, base: str, overwrite: bool = False) -> DataFrame:
+def store(raw: DataFrame, base: str, overwrite: bool = False, count: bool = False) -> DataFrame | int:
     """Append documents (``value``) as a table partitioned by filing year, each id once; ids that are there stay unless
-    ``overwrite``. Returns what was written."""
+    ``overwrite``. Returns what was written, or with ``count`` how many (counted before the write)."""
     spark = raw.sparkSession
     new = filing_year(parsed(raw.withColumn("document", F.col("value")))).groupBy("declaration_id").agg(F.min(F.struct("filed", "document")).alias("d"))
     new = new.select("declaration_id", "d.document", "d.filed")  # of several documents of an id the one filed first, then the least text
     old = stored(spark, base)
+    if old is not None and not overwrite:
+        new = new.join(old.select("declaration_id"), "declaration_id", "left_anti")
+    n = new.count() if count else None
     if old is None:
         new.write.partitionBy("filed").parquet(base)
-        return new
-    if overwrite:
-        kept = old.join(new.select("declaration_id"), "declaration_id", "left_anti")
-        _swap(kept.unionByName(new), base, ["filed"])
-        return new
-    new = new.join(old.select("declaration_id"), "declaration_id", "left_anti")
-    new.write.mode("append").partitionBy("filed").parquet(base)
-    return new
+    elif overwrite:
+        _swap(old.join(new.select("declaration_id"), "declaration_id", "left_anti").unionByName(new), base, ["filed"])
+    else:
+        new.write.mode("append").partitionBy("filed").parquet(base)
+    return new if n is None else n
 
 
 def stored(spark: SparkSession, base: str) -> DataFrame | None:

@@ -1,7 +1,7 @@
 """A paged REST collection of declarations as a batch data source.
 
 Pages are read until one is empty or has fewer than a full page of items, at most ``max_pages``; a failed request is
-tried three times with growing pauses. ``fetcher`` names a function ``module:function(url, params) -> dict``; without it
+tried three times with growing pauses; only failures of the network or the server are, not the client's own (4xx but 429). ``fetcher`` names a function ``module:function(url, params) -> dict``; without it
 urllib is used. Each year is one partition.
 """
 
@@ -35,8 +35,9 @@ def tried(fetch: Callable[[str, dict], dict], url: str, params: dict, pause: flo
     for n in range(TRIES):
         try:
             return fetch(url, params)
-        except Exception:
-            if n == TRIES - 1:
+        except (OSError, json.JSONDecodeError) as e:
+            code = getattr(e, "code", 0)
+            if n == TRIES - 1 or (400 <= code < 500 and code != 429):
                 raise
             time.sleep(pause * 2**n)
     raise AssertionError

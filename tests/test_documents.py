@@ -146,6 +146,51 @@ def test_rest_pages():
     assert calls == [1, 2, 2, 3]
 
 
+def test_client_errors_are_not_tried_again():
+    import urllib.error
+
+    calls = []
+
+    def fetch(url, params):
+        calls.append(url)
+        raise urllib.error.HTTPError(url, 404 if url == "gone" else 503, "", None, None)
+
+    for url, n in (("gone", 1), ("busy", 3)):
+        calls.clear()
+        try:
+            rest.tried(fetch, url, {}, 0)
+        except urllib.error.HTTPError:
+            assert len(calls) == n
+
+
+def test_crawl_resumes(spark, tmp_path):
+    """Stops at max_docs, goes on with the next page, counts what is new, and refuses another year's state."""
+    import pytest
+
+    from probita.sources.crawl import State, counters, crawl
+
+    asked = []
+
+    def fetch(url, params):
+        if url.endswith("/list"):
+            asked.append(params["page"])
+            return {"data": [{"id": f"d{params['page']}-{i}"} for i in range(100 if params["page"] < 3 else 2)]}
+        if url.endswith("d2-7"):
+            raise OSError("down")
+        return DOC | {"id": url.rsplit("/", 1)[1]}
+
+    base, state = f"file://{tmp_path}/store", str(tmp_path / "state.json")
+    one = crawl(spark, fetch, "u", 2024, base, state, max_docs=50, pause=0)
+    assert (one.last_page, one.fetched, one.saved, one.completed) == (1, 100, 100, False)
+    two = crawl(spark, fetch, "u", 2024, base, state, pause=0)
+    assert asked == [1, 2, 3] and (two.fetched, two.saved, two.skipped, two.failed, two.completed) == (201, 201, 0, ["d2-7"], True)
+    again = crawl(spark, fetch, "u", 2024, base, state, max_docs=1, pause=0)
+    assert (again.fetched, again.saved, again.skipped) == (100, 0, 100) and raw.stored(spark, base).count() == 201
+    assert counters(spark, again).first().skipped == 100
+    with pytest.raises(ValueError):
+        State.load(tmp_path / "state.json", 2023)
+
+
 def person(spark, *years):
     return normalised(docs(spark, *[doc_year(*y) for y in years]))
 
