@@ -464,25 +464,35 @@ def true_links(sets: DataFrame) -> DataFrame:
     return every
 
 
-def near_groups(rows: DataFrame, uid: str, mark: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows with unique ``uid`` and ``mark`` (of :func:`_marked`) -> (uid): of each group of near copies the row with the least id (nulls last)."""
+def near_groups(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` (key, id, mark of :func:`_marked`) and ``texts`` (key, text; a key once) -> (key): of each group of near copies
+    the row with the least id (nulls last)."""
 
     @F.pandas_udf("binary")
     def hashes_of(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
 
-    best = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(uid).alias("uid"))).alias("best")
-    per = staged(rows.groupBy(F.col(mark).alias("mark")).agg(best).withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
+    per = staged(rows.groupBy("mark").agg(best).withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
     met = components(wide_links(per.select("node", F.substring("mark", 1, WIDE_BITS // 8).alias("wide"))))
     met = met.union(met.select("root", "root").distinct())
     sizes = met.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    members = met.join(sizes, "root").join(per.select("node", "best.uid"), "node")
-    texts = rows.select(F.col(uid).alias("uid"), F.col(text).alias("text"))
-    sets = staged(members.join(texts, "uid").select("root", "n", "node", hashes_of("text").alias("hashes")), "simhash-sets")
+    members = staged(met.join(sizes, "root").join(per.select("node", "best.key"), "node"), "simhash-members")
+    sets = staged(texts.join(members, "key").select("root", "n", "node", hashes_of("text").alias("hashes")), "simhash-sets")
+    forgotten(members)
     roots = true_links(sets).withColumnRenamed("node", "of")
     forgotten(sets)
     named = per.select("node", "best").join(roots, F.col("node") == F.col("of"), "left")
-    return named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.uid").alias(uid))
+    kept = staged(named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.key"), "simhash-kept")
+    forgotten(per)
+    return kept
+
+
+def _one_each(rows: DataFrame, key: str, repeated: DataFrame | None) -> DataFrame:
+    """``rows`` with one row of each of the ``repeated`` keys (column of the same name; None: there are none)."""
+    if repeated is None:
+        return rows
+    return rows.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key, "left_semi").dropDuplicates([key]))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,12 +504,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity from 0.8 on) stays, the least id (one row of it,
-    if repeated); the columns of ``docs``."""
+    if repeated); the columns of ``docs``.
+
+    A row is known by the MD5 of its id and text, so ``docs`` is read three times, but no copy of the texts is written; rows with
+    the same id and text (null as empty) count as repeated."""
     @F.pandas_udf("binary")
     def mark_of(texts: pd.Series) -> pd.Series:
         return pd.Series([_marked(t) for t in texts], dtype=object)
 
-    uid, mark = fresh(docs, "_uid"), fresh(docs, "_mark")
-    df = staged(docs.withColumn(mark, mark_of("text")).withColumn(uid, F.monotonically_increasing_id()), "simhash-docs")
-    first = near_groups(df.select(uid, "doc_id", mark, "text"), uid, mark)
-    return df.join(first, uid, "left_semi").select(*docs.columns)
+    key = fresh(docs, "_key")
+    named = F.concat(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    df = docs.withColumn(key, F.unhex(F.md5(named.cast("binary"))))
+    rows = staged(df.select(F.col(key).alias("key"), F.col("doc_id").alias("id"), mark_of("text").alias("mark")), "simhash-marks")
+    repeated = staged(rows.groupBy(F.col("key").alias(key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key), "simhash-repeated")
+    df = _one_each(df, key, None if repeated.isEmpty() else repeated)
+    kept = near_groups(rows, df.select(F.col(key).alias("key"), "text"))
+    forgotten(rows)
+    return df.join(kept.withColumnRenamed("key", key), key, "left_semi").select(*docs.columns)
