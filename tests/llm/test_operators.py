@@ -693,3 +693,13 @@ def test_permutation(spark):
     for n in (1, 2, 7, 100):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3))).collect()]
         assert sorted(got) == list(range(n))
+
+
+def test_near_dedup_keeps_one_of_repeated_rows(spark):
+    """Rows of equal id and text, null and empty texts and ids, and a column named like the key."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "a")] * 30 + [(2, long, "b"), (3, None, "c"), (3, "", "d"), (3, None, "c"), (None, long, "e"), (None, "one", "f"), (None, "one", "f"), (5, "two", "g")]
+    got = simhash.stage_simhash(spark, spark.createDataFrame(rows, "doc_id long, text string, _KEY string"), "")
+    assert got.columns == ["doc_id", "text", "_KEY"]
+    kept = sorted(got.collect(), key=str)
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", long), ("3", ""), ("None", "one"), ("5", "two")])
