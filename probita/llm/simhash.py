@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forgotten, fresh, staged, table
+from .common import forgotten, fresh, shared_dir, shuffles_freed, staged, table
 
 BUDGET, SEED = 2, 42
 #: Wide fingerprints: bits, budget over all of them, levels walked below the key and the budget there, chance to be proposed.
@@ -41,6 +42,8 @@ WIDE_BITS, WIDE_BUDGET, LEVELS, LEVEL_BUDGET, RECALL = 256, 56, 16, 6, 0.95
 WIDE_SHARE = math.acos(8 / 9) / math.pi
 #: Rows walked at once, and how many members of each component of a larger group later rows are compared with first.
 BLOCK, KEPT = 2048, 64
+#: Walks that are shuffled at a time.
+WALKS_EACH = 8
 #: Similarity in per cent from which texts are near copies; texts of a component that one task compares; texts that each such task also gets.
 LEAST, SETS, PIVOTS = 80, 512, 8
 #: Edges of a node from which it may be a hub.
@@ -338,24 +341,35 @@ def walks_for(front: int) -> int:
 
 
 def wide_links(nodes: DataFrame) -> DataFrame:
-    """(node, wide), one row per distinct set of shingles -> edges (a, b) spanning the components found within the wide budget."""
+    """(node, wide), one row per distinct set of shingles -> a table of edges (a, b) spanning the components found within the wide budget.
+
+    ``WALKS_EACH`` walks are shuffled at a time, and their shuffle files go once their edges are written: the disk in use
+    does not grow with the number of walks."""
     front = min(40, max(8, math.ceil(math.log2(max(nodes.count(), 2))) - 7))
     walks = walks_for(front)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = [np.random.default_rng([SEED, m]).permutation(WIDE_BITS)[: front + LEVELS] for m in range(walks)]
+    def deal(batches: Iterator[pa.RecordBatch], some: range) -> Iterator[pa.RecordBatch]:
+        orders = {m: np.random.default_rng([SEED, m]).permutation(WIDE_BITS)[: front + LEVELS] for m in some}
         weight = 1 << np.arange(64, dtype=np.int64)[::-1]
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 wide = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
                 bits = np.unpackbits(wide, axis=1).astype(np.int64)
-                for m, order in enumerate(orders):
+                for m, order in orders.items():
                     key, rest = bits[:, order[:front]] @ weight[-front:] + (m << front), bits[:, order[front:]] @ weight[-LEVELS:]
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rest.astype(np.int32)), part.column(0), part.column(1)], names=["key", "rest", "node", "wide"])
 
-    dealt = nodes.select("node", "wide").mapInArrow(deal, "key long, rest int, node long, wide binary")
-    return dealt.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(_wide_walk, "a long, b long").distinct()
+    path = f"{shared_dir(nodes.sparkSession)}/simhash-met-{uuid.uuid4().hex}"
+    for m in range(0, walks, WALKS_EACH):
+        some = range(m, min(m + WALKS_EACH, walks))
+        dealt = nodes.select("node", "wide").mapInArrow(lambda b, some=some: deal(b, some), "key long, rest int, node long, wide binary")
+        met = dealt.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(_wide_walk, "a long, b long").distinct()
+        with shuffles_freed(met.sparkSession):
+            met.write.mode("append").parquet(path)
+    out = nodes.sparkSession.read.schema("a long, b long").parquet(path)
+    out.staged_at = path
+    return out
 
 
 class _Block:
@@ -474,7 +488,9 @@ def near_groups(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
     per = staged(rows.groupBy("mark").agg(best).withColumn("node", F.monotonically_increasing_id()), "simhash-wide")
-    met = components(wide_links(per.select("node", F.substring("mark", 1, WIDE_BITS // 8).alias("wide"))))
+    edges = wide_links(per.select("node", F.substring("mark", 1, WIDE_BITS // 8).alias("wide")))
+    met = components(edges)
+    forgotten(edges)
     met = met.union(met.select("root", "root").distinct())
     sizes = met.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     members = staged(met.join(sizes, "root").join(per.select("node", "best.key"), "node"), "simhash-members")
