@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, passages, pii, quality, simhash, suffixes, tokencount, topk
+from . import audit, bpe, licenses, mixing, packing, passages, pii, quality, simhash, suffixes, tokencount, topk, trie
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_passages": passages.op8_passages,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
+    "op11_bpe": bpe.op11_bpe,
+    "op12_trie": trie.op12_trie,
+    "op13_audit": audit.op13_audit,
 }
-SQL: dict[str, str] = {"op5_topk": topk.OP5_SQL}
+SQL: dict[str, str] = {"op5_topk": topk.OP5_SQL, "op12_trie": trie.OP12_SQL, "op13_audit": audit.OP13_SQL}
