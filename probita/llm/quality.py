@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import fresh, staged, table, words
+from .common import forgotten, fresh, rows_among, staged, table, words
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -108,7 +108,7 @@ def thresholds(rated: DataFrame, labels: DataFrame, *, alpha: float = 0.03, delt
     """(stratum, symbols, shouts, ...): the strictest certified joint cutoffs, null where a rule has none.
 
     ``rated``: doc_id, stratum and a column per rule, base failures left out; ``labels``: doc_id, quality."""
-    good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality")).filter("quality = 1").select("doc_id")
+    good = good_ids(labels)
     above = lambda r: sum((F.when(F.col(r) > c, 1).otherwise(0) for c in CUTOFFS), F.lit(0))  # noqa: E731  how many cutoffs reject the row
     orders = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     held = rated.join(good, "doc_id").select("stratum", orders.alias("orders"), F.array(*[F.struct(F.lit(n).alias("rule"), above(r).alias("level"), F.col(r).alias("ratio")) for n, r in enumerate(RULES)]).alias("x"))
@@ -133,18 +133,34 @@ def thresholds(rated: DataFrame, labels: DataFrame, *, alpha: float = 0.03, delt
     return steps.groupBy("stratum").agg(*[F.min(F.when(safe & (F.col("rule") == n), F.col("cutoff"))).alias(r) for n, r in enumerate(RULES)])
 
 
-def judge(counted: DataFrame, col: str, labels: DataFrame, *, doc_id: str = "doc_id", stratum: str = "lang", **kw) -> tuple[DataFrame, dict[str, Column], Column]:
-    """``counted`` (of :func:`with_counts`) with cutoffs joined, its count columns, and the verdict column."""
+def rated(counted: DataFrame, col: str, doc_id: str = "doc_id", stratum: str = "lang") -> DataFrame:
+    """doc_id, stratum and a column per rule of the rows that pass the base rule."""
     c = _counts(col)
-    rated = counted.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), *[v.alias(k) for k, v in ratios(c).items()], base_failed(c).alias("bad")).filter("not bad")
-    limits = staged(thresholds(rated, labels, **kw).coalesce(1), "quality-limits")
-    s = fresh(counted, "_q_stratum")
+    return counted.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("stratum"), *[v.alias(k) for k, v in ratios(c).items()], base_failed(c).alias("bad")).filter("not bad").drop("bad")
+
+
+def good_ids(labels: DataFrame) -> DataFrame:
+    """Ids that are labelled good and never otherwise."""
+    return labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality")).filter("quality = 1").select("doc_id")
+
+
+def judged(counted: DataFrame, col: str, limits: DataFrame, stratum: str = "lang") -> tuple[DataFrame, dict[str, Column], Column]:
+    """``counted`` (of :func:`with_counts`) with the cutoffs joined, its count columns, and the verdict column.
+
+    The verdict is one expression over both sides of the join, so the counts are made once, below it."""
+    c, s = _counts(col), fresh(counted, "_q_stratum")
     limits = limits.select(F.col("stratum").alias(s), F.struct(*RULES).alias(cut := fresh(counted, "_q_limits")))
     joined = counted.join(limits, F.col(s).eqNullSafe(F.col(stratum)), "left").drop(s)
-    ok = ~base_failed(c)
+    broken = base_failed(c).cast("int")
     for k, v in ratios(c).items():
-        ok = ok & F.coalesce(v <= F.col(cut)[k], F.lit(True))
-    return joined, c, ok
+        broken = broken + F.coalesce((v > F.col(cut)[k]).cast("int"), F.lit(0))
+    return joined, c, broken == 0
+
+
+def judge(counted: DataFrame, col: str, labels: DataFrame, *, doc_id: str = "doc_id", stratum: str = "lang", **kw) -> tuple[DataFrame, dict[str, Column], Column]:
+    """:func:`judged` with the cutoffs that ``labels`` certify."""
+    limits = staged(thresholds(rated(counted, col, doc_id, stratum), labels, **kw).coalesce(1), "quality-limits")
+    return judged(counted, col, limits, stratum)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,8 +172,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass; the columns of ``docs``."""
+    """Documents that pass the base rule and the certified cutoffs of their language; the columns of ``docs``.
+
+    Cutoffs need the texts that are labelled good only: these are counted first, then every text as it is read; no copy of the texts is
+    written. A null text is empty and fails the base rule; a null language is a language; repeated rows get the same
+    verdict; no rows of none."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    good = staged(good_ids(labels), "quality-good")
+    some, col = with_counts(rows_among(docs.select("doc_id", "text", "lang"), "doc_id", good))
+    some = staged(some.drop("text"), "quality-counts")
+    limits = staged(thresholds(rated(some, col), labels).coalesce(1), "quality-limits")
+    forgotten(some)
     counted, col = with_counts(docs)
-    counted = staged(counted, "quality-stage")
-    df, _, ok = judge(counted, col, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    df, _, ok = judged(counted, col, limits)
     return df.filter(ok).select(*docs.columns)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forgotten, fresh, shared_dir, shuffles_freed, staged, table
+from .common import forgotten, fresh, kept_by_key, one_of_each, row_key, rows_among, shared_dir, shuffles_freed, staged, table
 
 BUDGET, SEED = 2, 42
 #: Wide fingerprints: bits, budget over all of them, levels walked below the key and the budget there, chance to be proposed.
@@ -494,7 +494,7 @@ def near_groups(rows: DataFrame, texts: DataFrame) -> DataFrame:
     met = met.union(met.select("root", "root").distinct())
     sizes = met.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     members = staged(met.join(sizes, "root").join(per.select("node", "best.key"), "node"), "simhash-members")
-    sets = staged(texts.join(members, "key").select("root", "n", "node", hashes_of("text").alias("hashes")), "simhash-sets")
+    sets = staged(rows_among(texts, "key", members.select("key")).join(members, "key").select("root", "n", "node", hashes_of("text").alias("hashes")), "simhash-sets")
     forgotten(members)
     roots = true_links(sets).withColumnRenamed("node", "of")
     forgotten(sets)
@@ -504,13 +504,6 @@ def near_groups(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return kept
 
 
-def _one_each(rows: DataFrame, key: str, repeated: DataFrame | None) -> DataFrame:
-    """``rows`` with one row of each of the ``repeated`` keys (column of the same name; None: there are none)."""
-    if repeated is None:
-        return rows
-    return rows.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key, "left_semi").dropDuplicates([key]))
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, fp = with_fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = staged(df.select("doc_id", fp), "simhash-rows")
@@ -529,11 +522,11 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         return pd.Series([_marked(t) for t in texts], dtype=object)
 
     key = fresh(docs, "_key")
-    named = F.concat(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    df = docs.withColumn(key, F.unhex(F.md5(named.cast("binary"))))
+    df = docs.withColumn(key, row_key(docs))
     rows = staged(df.select(F.col(key).alias("key"), F.col("doc_id").alias("id"), mark_of("text").alias("mark")), "simhash-marks")
-    repeated = staged(rows.groupBy(F.col("key").alias(key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key), "simhash-repeated")
-    df = _one_each(df, key, None if repeated.isEmpty() else repeated)
+    repeated = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "simhash-repeated")
+    df = one_of_each(df, key, repeated)
     kept = near_groups(rows, df.select(F.col(key).alias("key"), "text"))
+    gone = staged(rows.select("key").distinct().join(kept, "key", "left_anti"), "simhash-gone")
     forgotten(rows)
-    return df.join(kept.withColumnRenamed("key", key), key, "left_semi").select(*docs.columns)
+    return kept_by_key(df, key, kept, gone).select(*docs.columns)
