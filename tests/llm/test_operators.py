@@ -671,22 +671,45 @@ def test_mixing_reruns_agree(spark, docs):
     assert run(1) == run(5)
 
 
-def test_shard_counts(spark):
-    """Shards' counts add up to each source's slots, decide which slots a shard has, and scatter as a multinomial draw does."""
-    per = spark.createDataFrame([(0, 6400, 12800.0), (1, 640, 1920.0), (2, 0, 0.0)], "s int, source_size long, target double")
-    counts = mixing.staged(mixing.shard_counts(per, 16, 3, 50), "test-counts")
-    by = collections.defaultdict(list)
-    for r in counts.orderBy("s", "shard").collect():
-        assert r["first"] == sum(k for _, k in by[r.s])
-        by[r.s].append((r.shard, r.k))
-    assert {s: sum(k for _, k in v) for s, v in by.items()} == {0: 800, 1: 120}
-    shards = -(-920 // 50)
-    for s, v in by.items():
-        mean = sum(k for _, k in v) / shards
-        chi = sum((dict(v).get(i, 0) - mean) ** 2 / mean for i in range(shards))
-        assert 3 < chi < 50  # 18 degrees of freedom
-    slots = collections.Counter((r.s, r.shard) for r in mixing.slots(counts).collect())
-    assert slots == {(s, shard): k for s, v in by.items() for shard, k in v}
+def test_the_draw_decides(spark):
+    """Shards' counts scatter as a multinomial draw does and choose the blocks: another draw, or none, takes others; sources' totals and the passes hold."""
+    per = spark.createDataFrame([(0, 6400, 12800.0), (1, 640, 1920.0), (2, 0, 0.0), (3, 6400, 3300.0), (4, 32000, 31000.0)], "s int, source_size long, target double")
+    per = mixing.staged(mixing.plan(per, 16, 3, 50), "test-plan")
+    want = {0: 800, 1: 120, 3: 206, 4: 1938}
+
+    def mix(drawn):
+        got = mixing.slots(mixing.staged(drawn, "test-draw"), per).collect()
+        assert collections.Counter(r.s for r in got) == want
+        taken = collections.Counter((r.s, r["pass"], r["index"]) for r in got)
+        assert set(taken.values()) == {1} and all(i < {0: 400, 1: 40, 3: 400, 4: 2000}[s] and turn < 3 for s, turn, i in taken)
+        return got, set(taken)
+
+    got, one = mix(mixing.draw(per))
+    shards = -(-sum(want.values()) // 50)
+    for s in want:
+        by = collections.Counter(r.shard for r in got if r.s == s)
+        mean = want[s] / shards
+        assert shards / 3 < sum((by.get(i, 0) - mean) ** 2 / mean for i in range(shards)) < 2 * shards
+    assert collections.Counter((r.s, r.shard) for r in got) == collections.Counter((r.s, r.shard) for r in mixing.draw(per).collect())
+    for other in (mixing.draw(per, 21), mixing.draw(per).withColumn("shard", F.lit(0).cast("long"))):  # the permutations stay as they are
+        _, two = mix(other)
+        assert {x for x in one if x[0] in (0, 1)} == {x for x in two if x[0] in (0, 1)}  # passes that take every block
+        assert len({x for x in one if x[0] == 3} & {x for x in two if x[0] == 3}) < 190 and {x for x in one if x[0] == 4} != {x for x in two if x[0] == 4}
+
+
+def test_another_seed_takes_other_words(spark, docs):
+    """What documents are taken changes with the draw; sources' words stay near their targets."""
+    sized = mixing.staged(mixing.with_size(docs), "test-sizes")
+    runs = []
+    for seed in (20, 21):
+        rows, pieces = mixing.mixed(sized, block=4, seed=seed, slots_a_shard=16)
+        runs.append({r.uid: r.n for r in pieces.groupBy("uid").agg(F.sum("n_words").alias("n")).collect()})
+        by = collections.defaultdict(lambda: [0, 0.0])
+        for r in rows.collect():
+            by[r.s][0] += runs[-1].get(r.uid, 0)
+            by[r.s][1] = r.target
+        assert all(abs(n - t) <= 64 for n, t in by.values())
+    assert runs[0] != runs[1]
 
 
 def test_permutation(spark):
