@@ -47,5 +47,24 @@ RULE_TITLES = {
     "CR9": "Rentable property without rent income", "CR10": "Major property of hidden value", "CR11": "Major property of relatives without income", "CR12": "Wealth concentrated on a relative",
     "CR13": "Relatives withhold information", "CR14": "Major assets appear or disappear", "CR15": "Real estate far above three years of income", "CR16": "Outlier among peers",
     "BR1": "Many declarations in a year", "BR2": "Growing share of hidden values", "BR3": "Many confidential fields among peers", "BR4": "Assets grow with a change of position",
+    "unexplained_wealth": "Wealth that income does not explain", "unknown_value_frequency": "Values often hidden", "acquisition_income_mismatch": "Acquisition beyond income",
+    "zero_income_with_assets": "Assets without any income", "family_asset_concentration": "Assets held by relatives", "income_outlier": "Income outlier among peers", "wealth_outlier": "Wealth outlier among peers",
     "yoy_income_change": "Sudden change of income", "yoy_asset_growth": "Monetary assets grow beyond income", "foreign_cash_jump": "Sudden growth of cash",
 }
+#: What each rule looks at.
+RULE_LOGIC = {
+    "TQ1": "Counts dates of ownership that cannot be read or lie after the year declared.", "TQ2": "Counts references to persons that are neither the declarant nor declared relatives.",
+    "TQ3": "Adds up the shares of each property and expects about a whole.", "TQ4": "Counts numbers that are no numbers or lie beyond what is plausible.",
+    "TQ5": "Compares a real estate section said not to apply with residence and income in the country.", "cash_to_bank_ratio": "Compares cash with deposits in banks.",
+    "CR1": "Compares cash with an annual income.", "CR2": "Compares cash in foreign currencies with an annual income.", "CR3": "Compares the largest acquisition of the year with its income.",
+    "CR4": "Counts larger purchases in a year of low income.", "CR5": "Compares the growth of assets with that of income from one declaration to the next.", "CR6": "Adds up areas of homes and of land.",
+    "CR7": "Compares number and brands of vehicles with income and family.", "CR8": "Looks for income from farming where there is farm land or machinery.", "CR9": "Looks for income from rent where there is property to let.",
+    "CR10": "Counts major property whose value is not given.", "CR11": "Looks for major property of close relatives with little income of their own.", "CR12": "Compares what a relative with little income holds with what the declarant holds.",
+    "CR13": "Counts values that relatives did not give.", "CR14": "Looks for major property that appears or goes without income or sale to match.", "CR15": "Compares real estate with the mean income of three years.",
+    "CR16": "Compares income, wealth and cash with those of peers of the same year.", "BR1": "Counts declarations of one year.", "BR2": "Compares the share of hidden values from one declaration to the next.",
+    "BR3": "Compares the share of confidential fields with that of peers.", "BR4": "Compares the growth of assets around a change of position.",
+    "unexplained_wealth": "Compares all assets with an annual income.", "unknown_value_frequency": "Measures the share of fields that are not known.", "acquisition_income_mismatch": "Compares the largest acquisition with the annual income.",
+    "zero_income_with_assets": "Looks for assets where no income is declared.", "family_asset_concentration": "Measures the share of assets that relatives hold.",
+    "income_outlier": "Ranks income among peers.", "wealth_outlier": "Ranks wealth among peers.",
+    "yoy_income_change": "Compares income from one declaration to the next.", "yoy_asset_growth": "Compares the growth of money with income.", "foreign_cash_jump": "Measures the growth of cash from one declaration to the next.",
+}

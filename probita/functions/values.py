@@ -166,7 +166,8 @@ def number_label(x: Column) -> Column:
 
 
 def times_label(x: Column) -> Column:
-    return F.format_string("%.1fx", dbl(x))
+    """One decimal and an x; null stays null."""
+    return F.when(x.isNotNull(), F.format_string("%.1fx", dbl(x)))
 
 
 def loose_number(x: Column) -> Column:

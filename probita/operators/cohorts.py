@@ -27,12 +27,15 @@ def large_enough(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.count("income").alias("n_income"), F.count("assets").alias("n_assets"), F.count("cash").alias("n_cash"), F.count("conf").alias("n_conf")).filter(F.col("n_income") >= LEAST)
 
 
-def ranked(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys, value, upto, n): for each distinct value how many of the cohort's n are at most it."""
-    keys = keys or KEYS
-    seen = rows.filter(F.col(value).isNotNull())
-    hist = seen.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    marks = seen.groupBy(*keys).agg(F.percentile_approx(value, [i / BINS for i in range(1, BINS)], 1000).alias("marks"), F.count(F.lit(1)).alias("n"))
+def measures(rows: DataFrame) -> DataFrame:
+    """Members -> (keys, measure, v): a row for each known value of the four."""
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in ("income", "assets", "cash", "conf")])
+    return rows.select(*KEYS, F.explode(each).alias("x")).select(*KEYS, "x.*").filter("v is not null")
+
+
+def running(hist: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, value, c) with c the number of rows of each distinct value -> (keys, value, upto, n). Bins hold about as many distinct values each."""
+    marks = hist.groupBy(*keys).agg(F.percentile_approx(value, [i / BINS for i in range(1, BINS)], 1000).alias("marks"), F.sum("c").alias("n"))
     binned = hist.join(marks, keys).withColumn("bin", F.size(F.filter("marks", lambda m: m < F.col(value)))).drop("marks")
     per = binned.groupBy(*keys, "bin").agg(F.sum("c").alias("in_bin"))
     per = per.withColumn("before", F.coalesce(F.sum("in_bin").over(W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("in_bin")
@@ -40,6 +43,12 @@ def ranked(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFr
     return binned.withColumn("inner", inner).join(per, [*keys, "bin"]).select(*keys, value, (F.col("inner") + F.col("before")).alias("upto"), "n")
 
 
+def ranked(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, value, upto, n): for each distinct value how many of the cohort's n are at most it."""
+    keys = keys or KEYS
+    return running(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c")), value, keys)
+
+
 def least_rank(value: str, p: float) -> Column:
     """The least value whose rank (share of values at most it) reaches ``p``."""
     return F.min(F.when(F.col("upto") / F.col("n") >= p, F.col(value)))
@@ -54,8 +63,12 @@ def cuts(rows: DataFrame) -> DataFrame:
     """(keys, income_p99, income_p95, assets_p99, assets_p95, cash_p99, conf_median): cut values per cohort, null under five values.
 
     The four measures are ranked in one pass, as rows of (measure, value)."""
-    long = rows.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in ("income", "assets", "cash", "conf")])).alias("x")).select(*KEYS, "x.*")
-    seen = ranked(long, "v", [*KEYS, "measure"])
+    return cuts_of(measures(rows).groupBy(*KEYS, "measure", "v").agg(F.count(F.lit(1)).alias("c")))
+
+
+def cuts_of(hist: DataFrame) -> DataFrame:
+    """The cut values from exact counts (keys, measure, v, c), however these came about."""
+    seen = running(hist, "v", [*KEYS, "measure"])
     of = lambda m, x: F.when(F.max(F.when(F.col("measure") == m, F.col("n"))) >= LEAST, F.min(F.when((F.col("measure") == m) & x, F.col("v"))))
     rank = lambda p: F.col("upto") / F.col("n") >= p
     index = lambda p: F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1)
@@ -75,14 +88,20 @@ def outlier_score(rank: Column, threshold: float = 0.95) -> Column:
     return F.when(rank >= threshold, rounded(F.least(F.lit(1.0), (rank - threshold) / (1 - threshold)), 3)).otherwise(F.lit(0.0))
 
 
-def ranks(df: DataFrame, value: str) -> DataFrame:
-    """declaration_id, rank, n of each member that has the value, in cohorts that are large enough."""
-    rows = members(df).join(large_enough(members(df)).select(*KEYS), KEYS)
-    return rows.join(ranked(rows, value), [*KEYS, value]).select("declaration_id", *KEYS, value, (F.col("upto") / F.col("n")).alias("rank"), "n")
+def ranks(df: DataFrame, value: str, hist: DataFrame | None = None) -> DataFrame:
+    """declaration_id, rank, n of each member that has the value, in cohorts that are large enough. ``hist``: exact counts (keys, measure, v, c) that are known already."""
+    rows = members(df)
+    known = measures(rows).groupBy(*KEYS, "measure", "v").agg(F.count(F.lit(1)).alias("c")) if hist is None else hist
+    if value == "income":
+        seen = running(known.filter(F.col("measure") == value).select(*KEYS, F.col("v").alias(value), "c"), value, KEYS).filter(F.col("n") >= LEAST)
+    else:
+        large = known.filter("measure = 'income'").groupBy(*KEYS).agg(F.sum("c").alias("n_income")).filter(F.col("n_income") >= LEAST).select(*KEYS)
+        seen = running(known.filter(F.col("measure") == value).select(*KEYS, F.col("v").alias(value), "c"), value, KEYS).join(large, KEYS, "left_semi")
+    return rows.select("declaration_id", *KEYS, value).join(seen, [*KEYS, value]).select("declaration_id", *KEYS, value, (F.col("upto") / F.col("n")).alias("rank"), "n")
 
 
-def layer2(df: DataFrame) -> DataFrame:
+def layer2(df: DataFrame, hist: DataFrame | None = None) -> DataFrame:
     """declaration_id, income_outlier, wealth_outlier: scores added at three points each to the total."""
-    part = lambda v: ranks(df, v).filter(F.col("n") >= LEAST).select("declaration_id", outlier_score(F.col("rank")).alias(f"{v}_outlier"))
+    part = lambda v: ranks(df, v, hist).filter(F.col("n") >= LEAST).select("declaration_id", outlier_score(F.col("rank")).alias(f"{v}_outlier"))
     out = df.select("declaration_id").join(part("income"), "declaration_id", "left").join(part("assets"), "declaration_id", "left")
     return out.select("declaration_id", F.coalesce("income_outlier", F.lit(0.0)).alias("income_outlier"), F.coalesce("assets_outlier", F.lit(0.0)).alias("wealth_outlier"))

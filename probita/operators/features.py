@@ -139,7 +139,7 @@ def share_of(pct_text: Column) -> Column:
 
 
 def kin_features(t: Tables) -> DataFrame:
-    """declaration_id, proxy (CR11), kin_ratio (CR12): from per-person incomes and assets, joined to relations."""
+    """declaration_id, proxy (CR11), kin_ratio and kin_person (CR12): from per-person incomes and assets, joined to relations."""
     kin = t.family.filter(contains_any(F.col("relation"), fixed.KIN_STEMS)).select(ID, F.col("member_id").alias("pid"))
     kin = kin.distinct()
     income = t.incomes.filter(F.col("person_ref").isNotNull()).groupBy(ID, F.col("person_ref").alias("pid")).agg(F.sum(F.col("amount").cast(MONEY)).alias("own_income"))
@@ -153,8 +153,9 @@ def kin_features(t: Tables) -> DataFrame:
     rows = person.join(kin.withColumn("kin", F.lit(True)), [ID, "pid"], "left").join(income, [ID, "pid"], "left")
     own = F.coalesce("own_income", F.lit(0))
     base = F.max(F.when(F.col("pid") == "1", F.col("worth")))
-    best = F.max(F.when(F.col("kin") & (own < 50_000) & (F.col("worth") > 0), F.col("worth")))
-    return rows.groupBy(ID).agg(F.coalesce(F.bool_or(F.col("kin") & F.col("major") & (own < 100_000)), F.lit(False)).alias("proxy"), F.when(base > 0, dbl(best) / dbl(base)).alias("kin_ratio"))
+    poor = F.col("kin") & (own < 50_000) & (F.col("worth") > 0)
+    best = F.max(F.when(poor, F.struct("worth", (-F.xxhash64("pid")).alias("h"), "pid")))  # the hash settles ties alike wherever rows lie
+    return rows.groupBy(ID).agg(F.coalesce(F.bool_or(F.col("kin") & F.col("major") & (own < 100_000)), F.lit(False)).alias("proxy"), F.when(base > 0, dbl(best["worth"]) / dbl(base)).alias("kin_ratio"), F.when(base > 0, best["pid"]).alias("kin_person"))
 
 
 ZERO = (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.values import bounded, dbl, number_label, points, rounded
+from ..functions.values import bounded, dbl, number_label, points, rounded, times_label
 from .features import ID
 
 HIT = "struct<seq:int,rule:string,category:string,severity:string,confidence:double,score:double>"
@@ -168,18 +168,22 @@ FIGURES = {
     "CR3": {"acquired": lambda: F.greatest("re_acquired", "vh_acquired"), "income": lambda: c("total_income")}, "CR4": {"purchases": lambda: c("re_mid_high") + c("vh_mid_high"), "income": lambda: c("total_income")},
     "CR6": {"home area": lambda: c("home_area"), "land area": lambda: c("land_area")}, "CR7": {"vehicles": lambda: c("n_vehicles"), "luxury": lambda: c("n_luxury"), "income": lambda: c("total_income")},
     "CR8": {"land area": lambda: c("land_area"), "machines": lambda: c("n_machines")}, "CR9": {"rentable": lambda: c("n_trade") + c("n_city_flats"), "rent income": lambda: c("rent_income")},
-    "CR10": {"hidden": lambda: c("n_hidden_major")}, "CR11": {}, "CR12": {"times": lambda: c("kin_ratio")}, "CR13": {"fields": lambda: c("re_no_info") + c("mon_no_info")},
+    "CR10": {"hidden": lambda: c("n_hidden_major")}, "CR11": {}, "CR12": {"times the declarant's": lambda: times_label(c("kin_ratio")), "held by": lambda: c("kin_person")}, "CR13": {"fields": lambda: c("re_no_info") + c("mon_no_info")},
     "CR16": {"income": lambda: c("total_income"), "assets": lambda: c("total_assets")}, "BR3": {"confidential fields": lambda: c("inc_conf") + c("mon_conf") + c("re_conf")},
 }
 
 
+#: Labels of figures that are texts already.
+TEXTS = ("times the declarant's", "held by")
+
+
 def titles() -> Column:
     return F.create_map(*[F.lit(x) for kv in fixed.RULE_TITLES.items() for x in kv])
 
 
 def line(rule: Column) -> Column:
     """``title (label figure, ...)`` of a rule, from the wide row; a figure that is missing shows as n/a."""
-    shown = {k: F.concat_ws(", ", *[F.concat(F.lit(f"{label} "), F.coalesce(number_label(f()), F.lit("n/a"))) for label, f in v.items()]) for k, v in FIGURES.items()}
+    shown = {k: F.concat_ws(", ", *[F.concat(F.lit(f"{label} "), F.coalesce(f() if label in TEXTS else number_label(f()), F.lit("n/a"))) for label, f in v.items()]) for k, v in FIGURES.items()}
     figures = F.create_map(*[x for k, v in shown.items() for x in (F.lit(k), v)])
     text = F.coalesce(F.try_element_at(figures, rule), F.lit(""))
     return F.concat(F.coalesce(F.try_element_at(titles(), rule), rule), F.when(text != "", F.concat(F.lit(" ("), text, F.lit(")"))).otherwise(F.lit("")))
@@ -204,6 +208,10 @@ def details(text: Column) -> Column:
     return F.coalesce(F.from_json(text, f"array<{HIT}>"), F.array().cast(f"array<{HIT}>"))
 
 
-def label_table(spark: SparkSession) -> DataFrame:
-    """(rule, title): the dimension table of the rules."""
-    return spark.range(1).select(F.explode(titles()).alias("rule", "title"))
+def label_table(df: DataFrame) -> DataFrame:
+    """(rule, title, logic, n): every rule with its texts and how many rows of ``df`` (as :func:`scored` gives them) it fired for."""
+    logic = F.create_map(*[F.lit(x) for kv in fixed.RULE_LOGIC.items() for x in kv])
+    hit = F.map_from_entries(F.transform("rules", lambda r: F.struct(r, F.lit(1))))
+    per = df.agg(*[F.coalesce(F.sum(F.try_element_at(hit, F.lit(rule))), F.lit(0)).alias(rule) for rule in fixed.RULE_TITLES])
+    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("n")) for rule in fixed.RULE_TITLES]))
+    return per.select(each.alias("x")).select("x.rule", F.element_at(titles(), F.col("x.rule")).alias("title"), F.element_at(logic, F.col("x.rule")).alias("logic"), "x.n")

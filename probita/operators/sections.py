@@ -159,7 +159,7 @@ def accounts(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def normalised(docs: DataFrame, dedupe_property: bool = False) -> Tables:
-    """All tables of parsed documents. Unreadable documents (null data) give no rows; see ``sources.raw.quarantined``."""
+    """All tables of parsed documents. Unreadable documents (null data) give no rows; the warehouse keeps them."""
     docs = docs.filter("data is not null")
     members = family(docs)
     return Tables(profile(docs), members, real_estate(docs, members, dedupe_property), vehicles(docs, members), incomes(docs), monetary(docs), accounts(docs, members))

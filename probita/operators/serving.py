@@ -87,7 +87,9 @@ def vehicle_groups(t: Tables) -> DataFrame:
 
 def ranked_persons(timelines: DataFrame, *, top: int = 20, min_score: float = 0.0) -> DataFrame:
     """Persons with two snapshots or more and at least ``min_score``, best first; rank from 1."""
-    some = timelines.filter((F.col("n_snapshots") >= 2) & (F.col("total_score") >= min_score)).orderBy(F.desc("total_score"), "user_declarant_id").limit(top)
+    from .timeline import explanation
+
+    some = timelines.withColumn("explanation", explanation()).filter((F.col("n_snapshots") >= 2) & (F.col("total_score") >= min_score)).orderBy(F.desc("total_score"), "user_declarant_id").limit(top)
     return some.withColumn("rank", F.row_number().over(W.orderBy(F.desc("total_score"), "user_declarant_id")))  # of ``top`` rows
 
 
@@ -97,15 +99,21 @@ def report(ranked: DataFrame, detailed: int = 5) -> str:
     lines = [f"{r.rank:>4}  {r.total_score:>6.2f}  {r.user_declarant_id}  {r.name}" for r in rows]
     for r in rows[:detailed]:
         lines += ["", f"{r.name} ({r.user_declarant_id}): {r.total_score:.2f} over {r.n_snapshots} years and {r.n_changes} changes"]
-        lines += [f"  - {rule}: {fixed.RULE_TITLES.get(rule, rule)}" for rule in r.triggered] or ["  - nothing detected"]
+        lines += [f"  {x}" for x in r.explanation.split("\n")]
     return "\n".join(lines)
 
 
 def recipients(t: Tables) -> DataFrame:
-    """(declaration_id, pos, recipient): who an income goes to, by the family's labels."""
-    from .sections import with_owner
-
-    return with_owner(t.incomes, t.family, "person_ref", "recipient").select(ID, "pos", "recipient")
+    """(declaration_id, pos, recipient): who an income goes to. Null, empty, "1" and "declarant" are the declarant; a member shows as
+    relation and full name, as far as known; an id that no member has as ``Person <id>``. Of a repeated member the first counts."""
+    blank = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    full, relation = F.concat_ws(" ", blank("lastname"), blank("firstname"), blank("middlename")), blank("relation")
+    shown = F.when(relation.isNotNull() & (full != ""), F.concat(relation, F.lit(" ("), full, F.lit(")"))).otherwise(F.coalesce(relation, F.nullif(full, F.lit(""))))
+    pos = F.col("pos") if "pos" in t.family.columns else F.lit(0)
+    members = t.family.filter(blank("member_id").isNotNull()).groupBy(ID, F.trim("member_id").alias("ref")).agg(F.min_by(F.coalesce(shown, F.lit("")), pos).alias("shown"))
+    rows = t.incomes.select(ID, "pos", F.trim(F.coalesce("person_ref", F.lit(""))).alias("ref")).join(members, [ID, "ref"], "left")
+    own = (F.col("ref") == "") | (F.col("ref") == "1") | (F.lower("ref") == "declarant")
+    return rows.select(ID, "pos", F.when(own, "Declarant").otherwise(F.coalesce(F.nullif("shown", F.lit("")), F.concat(F.lit("Person "), F.col("ref")))).alias("recipient"))
 
 
 def page_count(total: int, limit: int = 50) -> int:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.values import MONEY, bounded, dbl, estate_fingerprint, growth, ratio, rounded, vehicle_fingerprint
+from ..functions import fixed
+from ..functions.values import MONEY, bounded, dbl, estate_fingerprint, growth, number_label, ratio, rounded, times_label, vehicle_fingerprint
 from .features import ID
 from .tables import Tables
 
@@ -123,3 +124,25 @@ def timelines(df: DataFrame, t: Tables, once=lambda snaps: snaps) -> DataFrame:
     corruption = sum((F.col(k) for k in ORDER if k not in ("BR1", "BR2")), F.lit(0.0))
     fired = F.filter(F.array(*[F.when(F.col(k) > 0, F.lit(k)) for k in ORDER]), lambda x: x.isNotNull())
     return out.withColumns({"corruption_risk_score": rounded(corruption, 3), "opacity_evasion_score": rounded(opacity, 3), "total_score": bounded(corruption + 0.5 * opacity), "triggered": fired})
+
+
+#: Rule -> what it compared: label, column, whether it is a number of times.
+FIGURES = {
+    "yoy_income_change": (("largest change of income, times", "max_income_ratio", True),), "yoy_asset_growth": (("largest change of monetary assets, times", "max_monetary_ratio", True),),
+    "foreign_cash_jump": (("largest growth of cash", "max_cash_delta", False),), "CR15": (("real estate over mean income, times", "estate_ratio", True),),
+    "BR1": (("declarations", "max_declarations", False), ("in", "worst_year", None)),
+}
+NOTHING = "No anomalies over time detected by the rules."
+
+
+def line(rule: str) -> Column:
+    """``title (label figure, ...)`` of a rule, from a row of :func:`timelines`; a figure that is missing shows as n/a."""
+    shape = {True: times_label, False: number_label, None: lambda x: x.cast("string")}
+    shown = [F.concat(F.lit(f"{label} "), F.coalesce(shape[kind](F.col(name)), F.lit("n/a"))) for label, name, kind in FIGURES.get(rule, ())]
+    text = F.concat(F.lit(f"- {rule}: {fixed.RULE_TITLES[rule]}"), F.lit(" (") if shown else F.lit(""), F.concat_ws(", ", *shown), F.lit(")") if shown else F.lit(""))
+    return F.when(F.array_contains("triggered", rule), text)
+
+
+def explanation() -> Column:
+    """A line for each rule over the years that fired, with its figures, in the rules' order."""
+    return F.coalesce(F.nullif(F.concat_ws("\n", *[line(rule) for rule in ORDER]), F.lit("")), F.lit(NOTHING))

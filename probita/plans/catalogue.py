@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import values as V
-from ..operators import cohorts, features, rules, sections, serving, timeline
+from ..operators import cohorts, features, rules, search, sections, serving, timeline
 from ..operators.features import ID
+from ..operators.paging import Listing
 from . import adapter
-from .stage import materialized
+from .stage import folder, materialized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,9 +127,10 @@ worths AS (SELECT declaration_id, pid, sum(worth) AS worth, bool_or(major) AS ma
      CAST(percent_ownership AS DECIMAL(12,4)) >= 99 AND ({HOME} OR coalesce(cost_assessment >= 500000, false)) AS major FROM real_estate
    UNION ALL SELECT declaration_id, person_ref, {UAH} * 100, coalesce({UAH} >= 500000, false) FROM monetary) GROUP BY 1, 2),
 kins AS (SELECT w.declaration_id, coalesce(bool_or(k.member_id IS NOT NULL AND major AND coalesce(own, 0) < 100000), false) AS proxy,
-   CASE WHEN max(worth) FILTER (WHERE w.pid = '1') > 0 THEN CAST(max(worth) FILTER (WHERE k.member_id IS NOT NULL AND coalesce(own, 0) < 50000 AND worth > 0) AS DOUBLE) / CAST(max(worth) FILTER (WHERE w.pid = '1') AS DOUBLE) END AS kin_ratio
+   CASE WHEN max(worth) FILTER (WHERE w.pid = '1') > 0 THEN CAST(max(worth) FILTER (WHERE k.member_id IS NOT NULL AND coalesce(own, 0) < 50000 AND worth > 0) AS DOUBLE) / CAST(max(worth) FILTER (WHERE w.pid = '1') AS DOUBLE) END AS kin_ratio,
+   CASE WHEN max(worth) FILTER (WHERE w.pid = '1') > 0 THEN arg_max(w.pid, worth) FILTER (WHERE k.member_id IS NOT NULL AND coalesce(own, 0) < 50000 AND worth > 0) END AS kin_person
    FROM worths w LEFT JOIN kin k ON k.declaration_id = w.declaration_id AND k.member_id = w.pid LEFT JOIN pinc i ON i.declaration_id = w.declaration_id AND i.pid = w.pid GROUP BY 1),
-feat0 AS MATERIALIZED (SELECT p.*, inc.* EXCLUDE (declaration_id), mon.* EXCLUDE (declaration_id), est.* EXCLUDE (declaration_id), veh.* EXCLUDE (declaration_id), acc.* EXCLUDE (declaration_id), fam.* EXCLUDE (declaration_id), n_share_issues, coalesce(proxy, false) AS proxy, kin_ratio
+feat0 AS MATERIALIZED (SELECT p.*, inc.* EXCLUDE (declaration_id), mon.* EXCLUDE (declaration_id), est.* EXCLUDE (declaration_id), veh.* EXCLUDE (declaration_id), acc.* EXCLUDE (declaration_id), fam.* EXCLUDE (declaration_id), n_share_issues, coalesce(proxy, false) AS proxy, kin_ratio, kin_person
   FROM profile p LEFT JOIN inc USING (declaration_id) LEFT JOIN mon USING (declaration_id) LEFT JOIN est USING (declaration_id) LEFT JOIN veh USING (declaration_id) LEFT JOIN acc USING (declaration_id) LEFT JOIN fam USING (declaration_id) LEFT JOIN shr USING (declaration_id) LEFT JOIN kins USING (declaration_id)),
 feat1 AS (SELECT declaration_id, user_declarant_id, declaration_year, declaration_type, post_type, firstname, lastname, middlename, work_post, work_place, lower(trim(country)) AS land, estate_na,
   CAST(total_income AS DOUBLE) AS income, CAST(CASE WHEN estate_cost IS NULL AND monetary_uah IS NULL THEN NULL ELSE coalesce(estate_cost,0) + coalesce(monetary_uah,0) END AS DOUBLE) AS assets, CAST(cash AS DOUBLE) AS cash, CAST(bank AS DOUBLE) AS bank, CAST(other AS DOUBLE) AS other,
@@ -425,15 +427,14 @@ mny AS (SELECT declaration_id, CAST(CASE WHEN nullif(cash, 0) IS NOT NULL OR nul
   CAST(CASE WHEN nullif(cash, 0) IS NOT NULL OR nullif(bank, 0) IS NOT NULL THEN coalesce(cash, 0) + coalesce(bank, 0) ELSE CAST(monetary_raw AS DECIMAL(38,6)) END AS DECIMAL(38,6)) AS md, CAST(estate_cost AS DECIMAL(38,6)) AS ed FROM feat0),
 snap AS MATERIALIZED (SELECT declaration_id, user_declarant_id, declaration_year AS year, declaration_type AS type, nullif(income, 0) AS income, c0 AS cash, b0 AS bank, mm AS monetary, e0 AS estate, CAST(CASE WHEN e0 IS NOT NULL THEN coalesce(md, CAST(0 AS DECIMAL(38,6))) + ed ELSE md END AS DOUBLE) AS assets,
   n_incomes, n_monetary, n_estate, n_vehicles, unknown_share, work_post AS role, oo AS one_off FROM snap0 JOIN mny USING (declaration_id) QUALIFY row_number() OVER (PARTITION BY user_declarant_id, declaration_year ORDER BY n_incomes DESC, declaration_id) = 1),
-ann AS MATERIALIZED (SELECT *, lag(declaration_id) OVER w AS pid, lag(year) OVER w AS pyear, lag(income) OVER w AS pinc, lag(cash) OVER w AS pcash, lag(monetary) OVER w AS pmon, lag(assets) OVER w AS pass, lag(unknown_share) OVER w AS pshare, lag(role) OVER w AS prole FROM snap WHERE type = 1 WINDOW w AS (PARTITION BY user_declarant_id ORDER BY year)),
-owned AS MATERIALIZED (SELECT a.declaration_id, pid, fingerprint, value FROM ann a JOIN maj m USING (declaration_id)),
-kept AS MATERIALIZED (SELECT a.declaration_id, m.fingerprint, m.value FROM ann a JOIN maj m ON m.declaration_id = a.pid),
-app AS (SELECT o.declaration_id, count(*) AS n, max(o.value) AS v FROM owned o LEFT JOIN kept k ON k.declaration_id = o.declaration_id AND k.fingerprint = o.fingerprint WHERE o.pid IS NOT NULL AND k.declaration_id IS NULL GROUP BY 1),
-dis AS (SELECT k.declaration_id, count(*) AS n, max(k.value) AS v FROM kept k LEFT JOIN owned o ON o.declaration_id = k.declaration_id AND o.fingerprint = k.fingerprint WHERE o.declaration_id IS NULL GROUP BY 1),
+majl AS (SELECT declaration_id, list(struct_pack(f := fingerprint, v := value)) AS m, list(fingerprint) AS fs FROM maj GROUP BY 1),
+ann AS (SELECT s.*, coalesce(m, []) AS m, coalesce(fs, []) AS fs, lag(declaration_id) OVER w AS pid, lag(year) OVER w AS pyear, lag(income) OVER w AS pinc, lag(cash) OVER w AS pcash, lag(monetary) OVER w AS pmon, lag(assets) OVER w AS pass, lag(unknown_share) OVER w AS pshare, lag(role) OVER w AS prole,
+  lag(coalesce(m, [])) OVER w AS pm, lag(coalesce(fs, [])) OVER w AS pfs FROM snap s LEFT JOIN majl USING (declaration_id) WHERE type = 1 WINDOW w AS (PARTITION BY user_declarant_id ORDER BY year)),
+dif AS (SELECT *, list_filter(m, lambda x: NOT list_contains(pfs, x.f)) AS app, list_filter(pm, lambda x: NOT list_contains(fs, x.f)) AS dis FROM ann WHERE pid IS NOT NULL),
 chg AS (SELECT a.user_declarant_id, pyear AS from_year, year AS to_year, pinc, income AS inc, income - pinc AS income_delta, CASE WHEN pinc <> 0 THEN income / pinc END AS income_ratio, CASE WHEN pinc > 0 THEN (income - pinc) / pinc END AS income_growth,
   pmon, monetary AS mon_now, monetary - pmon AS monetary_delta, CASE WHEN pmon <> 0 THEN monetary / pmon END AS monetary_ratio, cash - pcash AS cash_delta, CASE WHEN pass > 0 THEN (assets - pass) / pass END AS asset_growth,
-  unknown_share - pshare AS share_delta, unknown_share AS share_now, (lower(role) <> lower(prole) AND role <> '' AND prole <> '') AS role_changed, coalesce(app.n, 0) AS n_appeared, coalesce(dis.n, 0) AS n_left, CAST(coalesce(app.v, 0) AS DOUBLE) AS max_appeared, CAST(coalesce(dis.v, 0) AS DOUBLE) AS max_left, one_off
-  FROM ann a LEFT JOIN app USING (declaration_id) LEFT JOIN dis USING (declaration_id) WHERE pid IS NOT NULL)
+  unknown_share - pshare AS share_delta, unknown_share AS share_now, (lower(role) <> lower(prole) AND role <> '' AND prole <> '') AS role_changed, len(app) AS n_appeared, len(dis) AS n_left, CAST(coalesce(list_max(list_transform(app, lambda x: x.v)), 0) AS DOUBLE) AS max_appeared, CAST(coalesce(list_max(list_transform(dis, lambda x: x.v)), 0) AS DOUBLE) AS max_left, one_off
+  FROM dif a)
 """
 
 
@@ -704,9 +705,13 @@ def _(c):
 # ---- labels and texts of results ------------------------------------------------------------------------------------
 
 
-@query("rule_labels", "SELECT unnest([" + ", ".join(f"'{k}'" for k in fixed.RULE_TITLES) + "]) AS rule, unnest([" + ", ".join(f"'{v}'" for v in fixed.RULE_TITLES.values()) + "]) AS title")
+def _texts(name: str, values: dict[str, str]) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+
+
+@query("rule_labels", with_scores(f"SELECT r.rule, {_texts('r.rule', fixed.RULE_TITLES)} AS title, {_texts('r.rule', fixed.RULE_LOGIC)} AS logic, count(s.rule) AS n FROM (SELECT unnest([" + ", ".join(f"'{k}'" for k in fixed.RULE_TITLES) + "]) AS rule) r LEFT JOIN (SELECT unnest(string_split(rules, ',')) AS rule FROM scored WHERE rules <> '') s USING (rule) GROUP BY 1"))
 def _(c):
-    return rules.label_table(c.spark)
+    return rules.label_table(c.scored)
 
 
 @query("rule_distribution_labelled", with_scores("SELECT rule, CASE rule " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.RULE_TITLES.items()) + " END AS title, count(*) AS n FROM (SELECT unnest(string_split(rules, ',')) AS rule FROM scored WHERE rules <> '') GROUP BY 1, 2"))
@@ -760,11 +765,36 @@ def _(c):
     return c.scored.select(ID, rules.explanation(some).alias("explanation"))
 
 
-@query("income_recipients", f"WITH {adapter.prelude()} SELECT i.declaration_id, i.pos, CASE WHEN f.member_id IS NOT NULL THEN f.relation || ' (' || f.firstname || ' ' || f.lastname || ')' WHEN person_ref = '1' THEN 'declarant' WHEN person_ref = 'j' THEN 'third_party' ELSE 'unknown:' || person_ref END AS recipient FROM incomes i LEFT JOIN family f ON f.declaration_id = i.declaration_id AND f.member_id = i.person_ref")
+@query("income_recipients", f"""WITH {adapter.prelude()} SELECT i.declaration_id, i.pos, CASE WHEN trim(coalesce(person_ref, '')) IN ('', '1') OR lower(trim(person_ref)) = 'declarant' THEN 'Declarant'
+  WHEN f.member_id IS NOT NULL THEN f.relation || ' (' || f.lastname || ' ' || f.firstname || ')' ELSE 'Person ' || trim(person_ref) END AS recipient FROM incomes i LEFT JOIN family f ON f.declaration_id = i.declaration_id AND f.member_id = i.person_ref""")
 def _(c):
     return serving.recipients(c.t)
 
 
+@query("cr12_person", with_feat("SELECT declaration_id, kin_person, kin_ratio FROM feat0 WHERE kin_ratio >= 2"))
+def _(c):
+    return features.wide(c.t, "kin").filter("kin_ratio >= 2").select(ID, "kin_person", "kin_ratio")
+
+
+def _timeline_lines() -> str:
+    shown = {
+        "yoy_income_change": "' (largest change of income, times ' || coalesce(format('{:.1f}x', mir), 'n/a') || ')'", "yoy_asset_growth": "' (largest change of monetary assets, times ' || coalesce(format('{:.1f}x', mmr), 'n/a') || ')'",
+        "foreign_cash_jump": "' (largest growth of cash ' || coalesce(format('{:,}', CAST(round_even(mcd, 0) AS BIGINT)), 'n/a') || ')'", "CR15": "' (real estate over mean income, times ' || coalesce(format('{:.1f}x', estate_ratio), 'n/a') || ')'",
+        "BR1": "' (declarations ' || mx || ', in ' || wy || ')'",
+    }
+    return ", ".join(f"CASE WHEN {k} > 0 THEN '- {k}: {fixed.RULE_TITLES[k]}' || {shown.get(k, chr(39) * 2)} END" for k in timeline.ORDER)
+
+
+FIGS = """, figs AS (SELECT user_declarant_id, max(income_ratio) AS mir, max(monetary_ratio) AS mmr, max(cash_delta) FILTER (WHERE cash_delta > 0) AS mcd FROM chs GROUP BY 1),
+wys AS (SELECT user_declarant_id, max(n) AS mx, arg_max(declaration_year, n * 10000 - declaration_year) AS wy FROM (SELECT user_declarant_id, declaration_year, count(*) AS n FROM profile GROUP BY 1, 2) GROUP BY 1)
+"""
+
+
+@query("timeline_explanations", with_feat(f"SELECT user_declarant_id, coalesce(nullif(concat_ws(chr(10), {_timeline_lines()}), ''), '{timeline.NOTHING}') AS explanation FROM tl LEFT JOIN figs USING (user_declarant_id) LEFT JOIN wys USING (user_declarant_id) LEFT JOIN thr USING (user_declarant_id)", TIMES + FIGS))
+def _(c):
+    return c.timelines().select("user_declarant_id", timeline.explanation().alias("explanation"))
+
+
 @query("timeline_names", f"WITH {adapter.prelude()} SELECT user_declarant_id, arg_min(firstname || ' ' || lastname, (-declaration_year, declaration_id)) AS name FROM profile GROUP BY 1")
 def _(c):
     return timeline.names(c.t.profile)
@@ -798,3 +828,56 @@ cb1 AS (SELECT *, cor2 + 0.5 * CASE WHEN cor2 <= 0 AND opa2 > 0 THEN least(opa2,
 def _(c):
     df = rules.scored(rules.declaration_hits(cohorts.with_cuts(c.wide_once), with_cohort=True))
     return df.select(ID, "total_score", "corruption_risk_score", F.array_contains("rules", "CR16").alias("outlier"), F.array_contains("rules", "BR3").alias("dense"))
+
+
+# ---- the same from a warehouse that batches have brought up to date ----------------------------------------------------
+
+
+def _in_batches(c: Context):
+    """An engine over a warehouse that took all declarations in two batches: the first has older versions of every fifth person's, with
+    other incomes and without real estate, the second these again and all from 1996 on."""
+    from ..operators.tables import Tables
+    from .engine import Engine
+    from .warehouse import Warehouse
+
+    old, again = F.col("declaration_year") < 1996, F.col("user_declarant_id") % 5 == 0
+
+    def some(which: Column, stale: bool) -> Tables:
+        profile = c.t_once.profile.filter(which)
+        ids = profile.select(ID, (F.col("user_declarant_id") % 5 == 0).alias("_stale"))
+        rest = {n: getattr(c.t_once, n).join(ids, ID) for n in Tables.__dataclass_fields__ if n != "profile"}
+        if stale:
+            rest["incomes"] = rest["incomes"].withColumn("amount", F.when(F.col("_stale"), (F.col("amount") * 3 + 1).cast("decimal(18,2)")).otherwise(F.col("amount")))
+            rest["real_estate"] = rest["real_estate"].filter("not _stale")
+        return Tables(profile=profile, **{n: df.drop("_stale") for n, df in rest.items()})
+
+    root = folder(c.spark, "warehouse")
+    house = Warehouse(c.spark, root)
+    house.apply_tables(some(old | again, True), 0)
+    house.apply_tables(some(~old | again, False), 1)
+    return Engine.open(c.spark, root)
+
+
+@query("stored_timelines", SQL["timeline_score"])
+def _(c):
+    return _in_batches(c).timelines.select("user_declarant_id", "n_snapshots", "n_changes", "corruption_risk_score", "opacity_evasion_score", "total_score")
+
+
+@query("stored_combined_score", SQL["combined_score"])
+def _(c):
+    return _in_batches(c).scores.select(ID, "total_score", "corruption_risk_score", F.array_contains("rules", "CR16").alias("outlier"), F.array_contains("rules", "BR3").alias("dense"))
+
+
+@query("search_by_trigrams", SQL["list_search_text"])
+def _(c):
+    want = search.needed("7 CUSTOMER", wildcard=False)
+    found = search.postings(c.t_once.profile).filter(F.col("gram").isin(want))
+    rows = features.wide(c.t_once).join(search.candidates(found, len(want)), ID, "left_semi")
+    return serving.filtered(rules.scored(rules.declaration_hits(rows)), query="7 CUSTOMER", wildcard=False).select(ID, "total_score")
+
+
+@query("list_page_ranges", SQL["list_page"])
+def _(c):
+    listing = Listing.write(c.scored, folder(c.spark, "listing"), "assets", rows_a_range=1000)
+    got = listing.page(limit=25, offset=100)
+    return got.select(ID, "total_score", V.dbl(F.col("total_income")).alias("income"), V.dbl(F.col("total_assets")).alias("assets"))

@@ -1,4 +1,4 @@
-"""Raw documents and tables at rest: scans, idempotent sinks, upserts, quarantine and exports."""
+"""Raw documents at rest: scans, an idempotent store by filing year, and exports. Keyed tables are in ``lake``."""
 
 from __future__ import annotations
 
@@ -35,11 +35,6 @@ def documents(spark: SparkSession, base: str, year: int | None = None) -> DataFr
     return parsed(scan(spark, base, year))
 
 
-def quarantined(docs: DataFrame) -> DataFrame:
-    """Documents that could not be read."""
-    return docs.filter("data is null")
-
-
 def store(raw: DataFrame, base: str, overwrite: bool = False, count: bool = False) -> DataFrame | int:
     """Append documents (``value``) as a table partitioned by filing year, each id once; ids that are there stay unless
     ``overwrite``. Returns what was written, or with ``count`` how many (counted before the write)."""
@@ -93,18 +88,6 @@ def _swap(df: DataFrame, base: str, by: list[str]) -> None:
     fs.delete(old, True)
 
 
-def upsert(new: DataFrame, base: str, key: str = "declaration_id", ids: DataFrame | None = None) -> None:
-    """All rows of the keys in ``ids`` (else of those in ``new``) are replaced: delete by key, then insert."""
-    spark = new.sparkSession
-    recovered(spark, base)
-    fs, now, _, _ = _files(spark, base)
-    if not fs.exists(now):
-        new.write.parquet(base)
-        return
-    old = spark.read.schema(new.schema).parquet(base)
-    _swap(old.join((ids or new).select(key).distinct(), key, "left_anti").unionByName(new), base, [])
-
-
 def has_rows(spark: SparkSession, base: str) -> bool:
     """Existence probe; anything that can't be read counts as empty."""
     try:
@@ -126,6 +109,11 @@ def as_text(df: DataFrame) -> list[Column]:
     return [(F.to_json(f.name) if isinstance(f.dataType, nested) else F.col(f.name).cast("string")).alias(f.name) for f in df.schema.fields]
 
 
+def export_table(df: DataFrame, path: str) -> None:
+    """Any table as CSV with a header."""
+    df.select(*as_text(df)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def export_csv(scored: DataFrame, path: str) -> None:
     """Ranked scores with a header; rules joined by ", ", explanations with their figures. Parts have no byte order mark; see :func:`export_single_csv`."""
     from ..operators.rules import explanation

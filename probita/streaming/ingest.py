@@ -1,7 +1,7 @@
-"""Incremental ingestion: a file stream of documents, upserted by id, with the checkpoint as the crawl's state.
+"""Incremental ingestion: a file stream of documents into the warehouse, with the checkpoint as the crawl's state.
 
-Each run takes what is new (``availableNow``) and stops; a restarted run goes on after the last committed batch, and a
-batch that is repeated replaces the same ids again, so the tables end up the same.
+Each run takes what is new (``availableNow``) and stops; a restarted run goes on after the last committed batch. A micro-batch is one
+commit over all tables under its number, so one that is repeated after a crash is in once, whole.
 """
 
 from __future__ import annotations
@@ -9,28 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sections import normalised, parsed
-from ..sources.raw import quarantined, upsert
-
-RELATIONS = ("profile", "family", "real_estate", "vehicles", "incomes", "monetary", "accounts")
+from ..plans.warehouse import Warehouse
 
 
 def stream(spark: SparkSession, base: str, max_files: int = 1000) -> DataFrame:
-    return spark.readStream.format("text").schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*declaration_*.json").option("maxFilesPerTrigger", max_files).load(base)
-
-
-def write_batch(batch: DataFrame, out: str, number: int) -> None:
-    docs = parsed(batch).dropDuplicates(["declaration_id"]).persist()
-    t = normalised(docs)
-    for name in RELATIONS:
-        upsert(getattr(t, name), f"{out}/{name}", ids=t.profile.select("declaration_id"))  # also for documents without rows now
-    # a folder per batch, which a repeated batch writes again
-    quarantined(docs).select("declaration_id").write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
-    docs.groupBy().agg(F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("data").isNotNull()).alias("saved")).write.mode("overwrite").parquet(f"{out}/metrics/batch={number}")
-    docs.unpersist()
+    rows = spark.readStream.format("text").schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*declaration_*.json").option("maxFilesPerTrigger", max_files).load(base)
+    return rows.select("value", F.col("_metadata.file_path").alias("path"))
 
 
-def ingest(spark: SparkSession, base: str, out: str, checkpoint: str, max_files: int = 1000) -> None:
-    """Take all files not seen yet, then return."""
-    q = stream(spark, base, max_files).writeStream.foreachBatch(lambda df, n: write_batch(df, out, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest(spark: SparkSession, base: str, out: str, checkpoint: str, max_files: int = 1000) -> Warehouse:
+    """Take all files not seen yet into the warehouse at ``out``, then return."""
+    house = Warehouse(spark, out)
+    q = stream(spark, base, max_files).writeStream.foreachBatch(lambda df, n: house.apply(df, n) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return house

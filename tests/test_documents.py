@@ -75,24 +75,32 @@ def test_store_is_idempotent(spark, tmp_path):
 
 
 def test_swap_survives_a_crash(spark, tmp_path):
-    """A table moved aside by a swap that was cut off comes back before it is read or written."""
-    base = f"file://{tmp_path}/t"
-    rows = spark.createDataFrame([("a", 1), ("b", 2)], "declaration_id string, n int")
-    raw.upsert(rows, base)
-    (tmp_path / "t").rename(tmp_path / "t__old")
-    raw.upsert(rows.filter("n = 1").withColumn("n", rows.n + 10), base)
-    assert sorted(map(tuple, spark.read.parquet(base).collect())) == [("a", 11), ("b", 2)] and not (tmp_path / "t__old").exists()
+    """A store moved aside by a swap that was cut off comes back before it is read or written."""
+    base = f"file://{tmp_path}/store"
+    raw.store(spark.createDataFrame([(json.dumps(DOC),)], "value string"), base)
+    (tmp_path / "store").rename(tmp_path / "store__old")
+    raw.store(spark.createDataFrame([(json.dumps(DOC | {"id": "b"}),)], "value string"), base, overwrite=True)
+    assert sorted(r.declaration_id for r in raw.stored(spark, base).collect()) == ["b", "fx-001"] and not (tmp_path / "store__old").exists()
+
+
+def test_text_sink(spark, tmp_path):
+    """Typed and nested columns as texts."""
+    rows = spark.createDataFrame([(1, 2.5, ["a", None], None), (2, None, [], (3, "x"))], "n int, v double, xs array<string>, s struct<a: int, b: string>")
+    raw.export_table(rows, f"file://{tmp_path}/t")
+    got = spark.read.option("header", True).csv(f"file://{tmp_path}/t").orderBy("n").collect()
+    assert [tuple(r) for r in got] == [("1", "2.5", '["a",null]', None), ("2", None, "[]", '{"a":3,"b":"x"}')]
 
 
-def test_repeated_batches_leave_the_tables_alike(spark, tmp_path):
-    from probita.streaming.ingest import write_batch
+def test_years_through_the_front(spark, tmp_path):
+    """Only the folder of a year is read: a document of another year there that can't be read doesn't matter."""
+    from probita.plans.engine import Engine
 
-    batch = spark.createDataFrame([(json.dumps(DOC),), ("{oops",)], "value string")
-    for _ in range(2):
-        write_batch(batch, f"file://{tmp_path}/out", 3)
-    for name, n in (("profile", 1), ("quarantine", 1), ("metrics", 1)):
-        assert spark.read.parquet(f"file://{tmp_path}/out/{name}").count() == n
-    assert spark.read.parquet(f"file://{tmp_path}/out/metrics").first().batch == 3
+    for year in (2023, 2024):
+        (tmp_path / str(year)).mkdir()
+        (tmp_path / str(year) / "declaration_1.json").write_text(json.dumps(DOC | {"id": f"y{year}", "declaration_year": year}))
+    e = Engine.from_documents(spark, str(tmp_path), 2023)
+    assert [r.declaration_id for r in e.tables.profile.collect()] == ["y2023"]
+    assert all("/2023/" in f for f in raw.scan(spark, str(tmp_path), 2023).inputFiles())
 
 
 def test_documents_in_order_of_paths(spark, tmp_path):
@@ -126,10 +134,11 @@ def test_stream_equals_batch(spark, tmp_path):
     out, mark = f"file://{tmp_path}/out", f"file://{tmp_path}/ckpt"
     ingest(spark, str(tmp_path / "raw"), out, mark)
     (src / "declaration_9.json").write_text(json.dumps(DOC | {"id": "x0", "declaration_year": 2023}))
-    ingest(spark, str(tmp_path / "raw"), out, mark)
-    assert spark.read.parquet(f"{out}/profile").count() == 3 and spark.read.parquet(f"{out}/real_estate").count() == 6
-    assert spark.read.parquet(f"{out}/profile").filter("declaration_year = 2023").count() == 1
-    assert spark.read.parquet(f"{out}/quarantine").count() == 1
+    state = ingest(spark, str(tmp_path / "raw"), out, mark).lake.current()
+    assert state.read("profile").count() == 3 and state.read("real_estate").count() == 6
+    assert state.read("profile").filter("declaration_year = 2023").count() == 1
+    bad = state.read("quarantine").collect()
+    assert [(r.value, r.reason, r.path.rsplit("/", 1)[1]) for r in bad] == [("{oops", "unreadable", "declaration_bad.json")]
     assert raw.documents(spark, str(tmp_path / "raw"), 2024).count() == 5 and raw.scan(spark, str(tmp_path / "none")).count() == 0
 
 
@@ -163,34 +172,6 @@ def test_client_errors_are_not_tried_again():
             assert len(calls) == n
 
 
-def test_crawl_resumes(spark, tmp_path):
-    """Stops at max_docs, goes on with the next page, counts what is new, and refuses another year's state."""
-    import pytest
-
-    from probita.sources.crawl import State, counters, crawl
-
-    asked = []
-
-    def fetch(url, params):
-        if url.endswith("/list"):
-            asked.append(params["page"])
-            return {"data": [{"id": f"d{params['page']}-{i}"} for i in range(100 if params["page"] < 3 else 2)]}
-        if url.endswith("d2-7"):
-            raise OSError("down")
-        return DOC | {"id": url.rsplit("/", 1)[1]}
-
-    base, state = f"file://{tmp_path}/store", str(tmp_path / "state.json")
-    one = crawl(spark, fetch, "u", 2024, base, state, max_docs=50, pause=0)
-    assert (one.last_page, one.fetched, one.saved, one.completed) == (1, 100, 100, False)
-    two = crawl(spark, fetch, "u", 2024, base, state, pause=0)
-    assert asked == [1, 2, 3] and (two.fetched, two.saved, two.skipped, two.failed, two.completed) == (201, 201, 0, ["d2-7"], True)
-    again = crawl(spark, fetch, "u", 2024, base, state, max_docs=1, pause=0)
-    assert (again.fetched, again.saved, again.skipped) == (100, 0, 100) and raw.stored(spark, base).count() == 201
-    assert counters(spark, again).first().skipped == 100
-    with pytest.raises(ValueError):
-        State.load(tmp_path / "state.json", 2023)
-
-
 def person(spark, *years):
     return normalised(docs(spark, *[doc_year(*y) for y in years]))
 
