@@ -10,8 +10,8 @@ never entered again: the time is linear in the piece, whatever it repeats.
 The automaton stands on two properties of the ranks, which ``checked`` tests: all 256 bytes are tokens, and each longer
 token is what the merges make of its bytes, from two tokens of lower rank.
 
-White space and what follows it up to the next white space is encoded once and remembered, in two generations of bounded
-size. Characters that are newer than this Python's Unicode tables are put to the library itself, as is their class.
+Chunks (a space and what follows it up to the next white space) and pieces are encoded once and remembered, in two
+generations of bounded size. Characters that are newer than this Python's Unicode tables are put to the library itself, as is their class.
 
 Defined results: a null or empty text has no ids; null ids of rows are carried; repeated rows each get a row; null ids of
 tokens decode to null; no rows of none. Texts are taken whole, one at a time.
@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,11 @@ from .common import fresh, table
 from .packing import Recent
 
 #: White space of the pattern: 25 characters.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-CHUNKS, PIECES, PAIRS, LONG, BATCH_BYTES = 250_000, 250_000, 500_000, 200, 8_000_000
+KNOWN, PAIRS, LONG, BATCH_BYTES = 350_000, 250_000, 200, 8_000_000
+#: The first character that Unicode has left unassigned.
+FIRST_FREE = "\u0378"
 _CACHE: dict = {}
 
 
@@ -47,12 +50,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merged(ranks: dict[bytes, int], data: bytes, least: int = 1) -> list[bytes]:
     """The merges by their definition, down to ``least`` parts: the leftmost pair of lowest rank first. For short data."""
-    parts = [data[i : i + 1] for i in range(len(data))]
+    parts, none = [data[i : i + 1] for i in range(len(data))], len(ranks)
+    known = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
     while len(parts) > least:
-        rank, i = min((ranks.get(a + b, len(ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == len(ranks):
+        rank = min(known)
+        if rank == none:
             break
+        i = known.index(rank)
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del known[i]
+        if i:
+            known[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        if i < len(known):
+            known[i] = ranks.get(parts[i] + parts[i + 1], none)
     return parts
 
 
@@ -80,10 +90,15 @@ def _unassigned() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
 
 
+def pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Bpe:
     """Ids of a text as little-endian unsigned 32-bit bytes, and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, chunks: int = CHUNKS, pieces: int = PIECES, pairs: int = PAIRS):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: int = KNOWN, pairs: int = PAIRS):
         import ahocorasick
         import regex
 
@@ -96,7 +111,7 @@ class Bpe:
         self.automaton.make_automaton()
         self.pattern, self.cut, self.newer = pattern, regex.compile(pattern), _unassigned()
         self.classes = Recent(10_000, self._stand_in)
-        self.pairs, self.pieces, self.chunks = Recent(pairs, self._compatible), Recent(pieces, self._piece), Recent(chunks, self._chunk)
+        self.pairs, self.known = Recent(pairs, self._compatible), Recent(known, self._chunk)
 
     def _compatible(self, pair: int) -> bool:
         a, b = (self.tokens[i] for i in divmod(pair, len(self.tokens)))
@@ -125,7 +140,7 @@ class Bpe:
     def _piece(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.ranks.get(data)
-        return np.array(self.backtracked(data) if whole is None else [whole], "<u4").tobytes()
+        return pack(self.backtracked(data) if whole is None else [whole])
 
     def _stand_in(self, char: str) -> str:
         """An older character of the same class (letter, number, other), as the library cuts it: a token of the whole shows it."""
@@ -137,19 +152,25 @@ class Bpe:
                 return old
         return " "
 
+    def _pieces(self, chunk: str) -> list[str]:
+        if max(chunk) < FIRST_FREE or not self.newer.search(chunk):
+            return self.cut.findall(chunk)
+        known = self.newer.sub(lambda m: self.classes[m[0]], chunk)
+        return [chunk[m.start() : m.end()] for m in self.cut.finditer(known)]
+
     def _chunk(self, chunk: str) -> bytes:
-        if self.newer.search(chunk):
-            known = self.newer.sub(lambda m: self.classes[m[0]], chunk)
-            pieces = [chunk[m.start() : m.end()] for m in self.cut.finditer(known)]
-        else:
-            pieces = self.cut.findall(chunk)
-        return b"".join(self.pieces[p] if len(p) <= LONG else self._piece(p) for p in pieces)
+        """Chunks and their pieces are remembered in one place: a chunk of one piece is that piece."""
+        pieces = self._pieces(chunk)
+        if len(pieces) == 1:
+            return self._piece(chunk)
+        return b"".join(self.known[p] if len(p) <= LONG else self._piece(p) for p in pieces)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self.chunks[c] if len(c) <= LONG else self._chunk(c) for c in CHUNK.findall(text))
+        return b"".join(self.known[c] if len(c) <= LONG else self._chunk(c) for c in CHUNK.findall(text))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+def decoded_bytes(tokens: list[bytes], ids: bytes) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def bpe(path: str) -> Bpe:
@@ -160,17 +181,26 @@ def bpe(path: str) -> Bpe:
     return _CACHE[path]
 
 
-def _mapped(df: DataFrame, path: str, source: str, name: str, change, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``df`` and a binary column ``name``: ``change(coder, value)`` of the column ``source``."""
+def tokens(path: str) -> list[bytes]:
+    """Each id's bytes; all that decoding needs."""
+    key = path, "tokens"
+    if key not in _CACHE:
+        ranks = read_ranks(path)
+        _CACHE[key] = sorted(ranks, key=ranks.get)
+    return _CACHE[key]
+
+
+def _mapped(df: DataFrame, tool: Callable[[], object], source: str, name: str, change: Callable, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``df`` and a binary column ``name``: ``change(tool(), value)`` of the column ``source``."""
     at = df.columns.index(source)
     schema = T.StructType([df.schema[c] for c in keep]).add(name, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path)
+        held = tool()
         for b in batches:
             made, start, size = [], 0, 0
             for i, value in enumerate(b.column(at)):
-                made.append(change(coder, value.as_py()))
+                made.append(change(held, value.as_py()))
                 size += len(made[-1] or b"")
                 if size >= BATCH_BYTES or i + 1 == b.num_rows:
                     part = b.select(keep).slice(start, len(made))
@@ -184,12 +214,12 @@ def encoded(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "
     """doc_id and ids (binary: little-endian unsigned 32-bit) of each row; the ranks in the file at ``path``."""
     checked(read_ranks(path))
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    return _mapped(rows, path, "text", "ids", lambda coder, t: coder.encode(t or ""), ["doc_id"])
+    return _mapped(rows, lambda: bpe(path), "text", "ids", lambda coder, t: coder.encode(t or ""), ["doc_id"])
 
 
 def decoded(df: DataFrame, path: str, *, ids: str = "ids", bytes_as: str = "bytes") -> DataFrame:
     """``df`` with the bytes that its ids stand for; an id that isn't in the vocabulary is an error."""
-    return _mapped(df, path, ids, fresh(df, bytes_as), lambda coder, i: None if i is None else coder.decode(bytes(i)), df.columns)
+    return _mapped(df, lambda: tokens(path), ids, fresh(df, bytes_as), lambda known, i: None if i is None else decoded_bytes(known, i), df.columns)
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
