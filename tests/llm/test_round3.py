@@ -32,11 +32,11 @@ def odd_texts():
 
 
 def test_backtracking_equals_the_library():
-    lib, coder = library(), bpe.Bpe(bpe.read_ranks(PATH), public_tokenizers.PATTERN, 50, 50, 50)  # small caches, which are turned over
+    lib, coder = library(), bpe.Bpe(bpe.read_ranks(PATH), public_tokenizers.PATTERN, 50, 50)  # small caches, which are turned over
     for t in odd_texts():
         ids = np.frombuffer(coder.encode(t or ""), "<u4").tolist()
         assert ids == lib.encode_ordinary(t or ""), repr(t)[:80]
-        assert coder.decode(np.array(ids, "<u4").tobytes()) == (t or "").encode()
+        assert bpe.decoded_bytes(coder.tokens, np.array(ids, "<u4").tobytes()) == (t or "").encode()
 
 
 def test_merges_of_any_bytes():
@@ -267,3 +267,32 @@ def test_audit_sql_equals_brute_force():
     rel = con.execute(audit.OP13_SQL)
     order = [[d[0] for d in rel.description].index(c) for c in ("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")]
     assert collections.Counter(tuple(r[i] for i in order) for r in rel.fetchall()) == brute_audit(rows, labels)
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_keys_decide_rows(spark, few, monkeypatch):
+    """Rows are kept by their keys exactly, with so few bits that most keys meet others by chance; columns named like the bitmaps' pass through."""
+    from probita.llm import common
+
+    monkeypatch.setattr(common, "MOST_BITS", 64)
+    monkeypatch.setattr(common, "BITMAP", 64)
+    monkeypatch.setattr(common.F, "bitmap_construct_agg", lambda p: F.max(F.lit(bytes([255] * 8))))  # all bits on: nothing is decided by them
+    df = spark.range(300).select(F.md5(F.col("id").cast("string").cast("binary")).alias("k"), "id", F.lit(1).alias("_bits_at"))
+    keys = lambda cond: common.staged(df.filter(cond).select("k"), "test-keys")
+    kept = common.kept_by_key(df, "k", keys("id % 3 = 0"), keys("id % 3 <> 0"), few)
+    assert kept.columns == df.columns and sorted(r.id for r in kept.collect()) == list(range(0, 300, 3))
+
+
+def test_one_of_each_and_sketches(spark):
+    from probita.llm import common
+
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), (None, 3), (None, 3), ("c", 4)], "k string, n int")
+    some = common.staged(spark.createDataFrame([("a",)], "k string"), "test-keys")
+    assert sorted(r.n for r in common.one_of_each(df, "k", some).collect()) == [1, 2, 3, 3, 4]
+    assert sorted(r.n for r in common.one_of_each(df, "k", some.filter("k = 'z'")).collect()) == [1, 1, 2, 3, 3, 4]
+    many = common.staged(spark.range(5000).select(F.col("id").cast("string").alias("k")), "test-keys")
+    rows = spark.range(10_000).select(F.col("id").cast("string").alias("k"), "id")
+    got = {r.id for r in common.rows_among(rows, "k", many).collect()}
+    assert set(range(5000)) <= got and len(got) < 5600
+    out = {r.id for r in common.rows_among(rows, "k", many, inside=False).collect()}
+    assert out == set(range(10_000)) - got
