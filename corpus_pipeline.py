@@ -19,7 +19,8 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: SQL expresses neither the fingerprints nor the packing; tests/llm compare what the stages do with brute force.
+#: SQL expresses neither the fingerprints nor the packing. tests/llm compare near-dedup's groups, redaction and the operators behind the other
+#: stages with brute force, and hold the stages' rows and words against each other.
 ORACLE_SQL = None
 
 
