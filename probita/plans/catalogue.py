@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import values as V
+from ..functions.sanitize import sanitize_json
 from ..operators import cohorts, features, rules, search, sections, serving, timeline
 from ..operators.features import ID
 from ..operators.paging import Listing
@@ -682,6 +683,15 @@ def _(c):
     return sections.profile(_whole(c)).select(ID, "user_declarant_id", "firstname", "lastname", "work_post", "post_type", "estate_na")
 
 
+@query("sanitized_documents", f"""SELECT {KEY_SQL}, CASE WHEN c_custkey % 5 = 0 THEN '{{"value":null,"status":"unknown"}}' ELSE 'clerk' END AS work_post,
+  CASE WHEN c_custkey % 5 = 0 THEN '{{"value":null,"status":"redacted_other","original":"[інше]"}}' ELSE 'bank' END AS organization, CASE WHEN c_custkey % 2 = 0 THEN '{{"value":null,"status":"confidential"}}' ELSE '1 000,5' END AS cost,
+  CASE WHEN c_custkey % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS n_placeholders FROM customer""")
+def _(c):
+    docs = c.raw("customer").select(F.col("c_custkey").cast("string").alias("declaration_id"), sanitize_json(F.expr(WHOLE)).alias("x"))
+    at = lambda path: F.get_json_object("x", path)
+    return docs.select("declaration_id", at("$.data.step_1.data.workPost").alias("work_post"), at("$.data.step_12.data[0].organization").alias("organization"), at("$.data.step_6.data['1'].costDate").alias("cost"), F.regexp_count("x", F.lit('"value":null,"status":')).alias("n_placeholders"))
+
+
 @query("document_vehicles", f"""SELECT {KEY_SQL}, CASE WHEN c_custkey % 4 = 0 THEN 'Трактор' ELSE 'Авто' END AS object_type, CASE WHEN c_custkey % 5 <> 0 THEN 'BMW' END AS brand, 'M' || c_nationkey AS model, CASE WHEN c_custkey % 3 <> 0 THEN 2015 END AS graduation_year,
   CASE WHEN c_custkey % 2 <> 0 THEN 1000.5::DOUBLE END AS cost, CASE c_custkey % 4 WHEN 1 THEN 'declarant' WHEN 2 THEN 'син (F L)' WHEN 3 THEN 'third_party' END AS owner FROM customer""")
 def _(c):

@@ -5,7 +5,7 @@ from probita.operators import cohorts, serving
 from probita.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
-FAST = ["placeholder_status", "safe_number", "currency_code", "year_extract", "owner_resolution", "cash_bank_split", "ownership_summary", "legacy_score", "cr3_acquisition", "cr12_concentration", "declaration_score", "cohort_percentile_rank", "cr16_outliers", "yoy_changes", "timeline_score", "list_page", "rule_distribution", "property_regroup", "document_profile", "document_vehicles", "document_monetary", "document_accounts", "document_keys", "explanations", "rules_text_array", "combined_score", "timeline_names", "income_recipients", "asset_turnover", "timeline_explanations", "cr12_person", "rule_labels", "stored_combined_score", "search_by_trigrams", "list_page_ranges"]
+FAST = ["placeholder_status", "safe_number", "currency_code", "year_extract", "owner_resolution", "cash_bank_split", "ownership_summary", "legacy_score", "cr3_acquisition", "cr12_concentration", "declaration_score", "cohort_percentile_rank", "cr16_outliers", "yoy_changes", "timeline_score", "list_page", "rule_distribution", "property_regroup", "document_profile", "document_vehicles", "document_monetary", "document_accounts", "document_keys", "sanitized_documents", "explanations", "rules_text_array", "combined_score", "timeline_names", "income_recipients", "asset_turnover", "timeline_explanations", "cr12_person", "rule_labels", "stored_combined_score", "search_by_trigrams", "list_page_ranges"]
 
 
 @pytest.fixture(scope="module")

@@ -1,6 +1,9 @@
 import json
+import random
+import re
 
-from probita.functions.sanitize import sanitize_json, sanitized
+from probita.functions import fixed
+from probita.functions.sanitize import sanitize_json
 from probita.plans.engine import Engine
 from pyspark.sql import functions as F
 from tests.test_documents import DOC
@@ -23,12 +26,44 @@ def test_engine_over_documents(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/csv").first().rules == "cash_to_bank_ratio, CR3"
 
 
+def walked(x):
+    """Brute force: the same by walking the parsed tree."""
+    if isinstance(x, dict):
+        return {k: walked(v) for k, v in x.items()}
+    if isinstance(x, list):
+        return [walked(v) for v in x]
+    if not isinstance(x, str):
+        return x
+    if x in fixed.PLACEHOLDERS:
+        return {"value": None, "status": fixed.PLACEHOLDERS[x]}
+    return {"value": None, "status": "redacted_other", "original": x} if re.match(r"^\[.+\]$", x) else x
+
+
 def test_sanitize(spark):
+    """Any nesting, any characters beside brackets, keys that look like placeholders, escapes; no Python in the plan."""
+    rng = random.Random(4)
+    bits = ["[", "]", '"', "\\", ",", ":", "{", "}", "\n", "\t", "\u0001", "/", "$1", "a", "ї", "😀", " ", *fixed.PLACEHOLDERS]
+
+    def text():
+        t = "".join(rng.choices(bits, k=rng.randrange(5)))
+        return rng.choice([t, f"[{t}]", f"[{t}]", rng.choice(bits)])
+
+    def tree(depth):
+        kind = rng.randrange(6) if depth else 5
+        if kind < 2:
+            return {text(): tree(depth - 1) for _ in range(rng.randrange(5))}
+        if kind < 4:
+            return [tree(depth - 1) for _ in range(rng.randrange(5))]
+        return rng.choice([text(), text(), text(), None, True, 7, -1.5])
+
     x = {"a": ["[Не відомо]", {"b": "[щось]"}], "c": 1, "d": "x"}
-    want = {"a": [{"value": None, "status": "unknown"}, {"b": {"value": None, "status": "redacted_other", "original": "[щось]"}}], "c": 1, "d": "x"}
-    assert sanitized(x) == want
-    got = spark.createDataFrame([(json.dumps(x),), ("{bad",), (None,)], "t string").select(sanitize_json(F.col("t")).alias("t")).collect()
-    assert json.loads(got[0].t) == want and got[1].t is None and got[2].t is None
+    trees = [x, "[Не відомо]", "[]\n", "[a]\n", [], {}, "", {"k,": "[x]", "q": '],["[x]",'}, *(tree(5) for _ in range(2000))]
+    rows = [(i, json.dumps(t, ensure_ascii=i % 2 == 0, indent=i % 3 or None)) for i, t in enumerate(trees)]
+    df = spark.createDataFrame([*rows, (-1, "{bad"), (-2, None), (-3, ""), (-4, '{"a": 1, "a": 2}')], "i int, t string").select("i", sanitize_json(F.col("t")).alias("t"))
+    got = {r.i: r.t for r in df.collect()}
+    assert [json.loads(got[i]) for i, _ in rows] == [walked(t) for t in trees]
+    assert [got[i] for i in (-1, -2, -3, -4)] == [None] * 4
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_report_and_explanations(spark, tmp_path):
