@@ -71,17 +71,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (file sizes for a scan); where it has none, 1 KB for each row."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return known if known < 1 << 60 else 1000 * df.count()
-
-
-def pieces_for(df: DataFrame, mb_each: float, least: int = 1) -> int:
-    """How many buckets to deal ``df`` into so that each gets about ``mb_each`` MB of the input's files."""
-    return max(least, -(-input_bytes(df) // int(mb_each * 1e6)))
-
-
 MOST_BITS, BITMAP = 1 << 26, 32768
 
 

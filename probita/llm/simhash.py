@@ -191,13 +191,15 @@ def links(fps: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "rest").mapInArrow(_walk, "a long, b long").distinct()
 
 
-def _with_least(rows: DataFrame, low: DataFrame, edges: int) -> DataFrame:
-    """``rows`` (u, v) with the m of their u in ``low`` (u, m, n rows).
+def _looked_up(rows: DataFrame, values: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """``rows`` left-joined with ``values`` (key, ``n``: rows with that key, ...), without ``n``; no null keys in ``values``.
 
-    A hub has over one in 5,000 of all edges, so there are fewer than 10,000 of them (two rows an edge): they are joined by
-    broadcast, and no task gets all neighbours of a hub."""
-    hubs = F.broadcast(low.filter(F.col("n") > max(HUB, edges // 5000)).drop("n"))
-    return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(low.drop("n"), "u"))
+    A hub has over one in 5,000 of ``total``, so there are fewer than 10,000 of them (two rows an edge): they are joined by
+    broadcast, and no task gets all rows of a hub."""
+    most = max(HUB, total // 5000)
+    hubs = F.broadcast(values.filter(F.col(n) > most).drop(n))
+    others = rows.join(hubs, key, "left_anti").join(values.filter(F.col(n) <= most).drop(n), key, "left")
+    return rows.join(hubs, key).unionByName(others)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,7 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_least(both.filter("v > u"), low, n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _looked_up(both.filter("v > u"), low, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -220,14 +222,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def with_component(rows: DataFrame, fp: str, doc_id: str) -> tuple[DataFrame, str]:
-    """``rows`` (with a fingerprint column) with the component's least id; and that column's name. ``rows`` is read more than once."""
-    per = staged(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "simhash-fps")
+    """``rows`` (with a fingerprint column) with the component's least id; and that column's name. ``rows`` is read more than once.
+
+    Rows of a common fingerprint, and fingerprints of a large component, stay where they are."""
+    per = staged(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least"), F.count(F.lit(1)).alias("rows")).filter("fp is not null"), "simhash-fps")
     roots = components(links(per.select("fp")))
-    named = per.join(roots, per["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    out, key = fresh(rows, "_component"), fresh(rows, "_component_fp")
-    to = staged(named.select("fp", "root").join(least, "root").select(F.col("fp").alias(key), F.col("component").alias(out)), "simhash-components")
-    return rows.join(to, rows[fp] == to[key], "left").drop(key), out
+    named = per.join(roots, per["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "rows")
+    named = staged(named, "simhash-named")
+    least = named.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n"))
+    size = named.agg(F.count(F.lit(1)).alias("fps"), F.sum("rows").alias("rows")).first()
+    out, key, n = fresh(rows, "_component"), fresh(rows, "_component_fp"), fresh(rows, "_component_rows")
+    to = _looked_up(named.select("fp", "root", "rows"), least, "root", size["fps"])
+    to = staged(to.select(F.col("fp").alias(key), F.col("component").alias(out), F.col("rows").alias(n)), "simhash-components")
+    return _looked_up(rows.withColumn(key, F.col(fp)), to, key, size["rows"] or 0, n).drop(key), out
 
 
 def _wide_links(key: np.ndarray, rest: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -470,8 +477,8 @@ def true_links(sets: DataFrame) -> DataFrame:
         return found
     labels = large.select("node", F.col("root").alias("of")).join(found, "node", "left").select("node", "of", F.coalesce("root", "node").alias("label"))
     labels = staged(labels, "simhash-labels")
-    main = labels.groupBy("of", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("of").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    left = labels.join(main.filter("parts > 1"), "of").select("node", "label", "main")
+    main = labels.groupBy("of", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("of").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n"))
+    left = _looked_up(labels, main, "of", labels.count()).filter("parts > 1").select("node", "label", "main")
     more = _compared(large.join(left, "node"), F.col("label") != F.col("main"), False)
     every = components(more.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     forgotten(labels)
@@ -492,8 +499,8 @@ def near_groups(rows: DataFrame, texts: DataFrame) -> DataFrame:
     met = components(edges)
     forgotten(edges)
     met = met.union(met.select("root", "root").distinct())
-    sizes = met.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    members = staged(met.join(sizes, "root").join(per.select("node", "best.key"), "node"), "simhash-members")
+    sizes = met.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("rows", F.col("n"))
+    members = staged(_looked_up(met, sizes, "root", met.count(), "rows").join(per.select("node", "best.key"), "node"), "simhash-members")
     sets = staged(rows_among(texts, "key", members.select("key")).join(members, "key").select("root", "n", "node", hashes_of("text").alias("hashes")), "simhash-sets")
     forgotten(members)
     roots = true_links(sets).withColumnRenamed("node", "of")

@@ -7,7 +7,8 @@ the next space or line end; a line end is one piece. The model's leading space i
 Texts are taken in blocks. A block sends each hash bucket its distinct pre-tokens once, with compressed postings (which
 text of the block, how often); a bucket counts the pieces of each distinct pre-token once for all blocks and answers
 with the texts' partial sums; a block's sums are added up. A frequent pre-token costs a few bits per text, and rows are
-even: one per block and bucket.
+even: one per block and bucket. The number of buckets is fixed, so rows grow with the input; a bucket's rows are taken
+as a stream, and what it holds in memory is its share of the distinct pre-tokens.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows each get a row; null ids are carried;
 other columns are not read.
@@ -23,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pieces_for, table
+from .common import table
 
-LIMIT, BLOCK_BYTES, BUCKET_MB = 4096, 8_000_000, 2.0
+LIMIT, BLOCK_BYTES, BUCKETS = 4096, 8_000_000, 1024
 PRE_TOKEN = re.compile(r" +[^ \n]*|[^ \n]+")
 ROWS = "bucket long, block long, kind long, payload binary"
 _MODELS: dict = {}
@@ -141,24 +142,27 @@ def _emit(buckets: int):
 
 
 def _answer(path: str):
-    def run(rows: pa.Table) -> pa.Table:
-        sp, known, made = model(path), {}, []
-        for block, kind, payload in zip(rows["block"].to_pylist(), rows["kind"].to_pylist(), rows["payload"], strict=True):
-            if not kind:
-                made.append((block, 0, payload.as_py()))
-                continue
-            n_docs, own, per, step, freq = _unblob(payload.as_py())
-            tokens = own.tobytes().decode().split("\n")
-            new = [t for t in tokens if t not in known]
-            known.update(zip(new, count_pieces(sp, new).tolist(), strict=True))
-            pieces = np.repeat(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)), per) * freq
-            start = np.r_[0, np.cumsum(per.astype(np.int64))[:-1]]
-            run_ = np.cumsum(step.astype(np.int64))
-            doc = run_ - np.repeat(run_[start] - step[start], per)
-            sums = np.bincount(doc, weights=pieces, minlength=int(n_docs[0])).astype(np.int64)
-            made.append((block, 1, _blob(_narrow(sums))))
-        cols = list(zip(*made, strict=True))
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["block", "kind", "payload"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp, known = model(path), {}
+        for batch in batches:
+            made = []
+            for block, kind, payload in zip(batch["block"].to_pylist(), batch["kind"].to_pylist(), batch["payload"], strict=True):
+                if not kind:
+                    made.append((block, 0, payload.as_py()))
+                    continue
+                n_docs, own, per, step, freq = _unblob(payload.as_py())
+                tokens = own.tobytes().decode().split("\n")
+                new = [t for t in tokens if t not in known]
+                if new:
+                    known.update(zip(new, count_pieces(sp, new).tolist(), strict=True))
+                pieces = np.repeat(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)), per) * freq
+                start = np.r_[0, np.cumsum(per.astype(np.int64))[:-1]]
+                run_ = np.cumsum(step.astype(np.int64))
+                doc = run_ - np.repeat(run_[start] - step[start], per)
+                sums = np.bincount(doc, weights=pieces, minlength=int(n_docs[0])).astype(np.int64)
+                made.append((block, 1, _blob(_narrow(sums))))
+            cols = list(zip(*made, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["block", "kind", "payload"])
 
     return run
 
@@ -182,7 +186,7 @@ def _total(limit: int):
 def token_counts(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row."""
     rows = docs.select(docs[doc_id].cast("long"), text)
-    sent = rows.mapInArrow(_emit(pieces_for(docs, BUCKET_MB, 64)), ROWS)
+    sent = rows.mapInArrow(_emit(BUCKETS), ROWS)
     sums = sent.groupBy("bucket").applyInArrow(_answer(path), "block long, kind long, payload binary")
     return sums.groupBy("block").applyInArrow(_total(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -168,6 +169,26 @@ def test_token_counts(docs):
     got = sorted(map(repr, map(tuple, tokencount.token_counts(docs, path).collect())))
     assert got == sorted(repr((i, len((t or "").encode()), n := len(sp.encode(t or "")), n > 4096)) for i, t in texts())
     assert tokencount.token_counts(empty(docs), path).count() == 0
+    with pytest.raises(ValueError):
+        tokencount.checked(types.SimpleNamespace(id_to_piece=["a", "a▁b"].__getitem__, get_piece_size=lambda: 2))
+
+
+def test_token_counts_send_rows_in_proportion(spark, monkeypatch):
+    """Twice the blocks send twice the rows, whatever the input; and a bucket takes its rows in several batches."""
+    monkeypatch.setattr(tokencount, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(tokencount, "BUCKETS", 16)
+    random.seed(31)
+    texts_ = [(i, " ".join(f"w{random.randrange(3000)}" for _ in range(200))) for i in range(80)]
+    sent = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).mapInArrow(tokencount._emit(tokencount.BUCKETS), tokencount.ROWS).count()
+    assert sent(texts_) == 2 * sent(texts_[:40])
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = tokencount.model(path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(spark.createDataFrame(texts_, "doc_id long, text string"), path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: len(sp.encode(t)) for i, t in texts_}
 
 
 def luhn(s):
@@ -431,15 +452,18 @@ def test_simhash(spark, docs):
         assert r[1] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash_components(spark):
+@pytest.mark.parametrize("hub", [1000, 2])
+def test_simhash_components(spark, monkeypatch, hub):
+    """Links, equal fingerprints and, by broadcast from ``hub`` on, a common fingerprint that stays spread and a large component."""
+    monkeypatch.setattr(simhash, "HUB", hub)
     random.seed(8)
     fps = [random.getrandbits(64) for _ in range(30)]
     for f in fps[:15]:
         for _ in range(6):
             f ^= (1 << random.randrange(64)) | (1 << random.randrange(64))
             fps.append(f)
-    fps += fps[:5]
-    rows = spark.createDataFrame([(i, f - 2**64 if f >= 2**63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
+    fps += fps[:5] + fps[20:21] * 60
+    rows = spark.createDataFrame([(i, f - 2**64 if f >= 2**63 else f) for i, f in enumerate(fps)], "doc_id long, fp long").repartition(4)
     out, comp = simhash.with_component(rows, "fp", "doc_id")
     root = list(range(len(fps)))
     for _ in fps:
@@ -447,7 +471,9 @@ def test_simhash_components(spark):
             for b in range(a):
                 if (x ^ fps[b]).bit_count() <= 2:
                     root[a] = root[b] = min(root[a], root[b])
-    assert {r.doc_id: r[comp] for r in out.collect()} == dict(enumerate(root))
+    got = out.select("doc_id", comp, F.spark_partition_id().alias("at")).collect()
+    assert len(got) == len(fps) and {r.doc_id: r[comp] for r in got} == dict(enumerate(root))
+    assert hub > 2 or len({r.at for r in got if fps[r.doc_id] == fps[20]}) > 1
 
 
 def test_components_with_hubs(spark, monkeypatch):
