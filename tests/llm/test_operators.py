@@ -297,7 +297,8 @@ def _license_brute(rows, templates, least=0.8):
     out = {}
     for i, t in rows:
         s = _license_shingles(t)
-        for name, body in templates:
+        for kind, license_, body in templates:
+            name = license_, kind
             own = set(_license_shingles(body))
             if not own or not s:
                 continue
@@ -313,23 +314,23 @@ def test_licenses(spark, docs):
     """Whole, edited, cut and embedded notices against brute force, in short and long texts."""
     random.seed(12)
     prose = lambda n: " ".join(f"w{random.randrange(500)}" for _ in range(n))
-    templates = [*licenses.BODIES.items(), *licenses.citations()]
+    templates = licenses.built_in()
     rows = [(0, None), (1, ""), (2, "the MIT"), (3, prose(40))]
-    for n, (_, body) in enumerate([*licenses.BODIES.items(), *random.sample(licenses.citations(), 12)]):
+    for n, (_, _, body) in enumerate([x for x in templates if x[0] != "citation"] + random.sample([x for x in templates if x[0] == "citation"], 12)):
         w = body.split()
         edited = [*w]
         for _ in range(len(w) // 40):
             edited[random.randrange(len(w))] = "changed"
         rows += [(100 + n, f"{prose(random.randrange(300))} {body.upper()}\n{prose(random.randrange(900))}"), (200 + n, prose(37) + " " + " ".join(edited) + " " + prose(5)), (300 + n, " ".join(w[: int(len(w) * 0.85)]))]
-    rows.append((400, prose(9000) + " " + licenses.BODIES["MPL-2.0"] + " " + prose(4000) + " released under the MIT License. " + prose(3000)))
+    rows.append((400, prose(9000) + " " + licenses.NOTICES["MPL-2.0"] + " " + prose(4000) + " released under the MIT License. " + prose(3000)))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("window", F.lit("clash"))
-    got = {(r.doc_id, r.license): (r.containment, r.n_windows, r.first_word) for r in licenses.scan(df).collect()}
+    got = {(r.doc_id, (r.license, r.kind)): (r.containment, r.n_windows, r.first_word) for r in licenses.scan(df).collect()}
     want = _license_brute(rows, templates)
     assert len(want) > 60 and got == want
     assert licenses.scan(empty(docs)).count() == 0
     twice = licenses.scan(docs.filter("doc_id = 15").union(docs.filter("doc_id = 15"))).collect()
-    assert {(r.license, r.n_windows) for r in twice} == {("Apache-2.0", 2)}
-    assert licenses.scan(df, licenses.templates_of(spark, [("short", "too few words here")])).count() == 0
+    assert {(r.license, r.kind, r.n_windows) for r in twice} == {("Apache-2.0", "citation", 2)}
+    assert licenses.scan(df, licenses.templates_of(spark, [("text", "short", "too few words here")])).count() == 0
 
 
 def test_license_bands_keep_their_bound(spark):
