@@ -60,3 +60,24 @@ def test_many_keys_of_a_store_are_merged_not_broadcast(spark, tmp_path):
     df = state.read("t", keys)
     assert "Broadcast" not in plan(df) and sorted(r.k for r in df.collect()) == list(range(10, 20))
     assert sorted(r.k for r in state.read("t").collect()) == [*range(5), *range(10, 50)]
+
+
+def test_combined_score_writes_hits_and_what_peers_compare(spark, written):
+    df = catalogue.QUERIES["combined_score"](spark, DIR)
+    assert written == [("hits", ["declaration_id", *cohorts.COMPARED, "cash", "stem_cash", "fx_cash", "hits"])]
+    assert "/cuts-" in plan(df) and "SortMergeJoin" not in plan(df)  # no declarations are shuffled by their cohort
+
+
+def test_wanted_features_go_through_joins_as_structs(spark):
+    df = catalogue.Context(spark, DIR).features("incomes monetary", "total_income one_off cash n_monetary")
+    got = df.select("declaration_id", "total_income", "one_off", "cash", "n_monetary")
+    text = plan(got)
+    assert "n_sources" not in df.columns and all(x in text.split("SortMergeJoin")[0] for x in (".total_income AS", ".n_monetary"))  # taken out above the joins
+    whole = catalogue.Context(spark, DIR).features("incomes monetary").select(got.columns)
+    assert got.exceptAll(whole).isEmpty() and whole.exceptAll(got).isEmpty()
+
+
+def test_conditions_are_not_evaluated_in_a_filter_over_an_array(spark):
+    from probita.operators import rules
+
+    assert "filter(" not in str(rules.hits(rules.conditions(), [(6, rules.cash_hit())]))
